@@ -30,13 +30,10 @@ def score_rules(url) -> Column:
         & F.arrays_overlap(F.slice(parts, 3, F.greatest(F.size(parts) - 2, F.lit(0))), legal_arr)
     )
     legal = contains_any(npath, K.LEGAL_PATH_WORDS)
-    lower_url = F.lower(u)
-    suffix = F.lit(False)
-    for s in K.PAGE_SUFFIXES:
-        suffix = suffix | lower_url.endswith(s)
+    suffix = F.lower(u).rlike("(?:" + "|".join("\\Q" + s + "\\E" for s in K.PAGE_SUFFIXES) + ")$")
     terms = [
         F.when(localized, K.SCORE_LOCALIZED).otherwise(0),
-        F.when(F.contains(npath, F.lit("footer")) & legal, K.SCORE_FOOTER_LEGAL).otherwise(0),
+        F.when(contains_any(npath, ["footer"]) & legal, K.SCORE_FOOTER_LEGAL).otherwise(0),
         F.when(legal, K.SCORE_LEGAL).otherwise(0),
         F.when(contains_any(npath, K.SECONDARY_PATH_WORDS), K.SCORE_SECONDARY).otherwise(0),
         F.when(suffix, K.SCORE_SUFFIX).otherwise(0),

@@ -30,8 +30,11 @@ from pyspark.sql import functions as F
 from crawlfold.functions.keywords import SITEMAP_NS
 from crawlfold.functions.urls import netloc, scheme
 from crawlfold.operators.ranking import rank_within
+from crawlfold.session import cut_lineage
 from crawlfold.sources.tables import read_table
 
+_MEMO: dict[tuple[str, str], dict[str, DataFrame]] = {}
+
 # ---------------------------------------------------------------------------
 # FIXED VALUES (derived fixture rules, shared with the oracle SQL)
 # ---------------------------------------------------------------------------
@@ -165,13 +168,22 @@ def robots(site_df: DataFrame) -> DataFrame:
     return site_df.select(F.concat(F.col("site"), F.lit("/robots.txt")).alias("url"), body.alias("body"))
 
 
-def site_snapshot(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def site_snapshot(spark: SparkSession, sf_dir: str, materialize: bool = True) -> dict[str, DataFrame]:
     """All derived site tables: ``snapshot`` (url, body), ``links``,
-    ``sites``, ``domains``, ``ranked``."""
-    ranked = ranked_pages(spark, sf_dir)
-    site_df = sites(ranked)
-    link_df = links(ranked)
-    bodies = _page_bodies(spark, sf_dir, ranked, link_df)
+    ``sites``, ``domains``, ``ranked``, ``bodies``.
+
+    With ``materialize`` (default) the tables are written once per session
+    and input folder as reliable checkpoints (the shared checkpoint folder)
+    and reused, as a stored snapshot table would be.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if materialize and key in _MEMO:
+        return _MEMO[key]
+    keep = cut_lineage if materialize else (lambda df: df)
+    ranked = keep(ranked_pages(spark, sf_dir))
+    site_df = keep(sites(ranked))
+    link_df = keep(links(ranked))
+    bodies = keep(_page_bodies(spark, sf_dir, ranked, link_df))
     homepages = bodies.filter(F.col("rank") == 0).join(site_df.select("host", "site"), "host").select(
         F.col("site").alias("url"), "body")
     supplier = read_table(spark, sf_dir, "supplier")
@@ -193,5 +205,8 @@ def site_snapshot(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     )
     domains = site_df.select(F.col("host").alias("domain")).unionByName(
         spark.range(1).select(F.lit(MISSING_DOMAIN).alias("domain")))
-    return {"snapshot": snapshot, "links": link_df, "sites": site_df, "domains": domains, "ranked": ranked,
-            "bodies": bodies}
+    out = {"snapshot": keep(snapshot), "links": link_df, "sites": site_df, "domains": keep(domains),
+           "ranked": ranked, "bodies": bodies}
+    if materialize:
+        _MEMO[key] = out
+    return out
