@@ -78,17 +78,19 @@ def crawl_bfs(seeds: DataFrame, links: DataFrame, footer: DataFrame | None = Non
         per_parent = per_parent.withColumn("_before", F.coalesce(F.sum("_new").over(w_run), F.lit(0)))
         per_parent = per_parent.join(counts, "site", "left").filter(
             F.coalesce("n_visited", F.lit(0)) + F.col("_before") < cap).select("site", "parent_rank")
+        # one materialisation per level; visited set and counts are unions of
+        # checkpointed levels, so their lineage stays short
         kept = cut_lineage(e.join(per_parent, ["site", "parent_rank"]))
-        visited = cut_lineage(visited.unionByName(kept.select("site", F.col("abs").alias("url"))))
-        counts = cut_lineage(visited.groupBy("site").agg(F.count(F.lit(1)).alias("n_visited")))
+        visited = visited.unionByName(kept.select("site", F.col("abs").alias("url")))
+        counts = visited.groupBy("site").agg(F.count(F.lit(1)).alias("n_visited"))
         scored = kept.withColumn("score", score_max(F.col("abs"), strip_ws(F.col("text")))).filter(F.col("score") > 0)
         found_parts.append(scored.select(
             "site", F.col("abs").alias("url"), "score", F.lit(depth + 1).alias("depth"),
             F.array(F.lit(1), F.lit(depth).cast("bigint"), F.col("parent_rank"), F.col("pos").cast("bigint")).alias("ord")))
         nxt = _rank_next(scored.select("site", "base", F.col("abs").alias("url"), "parent_rank", "pos"),
                          ["parent_rank", "pos"])
-        frontier = cut_lineage(nxt.select("site", "base", "url", "rank"))
-        if frontier.isEmpty():
+        frontier = nxt.select("site", "base", "url", "rank")
+        if depth + 1 < max_depth and kept.isEmpty():
             break
     allf = found_parts[0]
     for p in found_parts[1:]:
@@ -122,8 +124,8 @@ def crawl_site(seeds: DataFrame, scoped: DataFrame, max_depth: int = K.SITE_CRAW
         q = q.withColumn("_r", F.row_number().over(Window.partitionBy("site").orderBy("qord")) - 1)
         q = q.join(processed, "site").filter(F.col("_r") < max_pages - F.col("n_done"))
         q = cut_lineage(q.select("site", "base", "url", F.col("_r").cast("bigint").alias("parent_rank")))
-        visited = cut_lineage(visited.unionByName(q.select("site", "url")))
-        processed = cut_lineage(
+        visited = visited.unionByName(q.select("site", "url"))
+        processed = (
             processed.join(q.groupBy("site").agg(F.count(F.lit(1)).alias("_c")), "site", "left")
             .select("site", (F.col("n_done") + F.coalesce("_c", F.lit(0))).alias("n_done")))
         e = q.join(links, "url").withColumn("link", url_join(F.col("base"), F.col("href")))
@@ -143,8 +145,8 @@ def crawl_site(seeds: DataFrame, scoped: DataFrame, max_depth: int = K.SITE_CRAW
                              F.array(F.col("parent_rank"), F.lit(0).cast("bigint"), F.col("pos").cast("bigint")).alias("qord"))
                .unionByName(regular.select("site", "base", F.col("link").alias("url"),
                                            F.array(F.col("parent_rank"), F.lit(1).cast("bigint"), F.col("pos").cast("bigint")).alias("qord"))))
-        frontier = cut_lineage(nxt)
-        if frontier.isEmpty():
+        frontier = nxt
+        if q.isEmpty():
             break
     out = found_parts[0]
     for p in found_parts[1:]:

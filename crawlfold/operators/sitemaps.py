@@ -111,14 +111,15 @@ def expand_sitemaps(starts: DataFrame, snapshot: DataFrame, mode: str = "a",
             kids = doc.select("domain", "ord", F.posexplode("p.children").alias("i", "sm_url"))
             kids = kids.select("domain", F.trim("sm_url").alias("sm_url"),
                                F.concat("ord", F.array(F.lit(1), F.col("i").cast("int"))).alias("ord"))
-        pieces.append(cut_lineage(own))
+        pieces.append(own)
         if mode != "lenient":
             kids = kids.join(visited, ["domain", "sm_url"], "left_anti")
         kids = kids.dropDuplicates(["domain", "sm_url"]) if mode == "b" else kids
+        # the frontier is the only table materialised per level
         frontier = cut_lineage(kids)
         if frontier.isEmpty():
             break
-        visited = cut_lineage(visited.unionByName(frontier.select("domain", "sm_url")).distinct())
+        visited = visited.unionByName(frontier.select("domain", "sm_url"))
     out = pieces[0]
     for p in pieces[1:]:
         out = out.unionByName(p)
