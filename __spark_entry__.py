@@ -450,6 +450,55 @@ def q_domain_report_b(spark, sf):
     return pipeline_b(d["domains"], d["snapshot"]).report
 
 
+def _raw_domain_values(spark, sf):
+    """Domain-list cells derived from page hosts: blank, padded, upper-cased,
+    URL-shaped and plain values (duplicates kept)."""
+    p = read_table(spark, sf, "pages").select("page_id", U.netloc(F.col("url")).alias("host"))
+    k = F.col("page_id") % 5
+    cell = (F.when(k == 0, F.lit(""))
+            .when(k == 1, F.concat(F.lit("  "), F.col("host"), F.lit(" ")))
+            .when(k == 2, F.upper(F.col("host")))
+            .when(k == 3, F.concat(F.lit("https://"), F.col("host"), F.lit("/")))
+            .otherwise(F.col("host")))
+    return p.select("page_id", cell.alias("domain"))
+
+
+def q_src_domains_a(spark, sf):
+    from crawlfold.sources.tables import domains_a
+    return domains_a(_raw_domain_values(spark, sf)).select("page_id", "domain")
+
+
+def q_src_domains_b(spark, sf):
+    from crawlfold.sources.tables import domains_b
+    return domains_b(_raw_domain_values(spark, sf)).select("page_id", "domain")
+
+
+def q_domain_status(spark, sf):
+    b, _ = _bases(spark, sf)
+    ok = F.col("base_url").isNotNull()
+    return b.select("domain", F.when(ok, F.lit("success")).otherwise(F.lit("error")).alias("status"),
+                    F.when(ok, F.lit("")).otherwise(F.lit(E.K.ERROR_NO_BASE_URL)).alias("error_reason"))
+
+
+def q_legal_pages(spark, sf):
+    b, d = _bases(spark, sf)
+    urls, _ = source_urls(b, d["snapshot"], crawl_links=False)
+    g = W.candidates_gate(urls).filter("legal")
+    return g.groupBy("domain").agg(F.count(F.lit(1)).cast("bigint").alias("legal_pages"))
+
+
+def q_error_rate(spark, sf):
+    return q_run_stats(spark, sf).select("total_requests", "error_rate")
+
+
+def q_cascade(spark, sf):
+    d = _site(spark, sf)
+    sets = pipeline_b(d["domains"], d["snapshot"]).sets
+    return sets.select("domain", _joined(F.col("siren")).alias("siren"), _joined(F.col("siret")).alias("siret"),
+                       _joined(F.col("emails")).alias("emails"))
+
+
+
 # ---------------------------------------------------------------------------
 # contract
 # ---------------------------------------------------------------------------
@@ -511,6 +560,13 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "crawl_site": q_crawl_site,
     "pipeline_b": q_pipeline_b,
     "domain_report_b": q_domain_report_b,
+    "src_domains_a": q_src_domains_a,
+    "src_domains_b": q_src_domains_b,
+    "domain_status": q_domain_status,
+    "legal_pages": q_legal_pages,
+    "error_rate": q_error_rate,
+    "domain_report_a": q_pipeline_a_compat,
+    "cascade": q_cascade,
 }
 
 

@@ -38,13 +38,14 @@ def with_input_order(df: DataFrame, col: str = "input_pos") -> DataFrame:
 def domains_a(df: DataFrame, col: str = "domain") -> DataFrame:
     """Pipeline A domain list: rows with a non-empty value, untrimmed,
     duplicates kept."""
-    return df.filter(F.col(col).isNotNull() & (F.col(col) != "")).select(F.col(col).alias("domain"), *[c for c in df.columns if c == "input_pos"])
+    others = [c for c in df.columns if c != col]
+    return df.filter(F.col(col).isNotNull() & (F.col(col) != "")).select(*others, F.col(col).alias("domain"))
 
 
 def domains_b(df: DataFrame, col: str = "domain") -> DataFrame:
     """Pipeline B domain list: whitespace-stripped, empty rows skipped."""
-    d = strip_ws(F.col(col))
-    return df.select(d.alias("domain"), *[c for c in df.columns if c == "input_pos"]).filter(F.col("domain") != "")
+    others = [c for c in df.columns if c != col]
+    return df.select(*others, strip_ws(F.col(col)).alias("domain")).filter(F.col("domain") != "")
 
 
 def read_domain_csv(spark: SparkSession, path: str, mode: str = "a") -> DataFrame:
