@@ -179,6 +179,9 @@ def _scan_batches(batches):
 
 def scoped_links(snapshot: DataFrame, url: str = "url", body: str = "body") -> DataFrame:
     """Anchors and frames with footer scope flags (tokenizer per partition)."""
+    from crawlfold.session import ship_package
+
+    ship_package(snapshot.sparkSession)
     src = snapshot.select(F.col(url).alias("url"), F.col(body).alias("body"))
     return src.mapInPandas(_scan_batches, SCOPED_SCHEMA)
 
