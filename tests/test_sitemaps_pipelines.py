@@ -120,3 +120,14 @@ def test_streaming_extraction(spark, tmp_path):
     q.stop()
     row = spark.sql("SELECT * FROM cf_stream").first()
     assert row.siret == ["12345678900012"] and row.emails == ["c@a.fr"]
+
+
+def test_page_lookup_rendered_fallback(spark):
+    static = snap(spark, [("http://a/1", "<p>static</p>"), ("http://a/2", ""), ("http://a/dup", "<p>s</p>")])
+    rendered = snap(spark, [("http://a/2", "<p>rendered</p>"), ("http://a/3", "<p>only rendered</p>"),
+                            ("http://a/dup", "<p>r</p>")])
+    urls = spark.createDataFrame([("http://a/1",), ("http://a/2",), ("http://a/3",), ("http://a/4",), ("http://a/dup",),
+                                  ("http://a/dup",)], "url string")
+    got = {r.url: r.body for r in W.page_lookup(urls, static, rendered).collect()}
+    assert got == {"http://a/1": "<p>static</p>", "http://a/2": "<p>rendered</p>",
+                   "http://a/3": "<p>only rendered</p>", "http://a/dup": "<p>s</p>"}
