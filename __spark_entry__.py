@@ -575,12 +575,27 @@ def entry(spark: SparkSession) -> DataFrame:
     return q_pipeline_a(spark, SF_SMOKE)
 
 
+try:  # the training-data operators are a package of their own, which may be absent
+    from crawlfold.llm.registry import ORACLE_SQL as _LLM_SQL  # noqa: E402
+    from crawlfold.llm.registry import QUERIES as _LLM_QUERIES  # noqa: E402
+    from corpus_pipeline import ORACLE_SQL as _PIPELINE_SQL  # noqa: E402
+    from corpus_pipeline import run as _pipeline  # noqa: E402
+except ModuleNotFoundError as e:
+    if (e.name or "").split(".")[0] not in ("crawlfold", "corpus_pipeline"):
+        raise
+    _LLM_QUERIES, _LLM_SQL = {}, {}
+else:
+    _LLM_QUERIES = {**_LLM_QUERIES, "pipeline": _pipeline}
+    if _PIPELINE_SQL:
+        _LLM_SQL = {**_LLM_SQL, "pipeline": _PIPELINE_SQL}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return {**_QUERIES, **_LLM_QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
     from oracle_sql import build_oracle_sql
 
     out = build_oracle_sql()
-    return {k: v for k, v in out.items() if k in _QUERIES}
+    return {k: v for k, v in out.items() if k in _QUERIES} | _LLM_SQL
