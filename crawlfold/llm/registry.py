@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from crawlfold.llm import packing, token_counts
+from crawlfold.llm import archives, chat, packing, token_counts
 
 QUERIES = {
     "op4_vector_packing": packing.query,
+    "op5_arc_to_warc": archives.query,
+    "op8_chat_round_trip": chat.query,
     "op9_token_counts": token_counts.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_arc_to_warc": archives.SQL,
+    "op8_chat_round_trip": chat.SQL,
+}
