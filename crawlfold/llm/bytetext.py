@@ -18,9 +18,9 @@ _RNG = np.random.Generator(np.random.PCG64(20240611))
 _BYTE_CODE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _BASE = U64(0x9E3779B97F4A7C15)
 _INV = U64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_BYTE_CODE_LOWER = _BYTE_CODE[_LOWER]
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+_BYTE_CODE_LOWER = _BYTE_CODE[LOWER]
 # separators: space and 0x09-0x0D only
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
@@ -74,9 +74,10 @@ def slices(offsets: np.ndarray, limit: int = 1 << 19) -> Iterator[tuple[int, int
         i = min(j, n)
 
 
-def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each lower-cased (A-Z) word in order, and the number of words of
-    each text. ``offsets`` starts at 0 and ends at ``len(data)``."""
+def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACES) -> tuple[np.ndarray, ...]:
+    """Hash of each lower-cased (A-Z) word in order, the number of words of each
+    text, and each word's first byte and end. ``offsets`` starts at 0 and ends
+    at ``len(data)``."""
     inside = ~separators[data]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
@@ -92,7 +93,7 @@ def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACES
     np.cumsum(_BYTE_CODE_LOWER[data] * power[:len(data)], out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * U64(0xD6E8FEB86659FD93))
     counts = np.diff(np.searchsorted(starts, offsets))
-    return hashes, counts
+    return hashes, counts, starts, ends
 
 
 _STEP = _RNG.integers(1, 2**63, 16, dtype=np.uint64) * U64(2) + U64(1)

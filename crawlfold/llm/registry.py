@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from crawlfold.llm import archives, chat, packing, token_counts
+from crawlfold.llm import archives, chat, packing, token_counts, toxicity
 
 QUERIES = {
     "op4_vector_packing": packing.query,
     "op5_arc_to_warc": archives.query,
+    "op7_toxic_segments": toxicity.query,
     "op8_chat_round_trip": chat.query,
     "op9_token_counts": token_counts.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_arc_to_warc": archives.SQL,
+    "op7_toxic_segments": toxicity.query,
     "op8_chat_round_trip": chat.SQL,
 }
