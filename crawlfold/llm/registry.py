@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from crawlfold.llm import archives, chat, packing, token_counts, toxicity
+from crawlfold.llm import archives, chat, near_dedup, packing, token_counts, toxicity
 
 QUERIES = {
+    "op3_minhash_near_dedup": near_dedup.query,
     "op4_vector_packing": packing.query,
     "op5_arc_to_warc": archives.query,
     "op7_toxic_segments": toxicity.query,
