@@ -32,13 +32,13 @@ def components(links: DataFrame) -> DataFrame:
     """``(node, root)`` of every node with a link in ``links(u, v)``; the root is
     the component's smallest node. Self-links, repeated links and links in both
     directions are fine; nodes may be of any ordered type."""
-    now = stage(links.filter("u <> v").select("u", "v").distinct(), "links")
-    state = None
-    while True:
+    def content(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+    now = stage(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    before, after = None, content(now)
+    while before != after:
         now = stage(_star(_star(now, large=True), large=False), "links")
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state is not None and tuple(seen) == state:
-            break
-        state = tuple(seen)
+        before, after = after, content(now)
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

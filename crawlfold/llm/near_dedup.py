@@ -91,7 +91,7 @@ def _tables(nodes: DataFrame) -> DataFrame:
     return stage(slots.join(stage(common.select("slot", "pivot"), "slots"), "slot"), "tables")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``(x, y, inner, outer)`` of distinct pairs: sizes of the intersection
     and the union of the full sets."""
     a = sets.select(F.col("node").alias("x"), F.col("items").alias("_a"))
@@ -130,8 +130,7 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     signed = stage(rows.mapInArrow(_sign(width), "_id bigint, _key bigint, n bigint, node binary, keys array<bigint>"), "signatures")
 
     with_words = signed.filter("n > 0")
-    nodes = with_words.groupBy("node").agg(
-        F.min("_id").alias("least"), F.min(F.struct("_id", "_key")).alias("at"), F.max("n").alias("n"))
+    nodes = with_words.groupBy("node").agg(F.min("_id").alias("least"), F.min(F.struct("_id", "_key")).alias("at"))
     nodes = stage(nodes, "nodes")
     keyed = with_words.select("node", "n", "keys").dropDuplicates(["node"])
     tables = _tables(keyed)
@@ -144,16 +143,18 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
 
     # 1. every node against the smallest pivot of its slots
     star = tables.filter("node <> pivot").groupBy("node").agg(F.min("pivot").alias("y")).select(F.col("node").alias("x"), "y")
-    checked = stage(_verify(star, sets, similarity), "checked")
+    checked = stage(_verify(star, sets), "checked")
     links = _linked(checked, similarity)
     roots = stage(components(links), "roots")
     # 2. where a slot holds several components: every node against the slot's pivot
     tables = _with_roots(tables, roots)
     more = tables.filter("node <> pivot").select(F.col("node").alias("x"), F.col("pivot").alias("y")).distinct()
-    more = stage(_verify(more.join(checked, ["x", "y"], "left_anti"), sets, similarity), "checked")
+    more = stage(_verify(more.join(checked, ["x", "y"], "left_anti"), sets), "checked")
     checked = checked.unionByName(more)
-    links = links.unionByName(_linked(more, similarity))
-    roots = stage(components(links), "roots")
+    new = _linked(more, similarity)
+    if not new.isEmpty():
+        links = links.unionByName(new)
+        roots = stage(components(links), "roots")
     # 3. the rest: all pairs of a slot in different components that exact bounds allow
     tables = _with_roots(tables.drop("root"), roots)
     to_pivot = checked.select(F.col("x").alias("node"), F.col("y").alias("pivot"), (F.col("inner") / F.col("outer")).alias("sim"))
@@ -167,9 +168,10 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
                         & (F.abs(F.col("a.sim") - F.col("b.sim")) <= 1 - least + 1e-9))
     open_pairs = open_pairs.select(F.col("a.node").alias("x"), F.col("b.node").alias("y")).distinct()
     known = checked.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    last = stage(_verify(open_pairs.join(known, ["x", "y"], "left_anti"), sets, similarity), "checked")
-    links = links.unionByName(_linked(last, similarity))
-    roots = stage(components(links), "roots")
+    last = stage(_verify(open_pairs.join(known, ["x", "y"], "left_anti"), sets), "checked")
+    new = _linked(last, similarity)
+    if not new.isEmpty():
+        roots = stage(components(links.unionByName(new)), "roots")
 
     named = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
