@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from crawlfold.llm import archives, chat, near_dedup, packing, token_counts, toxicity
+from crawlfold.llm import archives, chat, fingerprints, near_dedup, packing, token_counts, toxicity
 
 QUERIES = {
     "op3_minhash_near_dedup": near_dedup.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_toxic_segments": toxicity.query,
     "op8_chat_round_trip": chat.query,
     "op9_token_counts": token_counts.query,
+    "op10_weighted_sampling": fingerprints.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
