@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from crawlfold.llm import archives, chat, fingerprints, near_dedup, packing, token_counts, toxicity
+from crawlfold.llm import archives, chat, fingerprints, line_dedup, near_dedup, packing, token_counts, toxicity
 
 QUERIES = {
+    "op1_template_line_dedup": line_dedup.query,
     "op3_minhash_near_dedup": near_dedup.query,
     "op4_vector_packing": packing.query,
     "op5_arc_to_warc": archives.query,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_template_line_dedup": line_dedup.SQL,
     "op5_arc_to_warc": archives.SQL,
     "op7_toxic_segments": toxicity.query,
     "op8_chat_round_trip": chat.SQL,
