@@ -1,24 +1,58 @@
 """Corpus pipeline: toxicity filter, line dedup, near-dedup, mixing, packing.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is
-written as Parquet and read again as the next stage's ``docs``.
+written as Parquet and read again as the next stage's ``docs``. All but the last
+return the columns they were given.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from crawlfold.llm import packing
+from crawlfold.llm import line_dedup, mixing, near_dedup, packing, toxicity
 from crawlfold.llm.staging import stage
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose probability of being toxic is under one half."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score_texts(docs, model, score_col="_toxicity", segments_col="_segments")
+    return scored.filter("_toxicity < 0.5").select(docs.columns)
+
+
+def drop_template_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without recurring template lines; n_chars follows the text."""
+    short = line_dedup.dedup_lines(docs)
+    return short.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate component."""
+    return near_dedup.keep_one(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents at rates of at most one that bring the expected token shares of
+    the quality domains to their targets."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    fitted = mixing.fit(docs, labels, mixing.QUALITY_TARGETS, label_col="quality", max_rate=1.0)
+    return mixing.apply_rates(mixing.rate_documents(docs, fitted)).select(docs.columns)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, in sequences of at most 2048 tokens (a row per piece)."""
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("packing", pack)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_template_lines),
+    ("near_dedup", drop_near_duplicates),
+    ("mixing", mix),
+    ("packing", pack),
+]
 
 # SQL cannot express the classifiers, the tokenizer or the packing heuristic
 ORACLE_SQL: str | None = None
@@ -30,5 +64,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (name, step) in enumerate(STAGES):
         docs = step(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = stage(docs, f"pipeline-{i}")
+            docs = stage(docs, f"pipeline-{name}")
     return docs

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from crawlfold.llm import archives, chat, fingerprints, line_dedup, near_dedup, packing, token_counts, toxicity
+from crawlfold.llm import archives, chat, fingerprints, line_dedup, mixing, near_dedup, neighbours, packing, token_counts, toxicity
 
 QUERIES = {
     "op1_template_line_dedup": line_dedup.query,
+    "op2_learned_partitions": neighbours.query,
     "op3_minhash_near_dedup": near_dedup.query,
     "op4_vector_packing": packing.query,
     "op5_arc_to_warc": archives.query,
+    "op6_soft_mixing": mixing.query,
     "op7_toxic_segments": toxicity.query,
     "op8_chat_round_trip": chat.query,
     "op9_token_counts": token_counts.query,
