@@ -3,7 +3,7 @@
 A text is the multiset of its white-space-separated words, weighted by count.
 For sample k and word w, two hashes give r ~ Gamma(2, 1), c ~ Gamma(2, 1) and
 b ~ U(0, 1), the same in every text. With weight S, t = floor(ln S / r + b) and
-ln a = ln c - r (t - b + 1); the word of least a is the sample, and (word, t)
+a = c exp(-r (t - b + 1)); the word of least a is the sample, and (word, t)
 agrees between two texts with probability sum(min) / sum(max), the generalised
 Jaccard similarity. As a is a function of (word, t), the least a itself stands
 for the sample. A fingerprint is 32 bits of each of ``SAMPLES`` samples.
@@ -18,50 +18,33 @@ from crawlfold.llm.staging import stage
 
 SAMPLES = 32
 WORD_GAP = r"[\x20\x09-\x0D]+"
-_LOW, _UNIT = (1 << 25) - 1, 2.0 ** -25
+_LOW = (1 << 25) - 1
 
 
-def _log_a(word: Column, log_weight: Column, k: int) -> Column:
-    """ln a of sample ``k``: five uniform numbers from 128 hashed bits."""
+def _a(word: Column, log_weight: Column, k: int) -> Column:
+    """The value a of sample ``k``: five uniform numbers from 128 hashed bits."""
     x, y = F.xxhash64(word, F.lit(2 * k)), F.xxhash64(word, F.lit(2 * k + 1))
 
-    def uniform(bits: Column) -> Column:
-        return (bits.cast("double") + 0.5) * _UNIT
-
     def low(h: Column) -> Column:
-        return uniform(h.bitwiseAND(F.lit(_LOW)))
+        return h.bitwiseAND(F.lit(_LOW)).cast("double") + 0.5
 
     def mid(h: Column) -> Column:
-        return uniform(F.shiftrightunsigned(h, 25).bitwiseAND(F.lit(_LOW)))
+        return F.shiftrightunsigned(h, 25).bitwiseAND(F.lit(_LOW)).cast("double") + 0.5
 
-    r = -F.ln(low(x) * mid(x))
-    log_c = F.ln(-F.ln(low(y) * mid(y)))
+    # a sum of two exponential numbers is -ln of a product of two uniform ones
+    r = -F.ln(low(x) * mid(x) * 2.0 ** -50)
+    c = -F.ln(low(y) * mid(y) * 2.0 ** -50)
     b = (F.shiftrightunsigned(x, 50).cast("double") * 16384.0 + F.shiftrightunsigned(y, 50).cast("double") + 0.5) * 2.0 ** -28
-    return log_c - r * (F.floor(log_weight / r + b).cast("double") - b + 1.0)
-
-
-def weighted_words(words_sorted: Column) -> Column:
-    """Distinct hashes and their counts of a sorted array of word hashes, by
-    the positions where a run starts."""
-    n = F.size(words_sorted)
-    starts = F.filter(F.transform(words_sorted, lambda x, i: F.when(
-        (i == 0) | (F.get(words_sorted, i - 1) != x), i)), lambda i: i.isNotNull())
-    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(n))
-    return F.zip_with(starts, ends, lambda a, b: F.struct(F.get(words_sorted, a).alias("word"), (b - a).alias("weight")))
-
-
-def word_hashes(text: Column) -> Column:
-    words = F.filter(F.split(text, WORD_GAP, -1), lambda w: w != "")
-    return F.sort_array(F.transform(words, lambda w: F.xxhash64(w)))
+    return c * F.exp(-r * (F.floor(log_weight / r + b).cast("double") - b + 1.0))
 
 
-def sample_rows(rows: DataFrame, keys: list[str], hashes: str) -> DataFrame:
-    """``keys`` and ``samples`` (array of int) from sorted word hashes; rows
-    without words are absent. ``rows`` holds each key once. The grouping follows
-    the partitioning of ``rows`` where that is by (some of) ``keys``."""
-    words = rows.select(*keys, F.explode(weighted_words(F.col(hashes))).alias("_w"))
-    words = words.select(*keys, F.col("_w.word").alias("_h"), F.ln(F.col("_w.weight").cast("double")).alias("_s"))
-    least = words.groupBy(*keys).agg(*[F.min(_log_a(F.col("_h"), F.col("_s"), k)).alias(f"_a{k}") for k in range(SAMPLES)])
+def sample_rows(rows: DataFrame, keys: list[str], text_col: str) -> DataFrame:
+    """``keys`` and ``samples`` (array of int) of rows that each have a key of
+    their own; texts without words are absent. Both groupings follow the
+    partitioning of ``rows`` where that is by (some of) ``keys``."""
+    words = rows.select(*keys, F.explode(F.split(text_col, WORD_GAP, -1)).alias("_w")).filter("_w <> ''")
+    counted = words.select(*keys, F.xxhash64("_w").alias("_h")).groupBy(*keys, "_h").agg(F.ln(F.count(F.lit(1)).cast("double")).alias("_s"))
+    least = counted.groupBy(*keys).agg(*[F.min(_a(F.col("_h"), F.col("_s"), k)).alias(f"_a{k}") for k in range(SAMPLES)])
     return least.select(*keys, F.array(*[F.hash(f"_a{k}") for k in range(SAMPLES)]).alias("samples"))
 
 
@@ -81,8 +64,7 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col), F.xxhash64(F.lit(1), id_col, text).alias("_k1"), F.xxhash64(F.lit(2), text, id_col).alias("_k2"), text.alias("_text"))
     rows = rows.dropDuplicates(["_k1", "_k2"])
-    hashed = rows.select("_k1", "_k2", F.explode(F.array(word_hashes(F.col("_text")))).alias("_hashes"))
-    samples = sample_rows(hashed, ["_k1", "_k2"], "_hashes")
+    samples = sample_rows(rows, ["_k1", "_k2"], "_text")
     return rows.join(samples, ["_k1", "_k2"], "left").select(id_col, "samples", to_text(F.col("samples")).alias("fingerprint"))
 
 
@@ -123,28 +105,22 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     order = [F.col("_id").desc_nulls_last(), F.col("k1").asc(), F.col("k2").asc()]
     follow = stage(successors(narrow, order, ["k1", "k2"]), "successors")
 
-    # every text once, by its key: both uses below read this one exchange
+    # every text once, by its key: all uses below read this one exchange
     texts = rows.select("k1", "k2", "_text").dropDuplicates(["k1", "k2"])
     wanted = follow.select(F.col("k1").alias("of1"), F.col("k2").alias("of2"), F.expr("n div 2").alias("take"),
                            F.col("next_k1").alias("k1"), F.col("next_k2").alias("k2"))
     tails = texts.join(wanted, ["k1", "k2"]).select(
         F.col("of1").alias("k1"), F.col("of2").alias("k2"), F.substr("_text", F.lit(1), F.col("take").cast("int")).alias("_tail"))
     half = F.length("_text") - F.expr("length(_text) div 2")
-    both = texts.join(tails, ["k1", "k2"]).select(
-        "k1", "k2", "_text", F.concat(F.substr("_text", F.lit(1), half.cast("int")), "_tail").alias("_edited"))
-    sides = both.select("k1", "k2", F.explode(F.array(
-        F.struct(F.lit(0).alias("side"), word_hashes(F.col("_text")).alias("hashes"), F.lit(None).cast("string").alias("sha")),
-        F.struct(F.lit(1).alias("side"), word_hashes(F.col("_edited")).alias("hashes"), F.sha2("_edited", 256).alias("sha")))).alias("e"))
-    # a text without words still has a row: its sole sample is null
-    words = sides.select("k1", "k2", "e.side", "e.sha", F.explode_outer(weighted_words(F.col("e.hashes"))).alias("_w"))
-    words = words.select("k1", "k2", "side", "sha", F.col("_w.word").alias("_h"), F.ln(F.col("_w.weight").cast("double")).alias("_s"))
-    least = words.groupBy("k1", "k2", "side").agg(
-        F.max("sha").alias("sha"), *[F.min(_log_a(F.col("_h"), F.col("_s"), k)).alias(f"_a{k}") for k in range(SAMPLES)])
-    samples = F.when(F.col("_a0").isNotNull(), F.array(*[F.hash(f"_a{k}") for k in range(SAMPLES)]))
-    signed = stage(least.select("k1", "k2", "side", "sha", samples.alias("samples")), "samples")
-
-    own = signed.filter("side = 0").select("k1", "k2", F.col("samples").alias("own"))
-    edited = signed.filter("side = 1").select("k1", "k2", "sha", F.col("samples").alias("edited"))
+    edits = texts.join(tails, ["k1", "k2"]).select(
+        "k1", "k2", F.concat(F.substr("_text", F.lit(1), half.cast("int")), "_tail").alias("_edited"))
+    signed = (edits.select("k1", "k2", F.sha2("_edited", 256).alias("sha"))
+              .join(sample_rows(texts, ["k1", "k2"], "_text").withColumnRenamed("samples", "own"), ["k1", "k2"], "left")
+              .join(sample_rows(edits, ["k1", "k2"], "_edited").withColumnRenamed("samples", "edited"), ["k1", "k2"], "left"))
+    signed = stage(signed, "samples")
+
+    own = signed.select("k1", "k2", "own")
+    edited = signed.select("k1", "k2", "sha", "edited")
     following = own.select(F.col("k1").alias("next_k1"), F.col("k2").alias("next_k2"), F.col("own").alias("following"))
     joined = follow.join(following, ["next_k1", "next_k2"]).join(own, ["k1", "k2"]).join(edited, ["k1", "k2"])
     result = joined.select(
