@@ -2,10 +2,10 @@
 
 ``rank_within`` numbers rows inside each group without a window partitioned
 by the group key: rows are range-partitioned on (key, order) - the range
-partitioner splits a hot key over many tasks - numbered inside each
-partition with ``monotonically_increasing_id``, shifted by per-partition
-offsets (one row per partition, broadcast), and rebased on the first index
-of each key (one row per key; AQE's skew join splits a hot key on that join).
+partitioner splits a hot key over many tasks - and written once with their
+partition and position. Counts, offsets and each key's first row are then all
+read from that one table: a second range exchange could cut elsewhere, and
+its offsets would belong to other partitions.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from crawlfold.session import cut_lineage
+
 _LOW33 = (1 << 33) - 1
 
 
@@ -27,6 +29,7 @@ def global_index(df: DataFrame, order_cols: list[str], num_partitions: int | Non
         .withColumn("_pid", F.shiftright("_mid", 33))
         .withColumn("_lix", F.col("_mid").bitwiseAND(F.lit(_LOW33)))
     )
+    s = cut_lineage(s)  # every reader below must see the same partitions
     counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     # one row per partition: a bounded table, safe to order globally and broadcast
     offsets = counts.withColumn(
@@ -45,19 +48,10 @@ def rank_within(df: DataFrame, key: str, order: str, rank_col: str = "rank",
     """0-based rank of each row inside its ``key`` group, ordered by ``order``
     (unique within the group), plus the group size."""
     g = global_index(df, [key, order])
-    first = g.groupBy(key).agg(F.min("_gidx").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    # one row per key, as a table of its own: the join reads two plain exchanges,
+    # whose hot key Spark can split
+    first = cut_lineage(g.groupBy(key).agg(F.min("_gidx").alias("_first"), F.count(F.lit(1)).alias("_n")))
     out = g.join(first, key).withColumn(rank_col, (F.col("_gidx") - F.col("_first")).cast("bigint"))
     if size_col:
         out = out.withColumn(size_col, F.col("_n"))
     return out.drop("_gidx", "_first", "_n")
-
-
-def top_k_per_group(df: DataFrame, key: str, order_cols, k: int, rank_col: str = "rank") -> DataFrame:
-    """Keep the first ``k`` rows per ``key`` by ``order_cols``.
-
-    ``row_number() <= k`` is planned as WindowGroupLimit: a partial top-k runs
-    before the shuffle, so at most ``k`` rows per key per map task move and a
-    hot key cannot flood one reducer.
-    """
-    w = Window.partitionBy(key).orderBy(*order_cols)
-    return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)

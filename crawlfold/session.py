@@ -1,10 +1,11 @@
 """Session helpers: local test session and a lineage cut that survives
-executor loss (reliable checkpoint in the configured shared folder)."""
+executor loss (a table written in the configured shared folder)."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,10 +50,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the reliable checkpoint folder (eager)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once as Parquet below the shared checkpoint folder and return
+    a scan of it. Unlike a checkpointed RDD the written table has a known size,
+    so Spark can broadcast a small one and never takes a frontier for huge."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Delete the tables ``cut_lineage`` wrote in this application; call it when
+    no DataFrame built on them is needed any more. Returns their number."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+    return len(paths)
 
 
 _SHIPPED: set[str] = set()
