@@ -180,10 +180,39 @@ def extract_context(df, text: str = "text", drop_siret_prefix: bool = True,
 def email_rfc(text, strip_spaces: bool = False) -> Column:
     """De-obfuscate, RFC-5322-style match, lower-case, first-seen order."""
     decoded = deobfuscate_email(text, strip_spaces=strip_spaces)
-    found = F.regexp_extract_all(decoded, F.lit("(?i)" + K.EMAIL_RFC), 0)
+    found = F.regexp_extract_all(decoded, F.lit(_email_rfc_iterative()), 0)
+    found = F.when(F.instr(decoded, "@") > 0, found)
     return F.coalesce(F.array_distinct(F.transform(found, F.lower)), F.array().cast("array<string>"))
 
 
+# FIXED VALUES (character classes of the RFC pattern in ``keywords.EMAIL_RFC``)
+_ATOM = r"[a-z0-9!#$%&'*+/=?^_`{|}~-]"
+_QUOTED = r"[\x01-\x08\x0b\x0c\x0e-\x1f\x21\x23-\x5b\x5d-\x7f]"
+_ESCAPED = r"\\[\x01-\x09\x0b\x0c\x0e-\x7f]"
+_LITERAL = r"[\x01-\x08\x0b\x0c\x0e-\x1f\x21-\x5a\x53-\x7f]"
+_BYTE = r"(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
+_LABEL = r"[a-z0-9](?:[a-z0-9-]*[a-z0-9])?"
+
+
+def _email_rfc_iterative() -> str:
+    """``EMAIL_RFC`` in a spelling that the regex engine runs without recursion
+    and in linear time on long tokens; the matches are the same.
+
+    Loops over groups recurse once per turn in this engine, unless possessive.
+    They may be: '@' is no atom character, a quoted part's branches differ in
+    their first character, and a domain label within the list is followed by a
+    dot and an alphanumeric character. A start inside a run of atoms fails where
+    the run's own start fails, so only the latter is tried (or the end of the
+    previous match). In a domain literal the escape adds only blanks after a
+    backslash; a closing bracket is looked for after the last of these.
+    """
+    first = rf"(?:\G|(?<=\G\.)|(?<!{_ATOM})(?<!{_ATOM}\.))"
+    local = rf'(?:{first}{_ATOM}++(?:\.{_ATOM}++)*+|"(?:{_QUOTED}++|{_ESCAPED})*+")'
+    names = rf"(?:[a-z0-9][a-z0-9-]*+(?<!-)\.(?=[a-z0-9]))++{_LABEL}"
+    literal = rf"\[(?:{_BYTE}\.){{3}}(?:{_BYTE}\]|[a-z0-9-]*[a-z0-9]:(?:{_LITERAL}++(?<=\\)[\x09\x20])*+{_LITERAL}+\])"
+    return f"(?i){local}@(?:{names}|{literal})"
+
+
 def luhn_valid(num) -> Column:
     """Optional checksum flag (an addition; nothing filters on it by default)."""
     return F.luhn_check(_col(num))

@@ -1,11 +1,12 @@
 """robots.txt and sitemap operators over a snapshot.
 
-Sitemaps are parsed with ``from_xml`` after namespace prefixes are stripped
+Sitemaps are parsed with ``from_xml`` after the prolog (byte order mark,
+processing instructions, comments, DOCTYPE) and namespace prefixes are stripped
 (a prefixed ``<s:urlset>`` otherwise reads as NULL); a document must carry
 the sitemap namespace URI, as namespaced lookups require. Index files are
-expanded level by level: the frontier of child sitemap URLs is joined to the
-snapshot, visited sitemaps are removed with a left-anti join (a cycle
-terminates), and each level is checkpointed.
+expanded level by level until no sitemap is left that its domain has not seen
+yet (so any depth is read and a cycle ends): the frontier of child sitemap URLs
+is joined to the snapshot, and each level's parsed documents are written once.
 """
 
 from __future__ import annotations
@@ -18,11 +19,12 @@ from crawlfold.functions.urls import origin, strip_ws, url_join
 from crawlfold.session import cut_lineage
 from crawlfold.sources.tables import fetched
 
-SITEMAP_SCHEMA = "url ARRAY<STRUCT<loc: STRING>>, sitemap ARRAY<STRUCT<loc: STRING>>"
+SITEMAP_SCHEMA = "url ARRAY<STRUCT<loc: STRING>>, sitemap ARRAY<STRUCT<loc: STRING>>, _corrupt_record STRING"
 PREFIX_RE = r"<(/?)[A-Za-z_][\w.-]*:"
-ROOT_RE = r"^\s*(?:<\?[^>]*\?>\s*)?(?:<!--(?s:.*?)-->\s*)*<([A-Za-z_][\w.:-]*)"
+PROLOG_RE = r"(?i)^(?:\s++|\x{FEFF}|<\?(?s:.*?)\?>|<!--(?s:.*?)-->|<!DOCTYPE[^\[>]*+(?:\[[^\]]*+\])?[^>]*+>)*+"
+ROOT_RE = r"^<([A-Za-z_][\w.:-]*)"
 LINE_SPLIT_RE = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
-MAX_INDEX_LEVELS = 16
+BARE_URL_RE = r"""https?://[^\s<>"]+(?<![.,])"""
 
 
 def robots_url(base) -> F.Column:
@@ -59,64 +61,76 @@ def robots_sitemap(bases: DataFrame, snapshot: DataFrame, base: str = "base_url"
 
 
 def parse_sitemap_body(body) -> F.Column:
-    """``struct(ok, is_index, urls, children)`` of one sitemap document."""
-    b = F.coalesce(body, F.lit(""))
+    """``struct(xml, ok, is_index, urls, children)`` of one sitemap document.
+
+    ``xml``: it is well-formed; ``ok``: and it carries the sitemap namespace."""
+    b = F.regexp_replace(F.coalesce(body, F.lit("")), PROLOG_RE, "")
     parsed = F.from_xml(F.regexp_replace(b, PREFIX_RE, "<$1"), SITEMAP_SCHEMA, {"mode": "PERMISSIVE"})
     root = F.regexp_extract(b, ROOT_RE, 1)
-    ok = parsed.isNotNull() & F.contains(b, F.lit(K.SITEMAP_NS)) & (root != "")
+    xml = parsed.isNotNull() & parsed["_corrupt_record"].isNull() & (root != "")
+    ok = xml & F.contains(b, F.lit(K.SITEMAP_NS))
     locs = lambda arr: F.coalesce(F.transform(arr, lambda x: x["loc"]), F.array().cast("array<string>"))
     return F.struct(
-        ok.alias("ok"),
+        F.coalesce(xml, F.lit(False)).alias("xml"),
+        F.coalesce(ok, F.lit(False)).alias("ok"),
         root.endswith("sitemapindex").alias("is_index"),
         F.filter(locs(parsed["url"]), lambda x: x.isNotNull()).alias("urls"),
         F.filter(locs(parsed["sitemap"]), lambda x: x.isNotNull()).alias("children"),
     )
 
 
-def expand_sitemaps(starts: DataFrame, snapshot: DataFrame, mode: str = "a",
-                    max_levels: int = MAX_INDEX_LEVELS) -> DataFrame:
+def loose_urls(body, compat: bool = False) -> F.Column:
+    """URLs of a body that is not well-formed XML: ``<loc>..</loc>`` matches, else
+    bare http(s) URLs (greedy; ``compat`` keeps the lazy pattern that stops one
+    character after the scheme)."""
+    locs = F.regexp_extract_all(body, F.lit(K.SITEMAP_LOC_LENIENT), 1)
+    bare = F.regexp_extract_all(body, F.lit(K.SITEMAP_BARE_URL_COMPAT if compat else BARE_URL_RE), 0)
+    return F.when(F.size(locs) > 0, locs).otherwise(bare)
+
+
+def _placed(doc: DataFrame, items: F.Column, name: str, *under) -> DataFrame:
+    """One row per item; ``ord`` gets the branch ``under`` and the position."""
+    rows = doc.select("domain", "ord", F.posexplode(items).alias("_i", name))
+    place = F.array(*[F.lit(u) for u in under], F.col("_i").cast("int"))
+    return rows.select("domain", name, F.concat("ord", place).alias("ord"))
+
+
+def expand_sitemaps(starts: DataFrame, snapshot: DataFrame, mode: str = "a", compat: bool = False) -> DataFrame:
     """Page URLs listed by the sitemaps of ``starts(domain, sitemap_url)``.
 
     Returns ``(domain, url, ord)``; ``ord`` is an array of positions that
-    sorts in document order (index children expanded in place).
+    sorts in document order (index children expanded in place). In every mode a
+    domain reads a sitemap once, at its first place of the earliest level.
 
     mode ``a``: an index contributes only its children's URLs;
-    mode ``b``: child sitemaps first, then the document's own URL locs
-    (visited sitemaps are skipped).
-    mode ``lenient``: every loc of the document, child-sitemap locs
-    included, followed by the children's URLs.
+    mode ``b``: child sitemaps first, then the document's own URL locs;
+    mode ``lenient``: every loc of the document, child-sitemap locs included,
+    followed by the children's URLs; a document that is not well-formed XML,
+    start or child, gives its ``loose_urls``.
     """
     body = fetched(snapshot).select(F.col("url").alias("sm_url"), F.col("body").alias("_body"))
     frontier = starts.filter(F.col("sitemap_url").isNotNull() & (F.col("sitemap_url") != "")).select(
-        "domain", F.col("sitemap_url").alias("sm_url"), F.array().cast("array<int>").alias("ord"))
-    visited = frontier.select("domain", "sm_url")
-    pieces = []
-    for _ in range(max_levels):
-        doc = frontier.join(body, "sm_url").withColumn("p", parse_sitemap_body(F.col("_body"))).filter("p.ok")
+        "domain", F.col("sitemap_url").alias("sm_url"), F.array().cast("array<int>").alias("ord")).distinct()
+    frontier = cut_lineage(frontier)
+    visited, pieces = frontier.select("domain", "sm_url"), []
+    while True:
+        doc = frontier.join(body, "sm_url").withColumn("p", parse_sitemap_body(F.col("_body")))
+        loose = F.when(~F.col("p.xml"), loose_urls(F.col("_body"), compat)) if mode == "lenient" else F.lit(None).cast("array<string>")
+        doc = cut_lineage(doc.select("domain", "ord", "p", loose.alias("loose")).filter("p.ok OR loose IS NOT NULL"))
+        good = doc.filter("p.ok")
         if mode == "a":
-            own = doc.filter(~F.col("p.is_index")).select("domain", "ord", F.posexplode("p.urls").alias("i", "url"))
-            own = own.select("domain", "url", F.concat("ord", F.array(F.col("i").cast("int"))).alias("ord"))
-            kids = doc.filter(F.col("p.is_index")).select("domain", "ord", F.posexplode("p.children").alias("i", "sm_url"))
-            kids = kids.select("domain", "sm_url", F.concat("ord", F.array(F.col("i").cast("int"))).alias("ord"))
+            own = _placed(good.filter(~F.col("p.is_index")), F.col("p.urls"), "url")
+            kids = _placed(good.filter("p.is_index"), F.col("p.children"), "sm_url")
         elif mode == "b":
-            own = doc.select("domain", "ord", F.posexplode("p.urls").alias("i", "url"))
-            own = own.select("domain", F.trim("url").alias("url"), F.concat("ord", F.array(F.lit(1), F.col("i").cast("int"))).alias("ord"))
-            kids = doc.select("domain", "ord", F.posexplode("p.children").alias("i", "sm_url"))
-            kids = kids.select("domain", F.trim("sm_url").alias("sm_url"),
-                               F.concat("ord", F.array(F.lit(0), F.col("i").cast("int"))).alias("ord"))
-        else:  # lenient
-            all_locs = F.concat("p.urls", "p.children")
-            own = doc.select("domain", "ord", F.posexplode(all_locs).alias("i", "url"))
-            own = own.select("domain", F.trim("url").alias("url"), F.concat("ord", F.array(F.lit(0), F.col("i").cast("int"))).alias("ord"))
-            kids = doc.select("domain", "ord", F.posexplode("p.children").alias("i", "sm_url"))
-            kids = kids.select("domain", F.trim("sm_url").alias("sm_url"),
-                               F.concat("ord", F.array(F.lit(1), F.col("i").cast("int"))).alias("ord"))
+            own = _placed(good, F.col("p.urls"), "url", 1).withColumn("url", F.trim("url"))
+            kids = _placed(good, F.col("p.children"), "sm_url", 0).withColumn("sm_url", F.trim("sm_url"))
+        else:
+            own = _placed(good, F.concat("p.urls", "p.children"), "url", 0).withColumn("url", F.trim("url"))
+            own = own.unionByName(_placed(doc.filter("NOT p.xml"), F.col("loose"), "url", 0))
+            kids = _placed(good, F.col("p.children"), "sm_url", 1).withColumn("sm_url", F.trim("sm_url"))
         pieces.append(own)
-        if mode != "lenient":
-            kids = kids.join(visited, ["domain", "sm_url"], "left_anti")
-        kids = kids.dropDuplicates(["domain", "sm_url"]) if mode == "b" else kids
-        # the frontier is the only table materialised per level
-        frontier = cut_lineage(kids)
+        new = kids.join(visited, ["domain", "sm_url"], "left_anti")
+        frontier = cut_lineage(new.groupBy("domain", "sm_url").agg(F.min("ord").alias("ord")))
         if frontier.isEmpty():
             break
         visited = visited.unionByName(frontier.select("domain", "sm_url"))
@@ -124,17 +138,3 @@ def expand_sitemaps(starts: DataFrame, snapshot: DataFrame, mode: str = "a",
     for p in pieces[1:]:
         out = out.unionByName(p)
     return out
-
-
-def lenient_fallback(starts: DataFrame, snapshot: DataFrame, compat: bool = False) -> DataFrame:
-    """URLs of sitemap bodies that are not valid XML: ``<loc>..</loc>``
-    matches, else bare http(s) URLs (greedy; ``compat`` keeps the lazy
-    pattern that stops one character after the scheme)."""
-    body = fetched(snapshot).select(F.col("url").alias("sitemap_url"), F.col("body").alias("_body"))
-    doc = starts.join(body, "sitemap_url").withColumn("p", parse_sitemap_body(F.col("_body"))).filter(~F.col("p.ok"))
-    locs = F.regexp_extract_all(F.col("_body"), F.lit(K.SITEMAP_LOC_LENIENT), 1)
-    bare_pat = K.SITEMAP_BARE_URL_COMPAT if compat else r"""https?://[^\s<>"]+(?<![.,])"""
-    bare = F.regexp_extract_all(F.col("_body"), F.lit(bare_pat), 0)
-    picked = F.when(F.size(locs) > 0, locs).otherwise(bare)
-    return doc.select("domain", F.posexplode(picked).alias("i", "url")).select(
-        "domain", "url", F.array(F.col("i").cast("int")).alias("ord"))

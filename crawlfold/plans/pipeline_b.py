@@ -24,7 +24,7 @@ from crawlfold.functions.text import page_text
 from crawlfold.operators.crawl import crawl_site
 from crawlfold.operators.links import scoped_links
 from crawlfold.operators.site import base_urls, page_lookup, report_b, top_urls, union_per_domain
-from crawlfold.operators.sitemaps import expand_sitemaps, lenient_fallback, robots_sitemap
+from crawlfold.operators.sitemaps import expand_sitemaps, robots_sitemap
 from crawlfold.session import cut_lineage
 from crawlfold.sources.tables import fetched
 
@@ -52,10 +52,9 @@ def _read(targets: DataFrame, snapshot: DataFrame, rendered: DataFrame | None) -
 
 
 def sitemap_urls_b(bases: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """Lenient sitemap URLs, with the fallback for documents that are no XML."""
     sm = robots_sitemap(bases, snapshot, "base_url", mode="b").select("domain", "sitemap_url")
-    valid = expand_sitemaps(sm, snapshot, mode="lenient")
-    loose = lenient_fallback(sm, snapshot)
-    return valid.unionByName(loose)
+    return expand_sitemaps(sm, snapshot, mode="lenient")
 
 
 def pipeline_b(domains: DataFrame, snapshot: DataFrame, rendered: DataFrame | None = None,

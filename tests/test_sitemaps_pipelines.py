@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from crawlfold.functions.keywords import SITEMAP_NS
 from crawlfold.operators import site as W
-from crawlfold.operators.sitemaps import expand_sitemaps, lenient_fallback, robots_sitemap
+from crawlfold.operators.sitemaps import expand_sitemaps, robots_sitemap
 
 NS = SITEMAP_NS
 
@@ -29,8 +29,40 @@ def test_prefixed_and_plain_urlsets(spark):
                                     ("d4", "http://a/s4.xml")], "domain string, sitemap_url string")
     got = {(r.domain, r.url) for r in expand_sitemaps(starts, s, "a").collect()}
     assert got == {("d1", "http://a/x"), ("d2", "http://a/y")}
-    loose = {(r.domain, r.url) for r in lenient_fallback(starts, s).collect()}
-    assert ("d3", "http://a/z") in loose and all(d != "d1" for d, _ in loose)
+    # the fallback is for syntax errors: well-formed XML without the namespace gives nothing
+    lenient = {(r.domain, r.url) for r in expand_sitemaps(starts, s, "lenient").collect()}
+    assert lenient == {("d1", "http://a/x"), ("d2", "http://a/y"), ("d4", NS), ("d4", "http://a/trunc")}
+
+
+def test_prologs(spark):
+    body = f'<urlset xmlns="{NS}"><url><loc>http://a/{{}}</loc></url></urlset>'
+    heads = ['<?xml version="1.0"?>\n<?xml-stylesheet type="text/xsl" href="//a/x.xsl"?>\n', '<!DOCTYPE urlset>', "\ufeff",
+             '<?xml version="1.0"?><!-- a > b --><!DOCTYPE urlset [<!ELEMENT url (loc)>]>\n <!--x-->', "\n" * 5000]
+    s = snap(spark, [(f"http://a/{i}.xml", h + body.format(i)) for i, h in enumerate(heads)])
+    starts = spark.createDataFrame([(f"d{i}", f"http://a/{i}.xml") for i in range(len(heads))], "domain string, sitemap_url string")
+    for mode in ("a", "b", "lenient"):
+        assert sorted(urls_of(expand_sitemaps(starts, s, mode))) == [f"http://a/{i}" for i in range(len(heads))], mode
+
+
+def test_deep_cyclic_and_broken_children(spark):
+    def index(*urls):
+        return f'<sitemapindex xmlns="{NS}">' + "".join(f"<sitemap><loc>{u}</loc></sitemap>" for u in urls) + "</sitemapindex>"
+    depth = 20
+    rows = [(f"http://a/{i}.xml", index(f"http://a/{i + 1}.xml", f"http://a/{i + 1}.xml", f"http://a/{max(i - 1, 0)}.xml")) for i in range(depth)]
+    rows += [(f"http://a/{depth}.xml", f'<urlset xmlns="{NS}"><url><loc>http://a/deep</loc></url></urlset>'),
+             ("http://b/i.xml", index("http://b/bad.xml", "http://b/bare.xml")),
+             ("http://b/bad.xml", f'<urlset xmlns="{NS}"><url><loc>http://b/x?a=1&b=2</loc></url></urlset>'),
+             ("http://b/bare.xml", "see http://b/y, or <b>http://b/z")]
+    starts = spark.createDataFrame([("a", "http://a/0.xml"), ("b", "http://b/i.xml")], "domain string, sitemap_url string")
+    s = snap(spark, rows)
+    assert urls_of(expand_sitemaps(starts, s, "a")) == ["http://a/deep"]
+    near = spark.createDataFrame([("a", f"http://a/{depth - 2}.xml"), ("b", "http://b/i.xml")], "domain string, sitemap_url string")
+    cut = s.filter(f"url <> 'http://a/{depth - 3}.xml'")
+    assert urls_of(expand_sitemaps(near, cut, "b")) == ["http://a/deep"]
+    lenient = expand_sitemaps(near, cut, "lenient").cache()
+    assert urls_of(lenient.filter("domain = 'a'")).count("http://a/deep") == 1
+    assert urls_of(lenient.filter("domain = 'b'")) == [
+        "http://b/bad.xml", "http://b/bare.xml", "http://b/x?a=1&b=2", "http://b/y", "http://b/z"]
 
 
 def test_index_cycle_terminates(spark):
@@ -42,7 +74,7 @@ def test_index_cycle_terminates(spark):
     ])
     starts = spark.createDataFrame([("d", "http://a/i.xml"), ("e", "http://a/self.xml")], "domain string, sitemap_url string")
     assert urls_of(expand_sitemaps(starts, s, "a")) == ["http://a/p1", "http://a/p2"]
-    lenient = urls_of(expand_sitemaps(starts.filter("domain = 'd'"), s, "lenient", max_levels=4))
+    lenient = urls_of(expand_sitemaps(starts.filter("domain = 'd'"), s, "lenient"))
     assert lenient[:2] == ["http://a/i.xml", "http://a/u.xml"] and "http://a/p1" in lenient
 
 
