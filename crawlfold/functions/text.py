@@ -7,6 +7,7 @@ inside whole-stage codegen with no Python in the task.
 from __future__ import annotations
 
 import functools
+import html.entities
 import unicodedata
 
 from pyspark.sql import Column
@@ -109,32 +110,11 @@ def deobfuscate_email(c, strip_spaces: bool = False) -> Column:
 
 
 # ---------------------------------------------------------------------------
-# FIXED VALUES (page text, Catalyst mode): element bodies dropped, tag shape,
-# and the entity table. The bare "&amp" form is decoded last.
+# FIXED VALUES (page text, Catalyst mode): element bodies dropped, tag shape
 # ---------------------------------------------------------------------------
 DROPPED_ELEMENTS = ["script", "style", "template"]
 COMMENT_PATTERN = r"(?s)<!--.*?-->"
 TAG_PATTERN = r"<[a-zA-Z/!?][^>]*>"
-ENTITIES = [
-    ("&nbsp;?", "\u00a0"),
-    ("&lt;?", "<"),
-    ("&gt;?", ">"),
-    ("&quot;?", '"'),
-    ("&copy;?", "©"),
-    ("&reg;?", "®"),
-    ("&middot;?", "·"),
-    ("&apos;", "'"),
-    ("&#39;", "'"),
-    ("&#x27;", "'"),
-    ("&hellip;", "…"),
-    ("&laquo;?", "«"),
-    ("&raquo;?", "»"),
-    ("&eacute;?", "é"),
-    ("&egrave;?", "è"),
-    ("&agrave;?", "à"),
-    ("&ccedil;?", "ç"),
-    ("&amp;?", "&"),
-]
 
 
 def dropped_elements_pattern() -> str:
@@ -142,13 +122,65 @@ def dropped_elements_pattern() -> str:
     return f"(?is){alts}"
 
 
+@functools.lru_cache(maxsize=None)
+def _named_entities() -> tuple[dict[str, dict[str, str]], str]:
+    """HTML's named references, from the standard library's table: those that
+    end in ``;`` by first letter, and a pattern of the names that may lack it,
+    longest first."""
+    by_letter: dict[str, dict[str, str]] = {}
+    for name, value in html.entities.html5.items():
+        by_letter.setdefault(name[0], {})[name] = value
+    short = sorted((n for n in html.entities.html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+    return by_letter, "^(?:" + "|".join(short) + ")"
+
+
+def _entity_value(name: Column) -> Column:
+    """Value of a name (with its ``;`` if it has one), NULL when unknown. The
+    maps are folded to literals; a look-up scans the names of one letter."""
+    by_letter, _ = _named_entities()
+    cell = [F.lit(x) for letter, names in sorted(by_letter.items()) for x in (letter, "\1".join(names), "\1".join(names.values()))]
+    tables = F.create_map(*[
+        x for i in range(0, len(cell), 3)
+        for x in (cell[i], F.map_from_arrays(F.split(cell[i + 1], "\1", -1), F.split(cell[i + 2], "\1", -1)))])
+    return F.element_at(F.element_at(tables, F.substring(name, 1, 1)), name)
+
+
+def _code_point(number: Column) -> Column:
+    """Character of a numeric reference, as HTML reads it: 0x80-0x9F are those
+    of code page 1252; 0, surrogates and what is beyond Unicode are U+FFFD;
+    control characters and non-characters vanish. NULL (too long) is U+FFFD."""
+    western = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0))
+    none = ((number.between(1, 8)) | (number == 11) | number.between(14, 31) | (number == 127)
+            | number.between(0xFDD0, 0xFDEF) | (number % 0x10000 >= 0xFFFE))
+    char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    bad = number.isNull() | (number == 0) | number.between(0xD800, 0xDFFF) | (number > 0x10FFFF)
+    return (F.when(bad, F.lit("\ufffd")).when(number.between(0x80, 0x9F), F.substr(F.lit(western), (number - 0x7F).cast("int"), F.lit(1)))
+            .when(none, F.lit("")).otherwise(char))
+
+
 def decode_entities(c) -> Column:
+    """Character references decoded once, left to right: numeric ones and all of
+    HTML's names (without ``;`` where HTML allows, by the longest such name)."""
     s = _col(c)
-    out = s
-    for pattern, repl in ENTITIES:
-        out = F.regexp_replace(out, pattern, repl.replace("\\", "\\\\").replace("$", "\\$"))
-    # skip the chain entirely for texts without '&'
-    return F.when(F.instr(s, "&") > 0, out).otherwise(s)
+    _, short = _named_entities()
+
+    def one(p: Column) -> Column:  # what follows an ampersand
+        digits = F.regexp_extract(p, "^#([0-9]+)", 1)
+        hexa = F.regexp_extract(p, "^#[xX]([0-9a-fA-F]+)", 1)
+        number = (F.when(digits != "", F.regexp_replace(digits, "^0+(?=.)", "").try_cast("int").cast("bigint"))
+                  .otherwise(F.when(F.length(F.regexp_replace(hexa, "^0+(?=.)", "")) <= 6, F.conv(hexa, 16, 10).try_cast("bigint"))))
+        whole = F.regexp_extract(p, "^[A-Za-z][A-Za-z0-9]{0,31};", 0)
+        legacy = F.regexp_extract(p, short, 0)
+        return (F.when((digits != "") | (hexa != ""), F.concat(_code_point(number), F.regexp_replace(p, "^#(?:[0-9]+|[xX][0-9a-fA-F]+);?", "")))
+                .when(~p.rlike("^[A-Za-z]"), F.concat(F.lit("&"), p))
+                .when(_entity_value(whole).isNotNull(), F.concat(_entity_value(whole), F.substr(p, F.length(whole) + 1)))
+                .when(legacy != "", F.concat(_entity_value(legacy), F.substr(p, F.length(legacy) + 1)))
+                .otherwise(F.concat(F.lit("&"), p)))
+
+    parts = F.split(s, "&", -1)
+    decoded = F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), one), ""))
+    # texts without '&' skip all of it
+    return F.when(F.instr(s, "&") > 0, decoded).otherwise(s)
 
 
 def page_text(html) -> Column:

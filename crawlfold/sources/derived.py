@@ -10,7 +10,8 @@ robots or sitemap files, so a site snapshot is derived from them:
 * ``links``     page of rank r links to ranks (r+1)%n, (2r+1)%n, (3r+2)%n of
   its host (self links dropped), anchor texts by position, and (position 3)
   to the host's legal notice page ``scheme://host/mentions-legales``;
-* snapshot      each page body gets a supplier paragraph and its links (in a
+* snapshot      each page body gets a supplier paragraph (page id modulo 3: with
+  a numeric reference, named ones, or a SIREN of its own) and its links (in a
   ``div class="site-footer"`` when the host name has even length, else in
   ``<main>``); every host gets a homepage ``scheme://host`` (its rank-0 body),
   a legal notice page (supplier ``length(host) * 7 % n`` text) and a
@@ -102,6 +103,16 @@ def links(ranked: DataFrame) -> DataFrame:
     return ranked_links.unionByName(legal)
 
 
+def _paragraph() -> F.Column:
+    """A page's supplier text as HTML: by page id, the address has a numeric
+    reference, or names stand before it, or a SIREN of its own follows."""
+    own = F.lpad(((F.col("s_suppkey") * 13) % 1000).cast("string"), 3, "0")
+    k = F.col("page_id") % 3
+    return (F.when(k == 0, F.replace(F.col("text"), F.lit("@"), F.lit("&#64;")))
+            .when(k == 1, F.concat(F.lit("N&deg; t&ecirc;te&rsquo; "), F.col("text")))
+            .otherwise(F.concat(F.col("text"), F.lit(" SIREN "), own, F.lit(" 443 210."))))
+
+
 def _page_bodies(spark: SparkSession, sf_dir: str, ranked: DataFrame, link_df: DataFrame) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", "html")
     supplier = read_table(spark, sf_dir, "supplier")
@@ -124,7 +135,7 @@ def _page_bodies(spark: SparkSession, sf_dir: str, ranked: DataFrame, link_df: D
         .withColumn(
             "body",
             F.concat(
-                F.col("html"), F.lit("<p>"), F.col("text"), F.lit("</p>"),
+                F.col("html"), F.lit("<p>"), _paragraph(), F.lit("</p>"),
                 F.when(even, F.concat(F.lit('<div class="site-footer">'), F.col("anchors"), F.lit("</div>")))
                 .otherwise(F.concat(F.lit("<main>"), F.col("anchors"), F.lit("</main>"))),
             ),
