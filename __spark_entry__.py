@@ -27,9 +27,10 @@ from crawlfold.operators import crawl as C  # noqa: E402
 from crawlfold.operators import links as L  # noqa: E402
 from crawlfold.operators import site as W  # noqa: E402
 from crawlfold.operators import sitemaps as SM  # noqa: E402
+from crawlfold.operators.ranking import rank_within  # noqa: E402
 from crawlfold.plans.pipeline_a import extract_pages_a, pipeline_a, source_urls  # noqa: E402
 from crawlfold.plans.pipeline_b import extract_pages_b, pipeline_b, sitemap_urls_b  # noqa: E402
-from crawlfold.session import ensure_checkpoint_dir  # noqa: E402
+from crawlfold.session import cut_lineage, ensure_checkpoint_dir  # noqa: E402
 from crawlfold.sources import derived as D  # noqa: E402
 from crawlfold.sources.tables import fetched, read_table  # noqa: E402
 
@@ -335,8 +336,7 @@ def _sitemap_mode(spark, sf, mode, robots_mode):
     b, d = _ok_bases(spark, sf)
     starts = SM.robots_sitemap(b, d["snapshot"], "base_url", robots_mode).select("domain", "sitemap_url")
     r = SM.expand_sitemaps(starts, d["snapshot"], mode=mode)
-    w = F.row_number().over(__import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("domain").orderBy("ord"))
-    return r.select("domain", "url", (w - 1).cast("bigint").alias("pos"))
+    return rank_within(r, "domain", "ord", "pos", None).select("domain", "url", "pos")
 
 
 def q_sitemap_a(spark, sf):
@@ -373,9 +373,9 @@ def q_rank_links(spark, sf):
     from pyspark.sql import Window
     w = Window.partitionBy("site", "dst").orderBy(F.col("score").desc(), "src", "pos")
     first = ln.withColumn("_k", F.row_number().over(w)).filter("_k = 1")
-    w2 = Window.partitionBy("site").orderBy(F.col("score").desc(), "src", "pos")
-    return first.select("site", F.col("dst").alias("url"), F.round("score", 6).alias("score"),
-                        (F.row_number().over(w2) - 1).cast("bigint").alias("rank"))
+    placed = first.withColumn("_place", F.struct((-F.col("score")).alias("s"), "src", "pos"))
+    return rank_within(placed, "site", "_place", "rank", None).select(
+        "site", F.col("dst").alias("url"), F.round("score", 6).alias("score"), "rank")
 
 
 def q_domain_union(spark, sf):
@@ -400,10 +400,6 @@ def q_homepage_fallback(spark, sf):
     return W.homepage_fallback(b, gated).distinct()
 
 
-def _domains_in_order(d):
-    return d["domains"].withColumn("input_pos", F.monotonically_increasing_id())
-
-
 def q_pipeline_a_compat(spark, sf):
     d = _site(spark, sf)
     r = pipeline_a(d["domains"], d["snapshot"], compat=True)
@@ -425,7 +421,8 @@ def q_crawl_bfs(spark, sf):
     b = W.base_urls(d["domains"], d["snapshot"]).filter(F.col("base_url").isNotNull())
     seeds = b.join(fetched(d["snapshot"]).select(F.col("url").alias("base_url")), "base_url", "left_semi").select(
         F.col("domain").alias("site"), F.col("base_url").alias("base"))
-    links = L.page_links(fetched(d["snapshot"]))
+    links = C.links_of(fetched(d["snapshot"]), L.page_links)
+    seeds = cut_lineage(seeds)
     homes = fetched(d["snapshot"]).join(seeds.select(F.col("base").alias("url")), "url", "left_semi")
     scoped = L.scoped_links(homes).join(seeds.select(F.col("base").alias("url"), "site", "base"), "url")
     footer = L.footer_links_a(scoped, "base").select("site", "link", "text", "pos")
@@ -437,7 +434,7 @@ def q_crawl_site(spark, sf):
     d = _site(spark, sf)
     b = W.base_urls(d["domains"], d["snapshot"]).filter(F.col("base_url").isNotNull())
     seeds = b.select(F.col("domain").alias("site"), F.col("base_url").alias("base"))
-    return C.crawl_site(seeds, L.scoped_links(fetched(d["snapshot"])))
+    return C.crawl_site(cut_lineage(seeds), C.links_of(fetched(d["snapshot"]), L.scoped_links))
 
 
 def q_pipeline_b(spark, sf):

@@ -4,9 +4,9 @@ A FIFO crawl visits level d before level d+1 and, inside a level, parents in
 queue order and links in document order. So one level is one relational
 step:
 
-1. join the frontier ``(site, base, url, rank)`` to the pre-extracted link
-   table on ``url`` (the link table is extracted once from the snapshot and
-   hash-partitioned by ``url``, so only the small frontier moves);
+1. take the links of the frontier's pages: ``links`` is a function from a table
+   of urls to their links, so a level reads and parses only the pages it needs
+   (a left-semi join of the snapshot to the written, hence sized, frontier);
 2. resolve, filter, left-anti the visited set, keep the first sighting of
    each URL by ``(parent rank, link position)``;
 3. the visited count seen when parent ``p`` is popped is the count before
@@ -21,26 +21,40 @@ all pages.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlfold.functions import keywords as K
 from crawlfold.functions.scoring import score_max
-from crawlfold.functions.urls import http_only, netloc, strip_ws, url_join
+from crawlfold.functions.urls import contains_any, http_only, netloc, strip_ws, url_join
 from crawlfold.session import cut_lineage
 
+Links = DataFrame | Callable[[DataFrame], DataFrame]
+
+
+def links_of(pages: DataFrame, extract: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """Links of some urls only: ``extract`` runs on the pages of the urls asked for."""
+    return lambda urls: extract(pages.join(urls.select("url").distinct(), "url", "left_semi"))
+
+
+def _links(links: Links, frontier: DataFrame) -> DataFrame:
+    return links(frontier) if callable(links) else links
+
 
 def _rank_next(df: DataFrame, order_cols) -> DataFrame:
     w = Window.partitionBy("site").orderBy(*order_cols)
     return df.withColumn("rank", (F.row_number().over(w) - 1).cast("bigint"))
 
 
-def crawl_bfs(seeds: DataFrame, links: DataFrame, footer: DataFrame | None = None,
+def crawl_bfs(seeds: DataFrame, links: Links, footer: DataFrame | None = None,
               max_depth: int = K.CRAWL_MAX_DEPTH, cap: int = K.CRAWL_MAX_VISITED) -> DataFrame:
     """Scored BFS over internal links (pipeline A).
 
     seeds  ``(site, base)``: start pages that were fetched;
-    links  ``(url, pos, href, text)``: anchors of every fetched page;
+    links  ``(url, pos, href, text)``: anchors of the fetched pages, as a table
+           or as a function of the urls needed (``links_of``);
     footer ``(site, link, text, pos)``: footer links of the start page
            (already resolved, same host), scored and marked visited first,
            never expanded.
@@ -63,7 +77,7 @@ def crawl_bfs(seeds: DataFrame, links: DataFrame, footer: DataFrame | None = Non
     frontier = seeds.select("site", "base", F.col("base").alias("url"), F.lit(0).cast("bigint").alias("rank"))
     found_parts = [found]
     for depth in range(max_depth):
-        e = frontier.join(links.select("url", "pos", "href", "text"), "url")
+        e = frontier.join(_links(links, frontier).select("url", "pos", "href", "text"), "url")
         e = e.select("site", "base", F.col("rank").alias("parent_rank"), "pos", "href", "text",
                      url_join(F.col("base"), F.col("href")).alias("abs"))
         skip = F.lit(False)
@@ -89,9 +103,9 @@ def crawl_bfs(seeds: DataFrame, links: DataFrame, footer: DataFrame | None = Non
             F.array(F.lit(1), F.lit(depth).cast("bigint"), F.col("parent_rank"), F.col("pos").cast("bigint")).alias("ord")))
         nxt = _rank_next(scored.select("site", "base", F.col("abs").alias("url"), "parent_rank", "pos"),
                          ["parent_rank", "pos"])
-        frontier = nxt.select("site", "base", "url", "rank")
-        if depth + 1 < max_depth and kept.isEmpty():
+        if depth + 1 == max_depth or kept.isEmpty():
             break
+        frontier = cut_lineage(nxt.select("site", "base", "url", "rank"))
     allf = found_parts[0]
     for p in found_parts[1:]:
         allf = allf.unionByName(p)
@@ -101,17 +115,17 @@ def crawl_bfs(seeds: DataFrame, links: DataFrame, footer: DataFrame | None = Non
     return uniq.withColumn("rank", (F.row_number().over(w_r) - 1).cast("bigint")).drop("ord")
 
 
-def crawl_site(seeds: DataFrame, scoped: DataFrame, max_depth: int = K.SITE_CRAWL_MAX_DEPTH,
+def crawl_site(seeds: DataFrame, scoped: Links, max_depth: int = K.SITE_CRAWL_MAX_DEPTH,
                max_pages: int = K.SITE_CRAWL_MAX_PAGES) -> DataFrame:
     """FIFO crawl of pipeline B: footer links (footer/bottom/bas-page) and
     keyword-text links are collected and queued, frames collected only;
     off-site http(s) links allowed; at most ``max_pages`` pages processed.
 
     seeds  ``(site, base)``; scoped ``(url, pos, href, text, in_footer_b,
-    is_frame)`` for every fetched page (static or rendered).
+    is_frame)`` of the fetched pages (static or rendered), as a table or as a
+    function of the urls needed (``links_of``).
     Returns ``(site, url)``: the distinct collected URLs.
     """
-    links = scoped.select("url", "pos", "href", "text", "in_footer_b", "is_frame")
     frontier = seeds.select("site", "base", F.col("base").alias("url"),
                             F.array().cast("array<bigint>").alias("qord"))
     visited = seeds.limit(0).select("site", F.lit("").alias("url"))
@@ -124,17 +138,17 @@ def crawl_site(seeds: DataFrame, scoped: DataFrame, max_depth: int = K.SITE_CRAW
         q = q.withColumn("_r", F.row_number().over(Window.partitionBy("site").orderBy("qord")) - 1)
         q = q.join(processed, "site").filter(F.col("_r") < max_pages - F.col("n_done"))
         q = cut_lineage(q.select("site", "base", "url", F.col("_r").cast("bigint").alias("parent_rank")))
+        if q.isEmpty() and found_parts:
+            break
         visited = visited.unionByName(q.select("site", "url"))
         processed = (
             processed.join(q.groupBy("site").agg(F.count(F.lit(1)).alias("_c")), "site", "left")
             .select("site", (F.col("n_done") + F.coalesce("_c", F.lit(0))).alias("n_done")))
+        links = _links(scoped, q).select("url", "pos", "href", "text", "in_footer_b", "is_frame")
         e = q.join(links, "url").withColumn("link", url_join(F.col("base"), F.col("href")))
-        e = e.filter(http_only(F.col("link")))
+        e = cut_lineage(e.filter(http_only(F.col("link"))).drop("href"))  # read twice: results and next frontier
         footer = e.filter(F.col("in_footer_b") & ~F.col("is_frame"))
-        kw = F.lit(False)
-        for k in K.CANDIDATE_KEYWORDS:
-            kw = kw | F.contains(F.lower(F.col("text")), F.lit(k))
-        regular = e.filter(kw & ~F.col("is_frame"))
+        regular = e.filter(contains_any(F.lower(F.col("text")), K.CANDIDATE_KEYWORDS) & ~F.col("is_frame"))
         frames = e.filter(F.col("is_frame"))
         found_parts.append(footer.select("site", F.col("link").alias("url"))
                            .unionByName(regular.select("site", F.col("link").alias("url")))
@@ -146,8 +160,6 @@ def crawl_site(seeds: DataFrame, scoped: DataFrame, max_depth: int = K.SITE_CRAW
                .unionByName(regular.select("site", "base", F.col("link").alias("url"),
                                            F.array(F.col("parent_rank"), F.lit(1).cast("bigint"), F.col("pos").cast("bigint")).alias("qord"))))
         frontier = nxt
-        if q.isEmpty():
-            break
     out = found_parts[0]
     for p in found_parts[1:]:
         out = out.unionByName(p)

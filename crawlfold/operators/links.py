@@ -11,6 +11,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -93,6 +94,9 @@ SCOPED_SCHEMA = (
 )
 
 
+UNKNOWN_SECTION = re.compile(r"<!\[(?!(?:temp|cdata|ignore|include|rcdata|if|else|endif)(?![-_.a-z0-9]))[^<>\[]*\[?", re.I)
+
+
 class _LinkScanner(HTMLParser):
     """Anchors and frames with footer scope from the open-element stack."""
 
@@ -155,11 +159,13 @@ class _LinkScanner(HTMLParser):
 
 def _scan(html: str):
     p = _LinkScanner()
-    try:
-        p.feed(html or "")
-        p.close()
-    except Exception:  # malformed markup: keep what was read
-        pass
+    # the tokenizer asserts on the opening of marked sections of unknown keywords
+    # ("<![foo["), so these go; the markup that follows is read as any other
+    html = html or ""
+    while UNKNOWN_SECTION.search(html):
+        html = UNKNOWN_SECTION.sub("", html)
+    p.feed(html)
+    p.close()
     for r in p.out:
         if isinstance(r[1], list):
             r[1] = "".join(r[1])

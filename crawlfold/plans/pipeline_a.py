@@ -2,8 +2,8 @@
 candidate pages (or the homepage) -> page text -> plain identifiers ->
 one report row per input domain, plus run counters.
 
-Shuffles: the URL joins against the snapshot (hash of ``url``; the runtime
-bloom filter prunes the snapshot side before it moves) and the per-domain set
+Shuffles: the URL joins against the snapshot (hash of ``url``, or a broadcast
+of the written URL list where its known size allows) and the per-domain set
 union (hash of domain/value after a map-side distinct).
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from crawlfold.functions.extract import email_plain, siren_plain, siret_plain
 from crawlfold.functions.text import page_text
-from crawlfold.operators.crawl import crawl_bfs
+from crawlfold.operators.crawl import crawl_bfs, links_of
 from crawlfold.operators.links import footer_links_a, page_links, scoped_links
 from crawlfold.operators.site import (
     base_urls, candidates_gate, homepage_fallback, page_lookup, report_a, run_stats, union_per_domain,
@@ -62,7 +62,7 @@ def source_urls(bases: DataFrame, snapshot: DataFrame, links: DataFrame | None =
         F.col("domain").alias("site"), F.col("base_url").alias("base"))
     seeds = cut_lineage(seeds)
     if links is None:
-        links = page_links(fetched(snapshot))
+        links = links_of(fetched(snapshot), page_links)
     homes = fetched(snapshot).join(seeds.select(F.col("base").alias("url")), "url", "left_semi")
     scoped = scoped_links(homes).join(seeds.select(F.col("base").alias("url"), "site", "base"), "url")
     footer = footer_links_a(scoped, "base").select("site", "link", "text", "pos")

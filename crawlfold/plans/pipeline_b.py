@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from crawlfold.functions.extract import extract_context
 from crawlfold.functions.scoring import score_sum
 from crawlfold.functions.text import page_text
-from crawlfold.operators.crawl import crawl_site
+from crawlfold.operators.crawl import crawl_site, links_of
 from crawlfold.operators.links import scoped_links
 from crawlfold.operators.site import base_urls, page_lookup, report_b, top_urls, union_per_domain
 from crawlfold.operators.sitemaps import expand_sitemaps, robots_sitemap
@@ -70,7 +70,8 @@ def pipeline_b(domains: DataFrame, snapshot: DataFrame, rendered: DataFrame | No
     if scoped is None:
         pages_all = snapshot if rendered is None else snapshot.unionByName(
             rendered.join(fetched(snapshot).select("url"), "url", "left_anti").select("url", "body"))
-        scoped = scoped_links(fetched(pages_all))
+        scoped = links_of(fetched(pages_all), scoped_links)
+    seeds = cut_lineage(seeds)
     crawled = crawl_site(seeds, scoped).withColumnRenamed("site", "domain")
     scored = crawled.withColumn("score", score_sum(F.col("url"))).withColumn("ord", F.col("url"))
     t2 = top_urls(scored).select("domain", "url").join(t1, ["domain", "url"], "left_anti")
