@@ -8,11 +8,14 @@ of the second collection. 2 * KEYS * ROWS minhashes so do the work of
 
 Texts of equal shingle sets are one node first. A table key that only one node
 has is never formed: a pair key needs both its halves to be shared. In a table
-a node is first verified against one pivot; only nodes that are not yet
-connected are compared further, at last in all pairs of the table that the
-exact bounds (sizes; triangle inequality of the Jaccard distance over a common
-pivot) leave open. Every link is confirmed on the full shingle sets, nothing is
-capped, and no bucket is collected: joins and minima only.
+a node is first verified against one pivot, the node that meets most others (the
+original of a family of copies, as a rule); only nodes that are not yet connected
+are compared further, at last in all pairs of the table that exact bounds leave
+open: sizes, the triangle inequality of the Jaccard distance over a common
+pivot, and shingles that no node of another component has, which can be in no
+intersection that matters. By the last bound members of a large family that are too far
+apart leave their tables one by one, not pair by pair. Every link is confirmed
+on the full shingle sets, nothing is capped, and no bucket is collected.
 """
 
 from __future__ import annotations
@@ -80,15 +83,21 @@ def _full_sets(width):
 
 
 def _tables(nodes: DataFrame) -> DataFrame:
-    """``(slot, node, n)`` of every table entry that two nodes at least share,
-    by halves: a node forms pair keys only of halves that others have too."""
+    """``(slot, i, j, node, n, pivot, met)`` of every table entry that two nodes at
+    least share, by halves: a node forms pair keys only of halves that others
+    have too. The pivot is the slot's node that meets most others in all."""
     halves = nodes.select("node", "n", F.posexplode("keys").alias("i", "k"))
     shared = stage(halves.groupBy("k").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("k"), "shared-halves")
     alive = stage(halves.join(shared, "k", "left_semi"), "halves")
-    first, second = alive.filter(F.col("i") < KEYS), alive.filter(F.col("i") >= KEYS).select("node", F.col("k").alias("k2"))
-    slots = first.join(second, "node").select(F.xxhash64("k", "k2").alias("slot"), "node", "n")
-    common = slots.groupBy("slot").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("pivot")).filter("c > 1")
-    return stage(slots.join(stage(common.select("slot", "pivot"), "slots"), "slot"), "tables")
+    first, second = alive.filter(F.col("i") < KEYS), alive.filter(F.col("i") >= KEYS).select("node", F.col("i").alias("j"), F.col("k").alias("k2"))
+    slots = first.join(second, "node").select(F.xxhash64("k", "k2").alias("slot"), "i", "j", "node", "n")
+    slots = stage(slots, "slots")
+    common = slots.groupBy("slot").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    shared = stage(slots.join(stage(common, "shared-slots"), "slot"), "shared")
+    # how many others a node meets, table by table
+    met = stage(shared.groupBy("node").agg(F.sum(F.col("c") - 1).alias("met")), "met")
+    best = shared.join(met, "node").groupBy("slot").agg(F.max(F.struct("met", "node")).alias("top"))
+    return stage(shared.join(stage(best.select("slot", "top.met", F.col("top.node").alias("pivot")), "pivots"), "slot"), "tables")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -102,6 +111,38 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         "x", "y", "inner", (F.col("_sum") - F.col("inner")).alias("outer"))
 
 
+def _bounded(tables: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Open tables with ``cap``, the shingles a node shares with open nodes of
+    other components, without the entries that this bound rules out: with a
+    slot's smallest size m, x can reach at most cap / (n + max(m, cap) - cap)."""
+    own = tables.select("node", F.xxhash64("node").alias("nid"), F.xxhash64("root").alias("rid")).distinct()
+    items = sets.join(own, "node").select("nid", "rid", F.explode("items").alias("item"))
+    inside = items.groupBy("item").agg(F.min("rid").alias("a"), F.max("rid").alias("b")).filter("a = b").select("item")
+    inside = stage(inside, "inside")  # of one component only: a table of its own, so hot items can be split
+    alone = stage(items.join(inside, "item", "left_semi").groupBy("nid").agg(F.count(F.lit(1)).alias("alone")), "alone")
+    capped = tables.drop("cap").withColumn("nid", F.xxhash64("node")).join(alone, "nid", "left").drop("nid")
+    capped = stage(capped.withColumn("cap", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone"), "capped")
+    least = stage(capped.groupBy("slot").agg(F.min("n").alias("m")), "least")
+    kept = capped.join(least, "slot").filter(
+        100 * F.col("cap") >= similarity * (F.col("n") + F.greatest("m", "cap") - F.col("cap"))).drop("m")
+    open_slots = kept.groupBy("slot").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a <> _b").select("slot")
+    return stage(kept.join(stage(open_slots, "open"), "slot", "left_semi"), "tables")
+
+
+def _within(n_x, n_y, cap_x, cap_y, similarity: int):
+    """Whether two nodes of these sizes and caps can be similar enough."""
+    inner = F.least(cap_x, cap_y)
+    return 100 * inner >= similarity * (n_x + n_y - inner)
+
+
+def _first_common(a: str, b: str):
+    """Whether a slot is the first that two nodes share, so that a pair of nodes
+    comes from one slot only: by the first equal key of each collection."""
+    equal = F.zip_with(f"{a}.keys", f"{b}.keys", lambda x, y: x == y)
+    return ((F.array_position(F.slice(equal, 1, KEYS), True) == F.col(f"{a}.i") + 1)
+            & (F.array_position(F.slice(equal, KEYS + 1, KEYS), True) == F.col(f"{a}.j") - KEYS + 1))
+
+
 def _linked(checked: DataFrame, similarity: int) -> DataFrame:
     return checked.filter(100 * F.col("inner") >= similarity * F.col("outer")).select(F.col("x").alias("u"), F.col("y").alias("v"))
 
@@ -141,14 +182,16 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     sets = stage(texts.select("node", "_text").mapInArrow(_full_sets(width), "node binary, items array<bigint>")
                  .dropDuplicates(["node"]), "sets")
 
-    # 1. every node against the smallest pivot of its slots
-    star = tables.filter("node <> pivot").groupBy("node").agg(F.min("pivot").alias("y")).select(F.col("node").alias("x"), "y")
-    checked = stage(_verify(star, sets), "checked")
+    # 1. every node against the pivot of its slots that meets most others
+    star = tables.filter("node <> pivot").groupBy("node").agg(F.max(F.struct("met", "pivot")).alias("top"))
+    checked = stage(_verify(star.select(F.col("node").alias("x"), F.col("top.pivot").alias("y")), sets), "checked")
     links = _linked(checked, similarity)
     roots = stage(components(links), "roots")
     # 2. where a slot holds several components: every node against the slot's pivot
-    tables = _with_roots(tables, roots)
-    more = tables.filter("node <> pivot").select(F.col("node").alias("x"), F.col("pivot").alias("y")).distinct()
+    tables = _bounded(_with_roots(tables, roots), sets, similarity)
+    pivots = tables.filter("node = pivot").select("slot", F.col("n").alias("pn"), F.col("cap").alias("pcap"))
+    more = tables.filter("node <> pivot").join(pivots, "slot").filter(_within(F.col("n"), F.col("pn"), F.col("cap"), F.col("pcap"), similarity))
+    more = more.select(F.col("node").alias("x"), F.col("pivot").alias("y")).distinct()
     more = stage(_verify(more.join(checked, ["x", "y"], "left_anti"), sets), "checked")
     checked = checked.unionByName(more)
     new = _linked(more, similarity)
@@ -156,16 +199,18 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
         links = links.unionByName(new)
         roots = stage(components(links), "roots")
     # 3. the rest: all pairs of a slot in different components that exact bounds allow
-    tables = _with_roots(tables.drop("root"), roots)
+    tables = _bounded(_with_roots(tables.drop("root"), roots), sets, similarity)
     to_pivot = checked.select(F.col("x").alias("node"), F.col("y").alias("pivot"), (F.col("inner") / F.col("outer")).alias("sim"))
     placed = tables.join(to_pivot, ["node", "pivot"], "left").withColumn(
         "sim", F.when(F.col("node") == F.col("pivot"), F.lit(1.0)).otherwise(F.col("sim")))
-    placed = stage(placed.select("slot", "node", "n", "root", "sim"), "placed")
+    placed = placed.join(keyed.select("node", "keys"), "node")
+    placed = stage(placed.select("slot", "i", "j", "node", "n", "cap", "root", "sim", "keys"), "placed")
     a, b = placed.alias("a"), placed.alias("b")
     least = similarity / 100
     open_pairs = a.join(b, (F.col("a.slot") == F.col("b.slot")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root"))
-                        & (100 * F.least("a.n", "b.n") >= similarity * F.greatest("a.n", "b.n"))
-                        & (F.abs(F.col("a.sim") - F.col("b.sim")) <= 1 - least + 1e-9))
+                        & _within(F.col("a.n"), F.col("b.n"), F.col("a.cap"), F.col("b.cap"), similarity)
+                        & (F.coalesce(F.abs(F.col("a.sim") - F.col("b.sim")), F.lit(0.0)) <= 1 - least + 1e-9)
+                        & _first_common("a", "b"))
     open_pairs = open_pairs.select(F.col("a.node").alias("x"), F.col("b.node").alias("y")).distinct()
     known = checked.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     last = stage(_verify(open_pairs.join(known, ["x", "y"], "left_anti"), sets), "checked")
