@@ -301,7 +301,7 @@ def _scoped(spark, sf):
 def q_footer_links(spark, sf):
     r = L.footer_links_a(_scoped(spark, sf), "base")
     return r.select("url", F.col("pos").cast("bigint").alias("pos"), "link",
-                    F.round(S.score_max(F.col("link"), U.strip_ws(F.col("text"))), 6).alias("score"))
+                    F.round(S.score_max(F.col("link"), F.col("label")), 6).alias("score"))
 
 
 def q_legal_links(spark, sf):
@@ -425,7 +425,7 @@ def q_crawl_bfs(spark, sf):
     seeds = cut_lineage(seeds)
     homes = fetched(d["snapshot"]).join(seeds.select(F.col("base").alias("url")), "url", "left_semi")
     scoped = L.scoped_links(homes).join(seeds.select(F.col("base").alias("url"), "site", "base"), "url")
-    footer = L.footer_links_a(scoped, "base").select("site", "link", "text", "pos")
+    footer = L.footer_links_a(scoped, "base").select("site", "link", "text", "label", "pos")
     r = C.crawl_bfs(seeds, links, footer)
     return r.select("site", "url", F.round("score", 6).alias("score"), F.col("depth").cast("bigint").alias("depth"), "rank")
 

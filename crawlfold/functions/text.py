@@ -183,6 +183,16 @@ def decode_entities(c) -> Column:
     return F.when(F.instr(s, "&") > 0, decoded).otherwise(s)
 
 
+def glued_text(html) -> Column:
+    """Visible text with each text node stripped before they are glued (what a
+    link's label is scored by): ``Mentions <b> légales</b>`` reads
+    ``Mentionslégales``."""
+    s = F.regexp_replace(_col(html), COMMENT_PATTERN, "")
+    s = F.regexp_replace(s, dropped_elements_pattern(), "")
+    nodes = F.split(F.regexp_replace(s, TAG_PATTERN, "\x01"), "\x01", -1)
+    return F.array_join(F.transform(nodes, lambda n: F.regexp_replace(decode_entities(n), r"(?U)^\s+|\s+$", "")), "")
+
+
 def page_text(html) -> Column:
     """HTML -> visible text, parts glued with no separator (Catalyst mode).
 

@@ -48,6 +48,11 @@ def _rank_next(df: DataFrame, order_cols) -> DataFrame:
     return df.withColumn("rank", (F.row_number().over(w) - 1).cast("bigint"))
 
 
+def _label(links: DataFrame) -> F.Column:
+    """What a link is scored by: its glued label, or else its stripped text."""
+    return F.col("label") if "label" in links.columns else strip_ws(F.col("text"))
+
+
 def crawl_bfs(seeds: DataFrame, links: Links, footer: DataFrame | None = None,
               max_depth: int = K.CRAWL_MAX_DEPTH, cap: int = K.CRAWL_MAX_VISITED) -> DataFrame:
     """Scored BFS over internal links (pipeline A).
@@ -66,7 +71,7 @@ def crawl_bfs(seeds: DataFrame, links: Links, footer: DataFrame | None = None,
     if footer is None:
         footer = seeds.limit(0).select("site", F.lit("").alias("link"), F.lit("").alias("text"), F.lit(0).alias("pos"))
     fl = footer.select(
-        "site", F.col("link").alias("url"), score_max(F.col("link"), strip_ws(F.col("text"))).alias("score"),
+        "site", F.col("link").alias("url"), score_max(F.col("link"), _label(footer)).alias("score"),
         F.lit(0).alias("depth"), "pos")
     w_f = Window.partitionBy("site").orderBy(F.col("score").desc(), "pos")
     found = fl.withColumn("ord", F.array(F.lit(0), (F.row_number().over(w_f)).cast("bigint"))).drop("pos")
@@ -77,8 +82,9 @@ def crawl_bfs(seeds: DataFrame, links: Links, footer: DataFrame | None = None,
     frontier = seeds.select("site", "base", F.col("base").alias("url"), F.lit(0).cast("bigint").alias("rank"))
     found_parts = [found]
     for depth in range(max_depth):
-        e = frontier.join(_links(links, frontier).select("url", "pos", "href", "text"), "url")
-        e = e.select("site", "base", F.col("rank").alias("parent_rank"), "pos", "href", "text",
+        out = _links(links, frontier)
+        e = frontier.join(out.select("url", "pos", "href", _label(out).alias("label")), "url")
+        e = e.select("site", "base", F.col("rank").alias("parent_rank"), "pos", "href", "label",
                      url_join(F.col("base"), F.col("href")).alias("abs"))
         skip = F.lit(False)
         for p in K.SKIP_HREF_PREFIXES_C1:
@@ -97,7 +103,7 @@ def crawl_bfs(seeds: DataFrame, links: Links, footer: DataFrame | None = None,
         kept = cut_lineage(e.join(per_parent, ["site", "parent_rank"]))
         visited = visited.unionByName(kept.select("site", F.col("abs").alias("url")))
         counts = visited.groupBy("site").agg(F.count(F.lit(1)).alias("n_visited"))
-        scored = kept.withColumn("score", score_max(F.col("abs"), strip_ws(F.col("text")))).filter(F.col("score") > 0)
+        scored = kept.withColumn("score", score_max(F.col("abs"), F.col("label"))).filter(F.col("score") > 0)
         found_parts.append(scored.select(
             "site", F.col("abs").alias("url"), "score", F.lit(depth + 1).alias("depth"),
             F.array(F.lit(1), F.lit(depth).cast("bigint"), F.col("parent_rank"), F.col("pos").cast("bigint")).alias("ord")))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlfold.functions import keywords as K
-from crawlfold.functions.text import decode_entities, page_text
+from crawlfold.functions.text import decode_entities, glued_text, page_text
 from crawlfold.functions.urls import (
     candidate_keyword, contains_any, http_only, internal_link, netloc, skip_scheme, strip_ws, url_join,
 )
@@ -39,8 +39,9 @@ def _attr(attrs: F.Column, name: str) -> F.Column:
 
 
 def page_links(snapshot: DataFrame, url: str = "url", body: str = "body") -> DataFrame:
-    """``(url, pos, href, text, title)`` for every ``<a ... href=...>``; ``pos``
-    is the 0-based document position among the page's anchors with an href.
+    """``(url, pos, href, text, title, label)`` for every ``<a ... href=...>``;
+    ``pos`` is the 0-based document position among the page's anchors with an
+    href, ``label`` the text with its nodes stripped and glued.
     One narrow projection + explode: no shuffle."""
     attrs = F.regexp_extract_all(F.col(body), F.lit(ANCHOR_RE), 1)
     inner = F.regexp_extract_all(F.col(body), F.lit(ANCHOR_RE), 2)
@@ -53,6 +54,7 @@ def page_links(snapshot: DataFrame, url: str = "url", body: str = "body") -> Dat
         _attr(a, "href").alias("href"),
         page_text(F.col("a.inner")).alias("text"),
         _attr(a, "title").alias("title"),
+        glued_text(F.col("a.inner")).alias("label"),
     )
 
 
@@ -90,7 +92,7 @@ def internal_keyword_links(links: DataFrame, base: str = "base") -> DataFrame:
 
 SCOPED_SCHEMA = (
     "url string, pos int, href string, text string, title string, "
-    "in_footer_a boolean, in_footer_b boolean, is_frame boolean"
+    "in_footer_a boolean, in_footer_b boolean, is_frame boolean, label string"
 )
 
 
@@ -167,8 +169,9 @@ def _scan(html: str):
     p.feed(html)
     p.close()
     for r in p.out:
-        if isinstance(r[1], list):
-            r[1] = "".join(r[1])
+        nodes = r[1] or []
+        r[1] = "".join(nodes)
+        r.append("".join(n.strip() for n in nodes))
     return p.out
 
 
@@ -177,10 +180,10 @@ def _scan_batches(batches):
         rows = []
         for u, h in zip(pdf["url"], pdf["body"]):
             n_a = 0
-            for href, text, title, fa, fb, fr in _scan(h):
-                rows.append((u, n_a, href, text, title, fa, fb, fr))
+            for href, text, title, fa, fb, fr, label in _scan(h):
+                rows.append((u, n_a, href, text, title, fa, fb, fr, label))
                 n_a += 1
-        yield pd.DataFrame(rows, columns=["url", "pos", "href", "text", "title", "in_footer_a", "in_footer_b", "is_frame"])
+        yield pd.DataFrame(rows, columns=["url", "pos", "href", "text", "title", "in_footer_a", "in_footer_b", "is_frame", "label"])
 
 
 def scoped_links(snapshot: DataFrame, url: str = "url", body: str = "body") -> DataFrame:

@@ -103,14 +103,18 @@ def union_per_domain(found: DataFrame, key: str = "domain") -> DataFrame:
 
 def report_a(domains: DataFrame, bases: DataFrame, sets: DataFrame) -> DataFrame:
     """One row per input domain row: status, reason, base URL and the three
-    sets as sorted ``;``-joined strings (``''`` when empty)."""
-    j = domains.join(bases, "domain", "left").join(sets, "domain", "left")
+    sets as sorted ``;``-joined strings (``''`` when empty). An ``error`` column
+    of ``domains`` (what went wrong while its pages were fetched) is the row's
+    reason and leaves the rest empty."""
+    failed = F.col("error") if "error" in domains.columns else F.lit(None).cast("string")
+    j = domains.join(bases, "domain", "left").join(sets, "domain", "left").withColumn("_failed", failed)
+    j = j.withColumn("base_url", F.when(F.col("_failed").isNull(), F.col("base_url")))
     ok = F.col("base_url").isNotNull()
     return j.select(
         *([c for c in ["input_pos"] if c in domains.columns]),
         "domain",
         F.when(ok, F.lit(K.STATUS_OK)).otherwise(F.lit(K.STATUS_ERROR)).alias("status"),
-        F.when(ok, F.lit("")).otherwise(F.lit(K.ERROR_NO_BASE_URL)).alias("error_reason"),
+        F.when(ok, F.lit("")).otherwise(F.coalesce("_failed", F.lit(K.ERROR_NO_BASE_URL))).alias("error_reason"),
         F.coalesce("base_url", F.lit("")).alias("base_url"),
         F.when(ok, joined(F.coalesce("siren", _empty()))).otherwise(F.lit("")).alias("siren"),
         F.when(ok, joined(F.coalesce("siret", _empty()))).otherwise(F.lit("")).alias("siret"),
@@ -140,16 +144,18 @@ def report_b(domains: DataFrame, sets: DataFrame, keep_partial: bool = False) ->
 
 def run_stats(report: DataFrame, legal_pages: DataFrame) -> DataFrame:
     """One-row counters: id counts summed per domain row, legal page count,
-    requests (one per domain, one more per found base URL), error rate."""
+    requests (one per domain, one more per found base URL), error rate (rows
+    that failed otherwise than by having no base URL, in requests)."""
     def n(c):
         return F.when(F.col(c) == "", 0).otherwise(F.size(F.split(F.col(c), ";")))
     per = report.select(n("siren").alias("a"), n("siret").alias("b"), n("emails").alias("c"),
-                        F.when(F.col("base_url") != "", 2).otherwise(1).alias("req"))
+                        F.when(F.col("base_url") != "", 2).otherwise(1).alias("req"),
+                        (~F.col("error_reason").isin("", K.ERROR_NO_BASE_URL)).cast("int").alias("err"))
     totals = per.agg(F.sum("a").cast("bigint").alias("siren_count"), F.sum("b").cast("bigint").alias("siret_count"),
-                     F.sum("c").cast("bigint").alias("email_count"), F.sum("req").cast("bigint").alias("total_requests"))
+                     F.sum("c").cast("bigint").alias("email_count"), F.sum("req").cast("bigint").alias("total_requests"),
+                     F.sum("err").cast("bigint").alias("errors"))
     legal = legal_pages.agg(F.count(F.lit(1)).cast("bigint").alias("legal_pages_count"))
-    errors = F.lit(0)
-    rate = F.when(F.col("total_requests") > 0, errors / F.col("total_requests") * 100).otherwise(F.lit(0.0))
+    rate = F.when(F.col("total_requests") > 0, F.col("errors") / F.col("total_requests") * 100).otherwise(F.lit(0.0))
     return totals.crossJoin(legal).select(
         "siren_count", "siret_count", "email_count", "legal_pages_count", "total_requests",
         F.format_string("%.2f%%", rate.cast("double")).alias("error_rate"))

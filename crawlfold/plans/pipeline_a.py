@@ -65,7 +65,7 @@ def source_urls(bases: DataFrame, snapshot: DataFrame, links: DataFrame | None =
         links = links_of(fetched(snapshot), page_links)
     homes = fetched(snapshot).join(seeds.select(F.col("base").alias("url")), "url", "left_semi")
     scoped = scoped_links(homes).join(seeds.select(F.col("base").alias("url"), "site", "base"), "url")
-    footer = footer_links_a(scoped, "base").select("site", "link", "text", "pos")
+    footer = footer_links_a(scoped, "base").select("site", "link", "text", "label", "pos")
     crawled = crawl_bfs(seeds, links, footer)
     return urls.unionByName(crawled.select(F.col("site").alias("domain"), "url")), sm_urls
 

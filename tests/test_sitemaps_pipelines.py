@@ -100,6 +100,26 @@ def test_report_b_partial(spark):
     assert ("x", "111111111", "", "") in partial
 
 
+def test_error_rate_counts_failed_rows(spark):
+    domains = spark.createDataFrame([("a", None), ("b", "boom"), ("c", None)], "domain string, error string")
+    bases = spark.createDataFrame([("a", "http://a"), ("b", "http://b"), ("c", None)], "domain string, base_url string")
+    sets = spark.createDataFrame([("b", ["1"], [], [])], "domain string, siren array<string>, siret array<string>, emails array<string>")
+    report = W.report_a(domains, bases, sets)
+    rows = {r.domain: r for r in report.collect()}
+    assert (rows["b"].status, rows["b"].error_reason, rows["b"].siren) == ("error", "boom", "")
+    legal = report.limit(0)
+    stats = W.run_stats(report, legal).collect()[0]
+    assert (stats.total_requests, stats.error_rate) == (4, "25.00%")
+
+
+def test_labels_are_glued(spark):
+    from crawlfold.operators.links import page_links, scoped_links
+
+    s = snap(spark, [("http://a", '<div class="footer"><a href="/x"> Mentions <b> l&eacute;gales&nbsp;</b></a></div>')])
+    assert [r.label for r in page_links(s).collect()] == ["Mentionslégales"]
+    assert [r.label for r in scoped_links(s).collect()] == ["Mentionslégales"]
+
+
 def test_top_urls_duplicates_use_slots(spark):
     rows = [("d", f"u{i % 3}", 1.0, i) for i in range(12)]
     df = spark.createDataFrame(rows, "domain string, url string, score double, ord int")
