@@ -24,7 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_template_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without recurring template lines; n_chars follows the text."""
-    short = line_dedup.dedup_lines(docs)
+    short = line_dedup.dedup_lines(docs, added=("_n_lines", "_dropped_lines"))
     return short.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
@@ -38,7 +38,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     the quality domains to their targets."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     fitted = mixing.fit(docs, labels, mixing.QUALITY_TARGETS, label_col="quality", max_rate=1.0)
-    return mixing.apply_rates(mixing.rate_documents(docs, fitted)).select(docs.columns)
+    added = ("_tokens", "_posteriors", "_rate")
+    return mixing.apply_rates(mixing.rate_documents(docs, fitted, added=added), added=added).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

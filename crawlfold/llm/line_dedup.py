@@ -77,9 +77,11 @@ def templates(rows: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIM
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS,
-                similarity: float = SIMILARITY, keep_first: bool = True) -> DataFrame:
-    """``docs`` with recurring template lines dropped from the text, and
-    ``n_lines`` and ``dropped_lines`` (columns of these names are replaced).
+                similarity: float = SIMILARITY, keep_first: bool = True,
+                added: tuple[str, str] = ("n_lines", "dropped_lines")) -> DataFrame:
+    """``docs`` with recurring template lines dropped from the text, and the
+    numbers of lines and of dropped ones in columns named ``added`` (columns of
+    these names are replaced).
 
     Lines end at line feeds; those of fewer than ``MIN_TOKENS`` tokens always
     stay, and kept lines stay as they are. The first document of a template is
@@ -103,7 +105,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         drops = drops.filter((F.col("k1") != F.col("f1")) | (F.col("k2") != F.col("f2")))
     drops = drops.groupBy("k1", "k2").agg(F.collect_set("at").alias("_drops"))  # line numbers of one document
 
-    base = docs.drop("n_lines", "dropped_lines")
+    base = docs.drop(*added)
     text = F.col(text_col).cast("string")
     own = base.withColumn("_k1", F.xxhash64(F.lit(1), id_col, text)).withColumn("_k2", F.xxhash64(F.lit(2), text, id_col))
     drops = stage(drops.withColumnsRenamed({"k1": "_k1", "k2": "_k2"}), "dropped-lines")
@@ -116,7 +118,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shorter = F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n")
     return split.select(
         *[(F.when(F.col("_drops").isNull(), F.col(c)).otherwise(shorter).alias(c) if c == text_col else F.col(c)) for c in base.columns],
-        n.cast("bigint").alias("n_lines"), F.coalesce(F.size("_drops"), F.lit(0)).cast("bigint").alias("dropped_lines"))
+        n.cast("bigint").alias(added[0]), F.coalesce(F.size("_drops"), F.lit(0)).cast("bigint").alias(added[1]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

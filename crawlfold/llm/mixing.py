@@ -192,26 +192,29 @@ def _rated(shared, position, names):
     return run
 
 
-def rate_documents(docs: DataFrame, mix: Mix, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``tokens`` (white-space-separated words), ``posteriors`` (in
-    the order of ``mix.domains``) and ``rate``; columns of these names are
-    replaced. Null texts are empty; rows that repeat a document are rated alike."""
+ADDED = ("tokens", "posteriors", "rate")
+
+
+def rate_documents(docs: DataFrame, mix: Mix, text_col: str = "text", added: tuple[str, str, str] = ADDED) -> DataFrame:
+    """``docs`` with tokens (white-space-separated words), posteriors (in the
+    order of ``mix.domains``) and the rate, in columns named ``added``; columns
+    of these names are replaced. Null texts are empty; rows that repeat a document are rated alike."""
     spark = docs.sparkSession
     ship_package(spark)
-    base = docs.drop("tokens", "posteriors", "rate")
-    schema = T.StructType([*base.schema.fields, T.StructField("tokens", T.LongType()),
-                           T.StructField("posteriors", T.ArrayType(T.DoubleType())), T.StructField("rate", T.DoubleType())])
+    base = docs.drop(*added)
+    kinds = (T.LongType(), T.ArrayType(T.DoubleType()), T.DoubleType())
+    schema = T.StructType([*base.schema.fields, *(T.StructField(n, k) for n, k in zip(added, kinds))])
     shared = spark.sparkContext.broadcast(mix)
     return base.mapInArrow(_rated(shared, base.columns.index(text_col), schema.fieldNames()), schema)
 
 
-def apply_rates(rated: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def apply_rates(rated: DataFrame, id_col: str = "doc_id", text_col: str = "text", added: tuple[str, str, str] = ADDED) -> DataFrame:
     """Each document as often as its rate says: the whole part of rate + u, where
     u in [0, 1) is a hash of the id and the text. The three added columns go."""
     u = (F.shiftrightunsigned(F.xxhash64(F.lit("mix"), id_col, text_col), 11).cast("double")) * 2.0 ** -53
-    copies = F.floor(F.col("rate") + u).cast("int")
+    copies = F.floor(F.col(added[2]) + u).cast("int")
     kept = rated.withColumn("_copies", copies).filter("_copies > 0")
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies", "_copy", "tokens", "posteriors", "rate")
+    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies", "_copy", *added)
 
 
 def fit(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], id_col: str = "doc_id",
