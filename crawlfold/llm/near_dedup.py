@@ -137,10 +137,10 @@ def _within(n_x, n_y, cap_x, cap_y, similarity: int):
 
 def _first_common(a: str, b: str):
     """Whether a slot is the first that two nodes share, so that a pair of nodes
-    comes from one slot only: by the first equal key of each collection."""
-    equal = F.zip_with(f"{a}.keys", f"{b}.keys", lambda x, y: x == y)
-    return ((F.array_position(F.slice(equal, 1, KEYS), True) == F.col(f"{a}.i") + 1)
-            & (F.array_position(F.slice(equal, KEYS + 1, KEYS), True) == F.col(f"{a}.j") - KEYS + 1))
+    comes from one slot only: by the first common key of each collection (equal
+    keys have equal places)."""
+    return ((F.get(F.array_intersect(f"{a}.firsts", f"{b}.firsts"), 0) == F.col(f"{a}.first"))
+            & (F.get(F.array_intersect(f"{a}.seconds", f"{b}.seconds"), 0) == F.col(f"{a}.second")))
 
 
 def _linked(checked: DataFrame, similarity: int) -> DataFrame:
@@ -203,15 +203,22 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     to_pivot = checked.select(F.col("x").alias("node"), F.col("y").alias("pivot"), (F.col("inner") / F.col("outer")).alias("sim"))
     placed = tables.join(to_pivot, ["node", "pivot"], "left").withColumn(
         "sim", F.when(F.col("node") == F.col("pivot"), F.lit(1.0)).otherwise(F.col("sim")))
-    placed = placed.join(keyed.select("node", "keys"), "node")
-    placed = stage(placed.select("slot", "i", "j", "node", "n", "cap", "root", "sim", "keys"), "placed")
-    a, b = placed.alias("a"), placed.alias("b")
+    # of two components in a slot one at least is not the slot's largest, so only
+    # the others' nodes look for partners
+    sizes = tables.groupBy("slot", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("slot").agg(F.max(F.struct("c", "root")).alias("top"))
+    placed = placed.join(stage(sizes.select("slot", F.col("top.root").alias("main")), "largest"), "slot")
+    placed = placed.join(keyed.select("node", "keys"), "node").select(
+        "slot", (F.col("root") == F.col("main")).alias("in_main"), "node", "n", "cap", "root", "sim", F.slice("keys", 1, KEYS).alias("firsts"), F.slice("keys", KEYS + 1, KEYS).alias("seconds"),
+        F.get("keys", F.col("i")).alias("first"), F.get("keys", F.col("j")).alias("second"))
+    placed = stage(placed, "placed")
+    a, b = placed.filter("NOT in_main").alias("a"), placed.alias("b")
     least = similarity / 100
-    open_pairs = a.join(b, (F.col("a.slot") == F.col("b.slot")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root"))
+    open_pairs = a.join(b, (F.col("a.slot") == F.col("b.slot")) & (F.col("a.root") != F.col("b.root"))
+                        & (F.col("b.in_main") | (F.col("a.node") < F.col("b.node")))
                         & _within(F.col("a.n"), F.col("b.n"), F.col("a.cap"), F.col("b.cap"), similarity)
                         & (F.coalesce(F.abs(F.col("a.sim") - F.col("b.sim")), F.lit(0.0)) <= 1 - least + 1e-9)
                         & _first_common("a", "b"))
-    open_pairs = open_pairs.select(F.col("a.node").alias("x"), F.col("b.node").alias("y")).distinct()
+    open_pairs = open_pairs.select(F.least("a.node", "b.node").alias("x"), F.greatest("a.node", "b.node").alias("y")).distinct()
     known = checked.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     last = stage(_verify(open_pairs.join(known, ["x", "y"], "left_anti"), sets), "checked")
     new = _linked(last, similarity)
