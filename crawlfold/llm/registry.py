@@ -20,6 +20,5 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op1_template_line_dedup": line_dedup.SQL,
     "op5_arc_to_warc": archives.SQL,
-    "op7_toxic_segments": toxicity.query,
     "op8_chat_round_trip": chat.SQL,
 }
