@@ -7,6 +7,16 @@ the other positions are variable fields. The line's template is what remains.
 A template with at least half its tokens constant that recurs in ``min_docs``
 documents is dropped everywhere but in the first document that has it.
 
+The values of a word field recur in ``min_docs`` documents too once the corpus is
+large, so forms of a leaf are merged by share as well: a token that stands in less than
+``SHARE`` of what its leaf counts is a variable field of the general template.
+A form takes the general template if half the tokens behind the leading ones (these
+say nothing within a leaf) and half of all tokens are constant in it, else the one
+above. In leaves that count up to ``min_docs / SHARE`` the two are the same, and a
+general template only merges whole templates, so it never keeps a line that
+they drop. A template below ``SHARE`` of its leaf is not merged. SQL has the first
+rule only, hence its rows are these while leaves are that small.
+
 Lines travel as hashes; only lines of leaves that recur move as text. Hot
 leaves and templates are pre-aggregated on distinct lines, and what they are
 joined to is a table of one row a key, so Spark can split the hot side.
@@ -23,6 +33,7 @@ LEADING = 3  # leading tokens that lead to a leaf
 MIN_TOKENS = 3  # shorter lines are never dropped
 MIN_DOCS = 10  # documents that make a template or a constant recur
 SIMILARITY = 0.5  # share of constant tokens that a template needs
+SHARE = 0.1  # share of its leaf in which a constant of a general template stands
 VARIABLE = "<*>"
 GAP = r"[\x20\x09-\x0D]+"
 
@@ -51,7 +62,8 @@ def _lines(rows: DataFrame) -> DataFrame:
     return lines.withColumn("leaf", F.xxhash64(F.size("toks"), masked(F.slice("toks", 1, LEADING))))
 
 
-def templates(rows: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+def templates(rows: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY,
+              share: float = SHARE) -> tuple[DataFrame, DataFrame]:
     """``(occurrences, templates)`` of keyed ``rows``: ``(_id, k1, k2, at, form)``
     of the lines in recurring leaves, and ``(form, template, n_tokens,
     constants)`` of their distinct masked lines."""
@@ -66,19 +78,26 @@ def templates(rows: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIM
     forms = stage(distinct.join(texts, "form"), "forms")
     places = forms.select("leaf", "form", "docs", F.posexplode("toks").alias("place", "token"))
     often = places.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("n"))
-    often = stage(often.filter((F.col("n") >= min_docs) & (F.col("token") != VARIABLE)).select("leaf", "place", "token", F.lit(1).alias("sure")), "constants")
+    often = often.filter((F.col("n") >= min_docs) & (F.col("token") != VARIABLE))
+    sizes = forms.groupBy("leaf").agg(F.sum("docs").alias("size"))
+    often = stage(often.join(sizes, "leaf").select(
+        "leaf", "place", "token", F.lit(1).alias("sure"), F.when(F.col("n") >= share * F.col("size"), 1).alias("held")), "constants")
     marked = places.join(often, ["leaf", "place", "token"], "left")
-    slots = F.array_sort(F.collect_list(F.struct("place", F.when(F.col("sure") == 1, F.col("token")).alias("token"))))
-    made = marked.groupBy("form").agg(slots.alias("slots"), F.count("sure").alias("constants"), F.count(F.lit(1)).alias("n_tokens"))
-    made = made.filter(F.col("constants") >= similarity * F.col("n_tokens")).select(
-        "form", F.concat_ws(" ", F.transform("slots", lambda s: F.coalesce(s["token"], F.lit(VARIABLE)))).alias("template"),
-        "n_tokens", "constants")
+    slots = F.array_sort(F.collect_list(F.struct("place", F.when(F.col("sure") == 1, F.col("token")).alias("token"), "held")))
+    made = marked.groupBy("form").agg(
+        slots.alias("slots"), F.count("sure").alias("constants"), F.count("held").alias("held"),
+        F.count(F.when(F.col("place") >= LEADING, F.col("held"))).alias("behind"), F.count(F.lit(1)).alias("n_tokens"))
+    general = (F.col("held") >= similarity * F.col("n_tokens")) & (F.col("behind") >= similarity * (F.col("n_tokens") - LEADING))
+    made = made.filter(F.col("constants") >= similarity * F.col("n_tokens")).withColumn("general", general).select(
+        "form", F.concat_ws(" ", F.transform("slots", lambda s: F.when(
+            s["token"].isNotNull() & (~F.col("general") | s["held"].isNotNull()), s["token"]).otherwise(F.lit(VARIABLE)))).alias("template"),
+        "n_tokens", F.when(F.col("general"), F.col("held")).otherwise(F.col("constants")).alias("constants"))
     return found.select("_id", "k1", "k2", "at", "form"), stage(made, "templates")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS,
                 similarity: float = SIMILARITY, keep_first: bool = True,
-                added: tuple[str, str] = ("n_lines", "dropped_lines")) -> DataFrame:
+                added: tuple[str, str] = ("n_lines", "dropped_lines"), share: float = SHARE) -> DataFrame:
     """``docs`` with recurring template lines dropped from the text, and the
     numbers of lines and of dropped ones in columns named ``added`` (columns of
     these names are replaced).
@@ -92,7 +111,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text; every row stays.
     """
     rows = keyed(docs, id_col, text_col)
-    found, made = templates(rows, min_docs, similarity)
+    found, made = templates(rows, min_docs, similarity, share)
     used = found.join(made.select("form", F.xxhash64("template", "n_tokens").alias("template")), "form")
     used = stage(used.select("template", "_id", "k1", "k2", "at"), "template-lines")
     holder = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("k1"), F.col("k2"))

@@ -67,3 +67,25 @@ def test_query_matches_its_sql(spark):
     want = sorted(con.execute(f"SELECT {', '.join(cols)} FROM ({L.SQL})").fetchall(), key=str)
     assert sorted((tuple(r) for r in df.select(cols).collect()), key=str) == want
     assert sum(r[cols.index("dropped_lines")] for r in want) > 100
+
+
+def test_word_fields_are_generalised_at_any_size(spark):
+    def field(i):  # letters only, so that the field is no number
+        return "".join(chr(97 + int(c)) for c in f"{i:03d}")
+
+    for n in (12, 100, 1_000, 10_000):
+        rows = [(i, f"the session of user n{field(i % 100)} from city c{field(i // max(n // 100, 1) % 100)} was closed by the server")
+                for i in range(n)]
+        assert sum(r.dropped_lines for r in run(spark, rows).values()) == n - 1, n
+    rows = [(i, f"the session of user n{field(i % 100)} was closed by the server") for i in range(2_000)]
+    assert sum(r.dropped_lines for r in run(spark, rows).values()) == 1_999  # one first copy, not one a value
+
+
+def test_leaf_with_many_documents_keeps_prose_and_smaller_templates(spark):
+    rng = random.Random(6)
+    rows = [(i, f"it was the {prose(rng, 5)}") for i in range(1_500)]
+    rows += [(2_000 + i, "it was the policy of all sites here") for i in range(15)]  # 1 % of its leaf
+    words = [prose(rng, 1) for _ in range(20)]  # common words, yet no template
+    rows += [(3_000 + i, "here we find " + " ".join(rng.choice(words) for _ in range(3))) for i in range(600)]
+    got = run(spark, rows)
+    assert {i: r.dropped_lines for i, r in got.items() if r.dropped_lines} == {2_000 + i: 1 for i in range(1, 15)}
