@@ -387,15 +387,20 @@ def q_domain_union(spark, sf):
                        _joined(F.col("emails")).alias("emails"))
 
 
-def q_source_fallback(spark, sf):
+def _sourced(spark, sf):
+    """Bases and page URLs of each domain: its sitemap's, else the crawl's."""
     b, d = _bases(spark, sf)
-    urls, _ = source_urls(b, d["snapshot"], crawl_links=False)
+    b = cut_lineage(b)
+    return b, source_urls(b, d["snapshot"])[0]
+
+
+def q_source_fallback(spark, sf):
+    _, urls = _sourced(spark, sf)
     return urls.distinct()
 
 
 def q_homepage_fallback(spark, sf):
-    b, d = _bases(spark, sf)
-    urls, _ = source_urls(b, d["snapshot"], crawl_links=False)
+    b, urls = _sourced(spark, sf)
     gated = W.candidates_gate(urls).select("domain", "url").distinct()
     return W.homepage_fallback(b, gated).distinct()
 
@@ -478,8 +483,7 @@ def q_domain_status(spark, sf):
 
 
 def q_legal_pages(spark, sf):
-    b, d = _bases(spark, sf)
-    urls, _ = source_urls(b, d["snapshot"], crawl_links=False)
+    _, urls = _sourced(spark, sf)
     g = W.candidates_gate(urls).filter("legal")
     return g.groupBy("domain").agg(F.count(F.lit(1)).cast("bigint").alias("legal_pages"))
 
