@@ -105,11 +105,9 @@ TEXT_SUM_WEIGHTS = [
     ("registre", 1.0),
     ("commerce", 1.0),
 ]
-PAGE_KEEP_MIN_SCORE = 1.0
 TOP_URLS_PER_STAGE = 10
 SITE_CRAWL_MAX_DEPTH = 2
 SITE_CRAWL_MAX_PAGES = 20
-PAGE_CRAWL_MAX_KEPT = 10
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES (pipeline B, identifier context gate)
@@ -137,14 +135,10 @@ OBFUSCATION_RULES = [
 ]
 
 # ---------------------------------------------------------------------------
-# FIXED VALUES (pipeline B, footer classes, page-text zones)
+# FIXED VALUES (pipeline B, footer classes)
 # ---------------------------------------------------------------------------
 FOOTER_CLASS_WORDS_A = ["footer"]
 FOOTER_CLASS_WORDS_B = ["footer", "bottom", "bas-page"]
-ZONE_WORDS = [
-    "legal", "mention", "contact", "about", "apropos",
-    "societe", "entreprise", "cgv", "condition",
-]
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES (patterns)
