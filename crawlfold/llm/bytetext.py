@@ -74,10 +74,10 @@ def slices(offsets: np.ndarray, limit: int = 1 << 19) -> Iterator[tuple[int, int
         i = min(j, n)
 
 
-def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACES) -> tuple[np.ndarray, ...]:
-    """Hash of each lower-cased (A-Z) word in order, the number of words of each
-    text, and each word's first byte and end. ``offsets`` starts at 0 and ends
-    at ``len(data)``."""
+def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACES, lower: bool = True) -> tuple[np.ndarray, ...]:
+    """Hash of each word in order (lower-cased in A-Z unless ``lower`` is off), the
+    number of words of each text, and each word's first byte and end.
+    ``offsets`` starts at 0 and ends at ``len(data)``."""
     inside = ~separators[data]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
@@ -90,7 +90,7 @@ def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACES
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     power, inverse = _powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE_CODE_LOWER[data] * power[:len(data)], out=sums[1:])
+    np.cumsum((_BYTE_CODE_LOWER if lower else _BYTE_CODE)[data] * power[:len(data)], out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * U64(0xD6E8FEB86659FD93))
     counts = np.diff(np.searchsorted(starts, offsets))
     return hashes, counts, starts, ends

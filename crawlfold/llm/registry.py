@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from crawlfold.llm import archives, chat, fingerprints, line_dedup, mixing, near_dedup, neighbours, packing, token_counts, toxicity
+from crawlfold.llm import (archives, chat, fingerprints, line_dedup, mixing, near_dedup, neighbours, packing, repeated_spans,
+                           spelling, token_counts, toxicity, whitening)
 
 QUERIES = {
     "op1_template_line_dedup": line_dedup.query,
@@ -15,6 +16,9 @@ QUERIES = {
     "op8_chat_round_trip": chat.query,
     "op9_token_counts": token_counts.query,
     "op10_weighted_sampling": fingerprints.query,
+    "op11_spelling_variants": spelling.query,
+    "op12_repeated_spans": repeated_spans.query,
+    "op13_whitening": whitening.query,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -3,7 +3,8 @@
 ``stage`` writes a DataFrame as Parquet below the shared folder that the
 cluster names in ``spark.checkpoint.dir`` and reads it back: a lost executor
 costs a re-read, never a recomputation, and every later reader of the table
-sees the same rows. ``release`` deletes what this session has staged.
+sees the same rows. ``free`` deletes single tables as soon as their last reader
+is written, ``release`` all that this session has staged.
 """
 
 from __future__ import annotations
@@ -30,13 +31,20 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
 
 
-def release(spark: SparkSession) -> int:
-    """Delete the tables this application staged; call it once their readers
-    are done. Returns the number of paths deleted."""
-    paths = _STAGED.pop(spark.sparkContext.applicationId, [])
+def free(*tables: DataFrame) -> None:
+    """Delete staged tables that no DataFrame will read again."""
+    for table in tables:
+        spark = table.sparkSession
+        _delete(spark, [table._staged_at])
+        _STAGED.get(spark.sparkContext.applicationId, []).remove(table._staged_at)
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> int:
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     n = 0
@@ -44,3 +52,9 @@ def release(spark: SparkSession) -> int:
         path = jvm.org.apache.hadoop.fs.Path(p)
         n += bool(path.getFileSystem(conf).delete(path, True))
     return n
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables this application staged; call it once their readers
+    are done. Returns the number of paths deleted."""
+    return _delete(spark, _STAGED.pop(spark.sparkContext.applicationId, []))
