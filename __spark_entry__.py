@@ -23,6 +23,7 @@ from crawlfold.functions import extract as E  # noqa: E402
 from crawlfold.functions import scoring as S  # noqa: E402
 from crawlfold.functions import text as T  # noqa: E402
 from crawlfold.functions import urls as U  # noqa: E402
+from crawlfold.functions.elements import clean_text  # noqa: E402
 from crawlfold.operators import crawl as C  # noqa: E402
 from crawlfold.operators import links as L  # noqa: E402
 from crawlfold.operators import site as W  # noqa: E402
@@ -313,6 +314,16 @@ def q_footer_links_b(spark, sf):
     return r.select("url", F.col("pos").cast("bigint").alias("pos"), "link")
 
 
+def q_frame_links(spark, sf):
+    r = L.frame_links(_scoped(spark, sf), "base")
+    return r.select("url", F.col("pos").cast("bigint").alias("pos"), "link")
+
+
+def q_clean_text(spark, sf):
+    b = _site(spark, sf)["bodies"].select("url", clean_text(F.col("body")).alias("text"))
+    return b.select("url", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("md5"))
+
+
 # ---------------------------------------------------------------------------
 # robots and sitemaps
 # ---------------------------------------------------------------------------
@@ -543,6 +554,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "footer_links": q_footer_links,
     "legal_links": q_legal_links,
     "footer_links_b": q_footer_links_b,
+    "frame_links": q_frame_links,
+    "clean_text": q_clean_text,
     "robots_sitemap": q_robots_sitemap,
     "robots_sitemap_b": q_robots_sitemap_b,
     "sitemap_a": q_sitemap_a,
@@ -581,9 +594,7 @@ try:  # the training-data operators are a package of their own, which may be abs
     from crawlfold.llm.registry import QUERIES as _LLM_QUERIES  # noqa: E402
     from corpus_pipeline import ORACLE_SQL as _PIPELINE_SQL  # noqa: E402
     from corpus_pipeline import run as _pipeline  # noqa: E402
-except ModuleNotFoundError as e:
-    if (e.name or "").split(".")[0] not in ("crawlfold", "corpus_pipeline"):
-        raise
+except ImportError:
     _LLM_QUERIES, _LLM_SQL = {}, {}
 else:
     _LLM_QUERIES = {**_LLM_QUERIES, "pipeline": _pipeline}

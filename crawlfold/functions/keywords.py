@@ -140,6 +140,19 @@ OBFUSCATION_RULES = [
 FOOTER_CLASS_WORDS_A = ["footer"]
 FOOTER_CLASS_WORDS_B = ["footer", "bottom", "bas-page"]
 
+# ---------------------------------------------------------------------------
+# FIXED VALUES (pipeline B, zones of the cleaned page text)
+# ---------------------------------------------------------------------------
+ZONE_METAS = [("name", "description"), ("property", "og:description"), ("name", "keywords")]
+ZONE_FOOTER = "footer"
+ZONE_WORDS = ["legal", "mention", "contact", "about", "apropos", "societe", "entreprise", "cgv", "condition"]
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES (pipeline B, scored page crawl)
+# ---------------------------------------------------------------------------
+PAGE_CRAWL_MIN_SCORE = 1.0
+PAGE_CRAWL_MAX_FOUND = 10
+
 # ---------------------------------------------------------------------------
 # FIXED VALUES (patterns)
 # ---------------------------------------------------------------------------

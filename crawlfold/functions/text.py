@@ -20,6 +20,12 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` in the plan, and computed, once however often
+    ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _java_class(chars: list[str]) -> str:
     """Compact a set of code points into a Java/RE2 character class body."""
     cps = sorted({ord(c) for c in chars})
@@ -161,7 +167,6 @@ def _code_point(number: Column) -> Column:
 def decode_entities(c) -> Column:
     """Character references decoded once, left to right: numeric ones and all of
     HTML's names (without ``;`` where HTML allows, by the longest such name)."""
-    s = _col(c)
     _, short = _named_entities()
 
     def one(p: Column) -> Column:  # what follows an ampersand
@@ -177,10 +182,11 @@ def decode_entities(c) -> Column:
                 .when(legacy != "", F.concat(_entity_value(legacy), F.substr(p, F.length(legacy) + 1)))
                 .otherwise(F.concat(F.lit("&"), p)))
 
-    parts = F.split(s, "&", -1)
-    decoded = F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), one), ""))
+    def decoded(parts: Column) -> Column:
+        return F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), one), ""))
+
     # texts without '&' skip all of it
-    return F.when(F.instr(s, "&") > 0, decoded).otherwise(s)
+    return let(_col(c), lambda s: F.when(F.instr(s, "&") > 0, let(F.split(s, "&", -1), decoded)).otherwise(s))
 
 
 def glued_text(html) -> Column:

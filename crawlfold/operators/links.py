@@ -2,30 +2,25 @@
 
 * ``page_links``    every ``<a href>`` with its position, href and anchor
   text (Catalyst regexes; narrow, no shuffle);
-* ``frame_links``   ``<frame>`` / ``<iframe>`` sources;
-* ``scoped_links``  the same links tagged with footer scope (ancestor
-  ``footer``/``div`` whose class contains a word); needs real nesting, so it
-  runs a stdlib HTML tokenizer per partition (``mapInPandas``) - select and
-  filter first, it blocks pushdown.
+* ``scoped_links``  anchors and frames in one link table, tagged with footer
+  scope (an open ``footer``/``div`` whose class contains a word), by the element
+  scopes of ``functions.elements``;
+* ``frame_links``   its frames, resolved.
 """
 
 from __future__ import annotations
 
-import re
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlfold.functions import keywords as K
-from crawlfold.functions.text import decode_entities, glued_text, page_text
+from crawlfold.functions.elements import attr_source, elements
+from crawlfold.functions.text import decode_entities, glued_text, let, page_text
 from crawlfold.functions.urls import (
     candidate_keyword, contains_any, http_only, internal_link, netloc, skip_scheme, strip_ws, url_join,
 )
 
 ANCHOR_RE = r"(?is)<a(\s[^>]*)?>(.*?)</a\s*>"
-FRAME_RE = r"(?is)<i?frame(\s[^>]*)?>"
 
 
 def _attr(attrs: F.Column, name: str) -> F.Column:
@@ -58,15 +53,6 @@ def page_links(snapshot: DataFrame, url: str = "url", body: str = "body") -> Dat
     )
 
 
-def frame_links(snapshot: DataFrame, url: str = "url", body: str = "body") -> DataFrame:
-    """``(url, pos, src)`` of frames and iframes with a non-empty ``src``."""
-    tags = F.regexp_extract_all(F.col(body), F.lit(FRAME_RE), 1)
-    ex = snapshot.select(F.col(url).alias("url"), F.posexplode(tags).alias("pos", "attrs"))
-    src = _attr(F.coalesce(F.col("attrs"), F.lit("")), "src")
-    return ex.select("url", F.col("pos").cast("int").alias("pos"), src.alias("src")).filter(
-        F.col("src").isNotNull() & (F.col("src") != ""))
-
-
 def keyword_links(links: DataFrame, base: str = "base") -> DataFrame:
     """Links whose lower-cased text contains a candidate keyword; joined to
     ``base``, http(s) only."""
@@ -87,112 +73,59 @@ def internal_keyword_links(links: DataFrame, base: str = "base") -> DataFrame:
 
 
 # ---------------------------------------------------------------------------
-# scoped links: one tokenizer pass per page
+# links with the element scope they stand in
 # ---------------------------------------------------------------------------
 
-SCOPED_SCHEMA = (
-    "url string, pos int, href string, text string, title string, "
-    "in_footer_a boolean, in_footer_b boolean, is_frame boolean, label string"
-)
+FOOTER_A, FOOTER_B = 1, 2  # marks of elements
+
+
+def _footer_marks(tag: F.Column, name: F.Column) -> F.Column:
+    """Marks of a start tag: a footer or div whose class holds a footer word."""
+    cls = F.lower(attr_source(tag, "class"))
+    a, b = (F.when(contains_any(cls, words), F.lit(bit)).otherwise(F.lit(0))
+            for words, bit in ((K.FOOTER_CLASS_WORDS_A, FOOTER_A), (K.FOOTER_CLASS_WORDS_B, FOOTER_B)))
+    return F.when(name.isin("footer", "div"), a + b).otherwise(F.lit(0)).cast("bigint")
 
 
-UNKNOWN_SECTION = re.compile(r"<!\[(?!(?:temp|cdata|ignore|include|rcdata|if|else|endif)(?![-_.a-z0-9]))[^<>\[]*\[?", re.I)
-
-
-class _LinkScanner(HTMLParser):
-    """Anchors and frames with footer scope from the open-element stack."""
-
-    VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, bool]] = []
-        self.out: list[tuple] = []
-        self.cur = None
-        self.skip = 0
-
-    def _scope(self):
-        a = any(x[1] for x in self.stack)
-        b = any(x[2] for x in self.stack)
-        return a, b
-
-    def handle_starttag(self, tag, attrs):
-        d = {}
-        for k, v in attrs:
-            d.setdefault(k, v)
-        if tag in ("script", "style", "template"):
-            self.skip += 1
-        if tag in ("footer", "div"):
-            cls = d.get("class")
-            low = cls.lower() if cls else ""
-            fa = bool(cls) and any(w in low for w in K.FOOTER_CLASS_WORDS_A)
-            fb = bool(cls) and any(w in low for w in K.FOOTER_CLASS_WORDS_B)
-        else:
-            fa = fb = False
-        if tag in ("frame", "iframe"):
-            sa, sb = self._scope()
-            self.out.append([d.get("src") or "", "", None, sa, sb, True])
-        if tag == "a" and d.get("href") is not None:
-            sa, sb = self._scope()
-            self.cur = [d.get("href"), [], d.get("title"), sa, sb, False]
-            self.out.append(self.cur)
-        if tag not in self.VOID:
-            self.stack.append((tag, fa, fb))
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in self.VOID and self.stack and self.stack[-1][0] == tag:
-            self.stack.pop()
-
-    def handle_endtag(self, tag):
-        if tag in ("script", "style", "template") and self.skip:
-            self.skip -= 1
-        if tag == "a":
-            self.cur = None
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                del self.stack[i:]
-                break
-
-    def handle_data(self, data):
-        if self.cur is not None and not self.skip:
-            self.cur[1].append(data)
-
-
-def _scan(html: str):
-    p = _LinkScanner()
-    # the tokenizer asserts on the opening of marked sections of unknown keywords
-    # ("<![foo["), so these go; the markup that follows is read as any other
-    html = html or ""
-    while UNKNOWN_SECTION.search(html):
-        html = UNKNOWN_SECTION.sub("", html)
-    p.feed(html)
-    p.close()
-    for r in p.out:
-        nodes = r[1] or []
-        r[1] = "".join(nodes)
-        r.append("".join(n.strip() for n in nodes))
-    return p.out
-
-
-def _scan_batches(batches):
-    for pdf in batches:
-        rows = []
-        for u, h in zip(pdf["url"], pdf["body"]):
-            n_a = 0
-            for href, text, title, fa, fb, fr, label in _scan(h):
-                rows.append((u, n_a, href, text, title, fa, fb, fr, label))
-                n_a += 1
-        yield pd.DataFrame(rows, columns=["url", "pos", "href", "text", "title", "in_footer_a", "in_footer_b", "is_frame", "label"])
+_OPEN, _CLOSE = "\x01", "\x02"  # taken out of the page before they mark its anchors
+
+
+def _edges(e: F.Column) -> F.Column:
+    """Anchors (with what stands up to their end or the next anchor), then frames."""
+    anchor = lambda t: (t["name"] == "a") & (t["kind"] == 1) & t["tok"].rlike(r"(?is)\shref\s*=")
+    marked = F.array_join(F.transform(e, lambda t: F.when(anchor(t), F.lit(_OPEN)).when((t["name"] == "a") & (t["kind"] == -1), F.lit(_CLOSE))
+                                      .when(t["inert"], F.lit("")).otherwise(t["tok"])), "")
+    inner = F.transform(F.slice(F.split(marked, _OPEN, -1), 2, F.size(e) + 1), lambda x: F.substring_index(x, _CLOSE, 1))
+    one = lambda kind, tok, text, above: F.struct(F.lit(kind).alias("kind"), tok.alias("tok"), text.alias("inner"), above.alias("above"))
+    anchors = F.zip_with(F.filter(e, anchor), inner, lambda t, x: one("a", t["tok"], x, t["above"]))
+    frames = F.filter(e, lambda t: t["name"].isin("frame", "iframe") & (t["kind"] >= 0))
+    frames = F.transform(frames, lambda t: one("frame", t["tok"], F.lit(""), t["above"]))
+    number = lambda arr: F.transform(arr, lambda x, i: F.struct(i.alias("pos"), x.alias("x")))
+    return F.concat(number(anchors), number(frames))
 
 
 def scoped_links(snapshot: DataFrame, url: str = "url", body: str = "body") -> DataFrame:
-    """Anchors and frames with footer scope flags (tokenizer per partition)."""
-    from crawlfold.session import ship_package
+    """``(url, pos, href, text, title, label, in_footer_a, in_footer_b, is_frame)``:
+    one link table of anchors with an href and of frames (``href`` their
+    source, ``''`` if none), each kind numbered in document order, with whether
+    a footer element is open around it. A narrow projection and one explode."""
+    clean = F.translate(F.coalesce(F.col(body), F.lit("")), _OPEN + _CLOSE, "")
+    ex = snapshot.select(F.col(url).alias("url"), F.explode(let(elements(clean, _footer_marks), _edges)).alias("e"))
+    ex = ex.select("url", "e.pos", "e.x.*")
+    frame = F.col("kind") == "frame"
+    return ex.select(
+        "url", F.col("pos").cast("int").alias("pos"),
+        F.when(frame, F.coalesce(_attr(F.col("tok"), "src"), F.lit(""))).otherwise(_attr(F.col("tok"), "href")).alias("href"),
+        page_text(F.col("inner")).alias("text"), F.when(~frame, _attr(F.col("tok"), "title")).alias("title"),
+        glued_text(F.col("inner")).alias("label"),
+        (F.col("above").bitwiseAND(FOOTER_A) > 0).alias("in_footer_a"), (F.col("above").bitwiseAND(FOOTER_B) > 0).alias("in_footer_b"),
+        frame.alias("is_frame"))
+
 
-    ship_package(snapshot.sparkSession)
-    src = snapshot.select(F.col(url).alias("url"), F.col(body).alias("body"))
-    return src.mapInPandas(_scan_batches, SCOPED_SCHEMA)
+def frame_links(scoped: DataFrame, base: str = "base") -> DataFrame:
+    """Frames with a source, joined to ``base``, http(s) only."""
+    s = scoped.filter(F.col("is_frame") & (F.col("href") != "")).withColumn("link", url_join(F.col(base), F.col("href")))
+    return s.filter(http_only(F.col("link")))
 
 
 def footer_links_a(scoped: DataFrame, base: str = "base") -> DataFrame:

@@ -11,9 +11,10 @@ robots or sitemap files, so a site snapshot is derived from them:
   its host (self links dropped), anchor texts by position, and (position 3)
   to the host's legal notice page ``scheme://host/mentions-legales``;
 * snapshot      each page body gets a supplier paragraph (page id modulo 3: with
-  a numeric reference, named ones, or a SIREN of its own) and its links (in a
-  ``div class="site-footer"`` when the host name has even length, else in
-  ``<main>``); every host gets a homepage ``scheme://host`` (its rank-0 body),
+  a numeric reference, named ones after a keywords ``meta``, or a SIREN of its
+  own and the paragraph marked by class and id), a frame of the legal notice
+  (page id modulo 7 is 3) and its links (in a ``div class="site-footer"`` when
+  the host name has even length, else in ``<main>``); every host gets a homepage ``scheme://host`` (its rank-0 body),
   a legal notice page (supplier ``length(host) * 7 % n`` text) and a
   ``robots.txt``; hosts whose name length is not a multiple of 3 get a
   sitemap index (advertised in robots.txt as ``/sitemap_index.xml`` for even
@@ -43,6 +44,8 @@ SITEMAP_CHUNK = 50000
 ANCHOR_TEXTS = ["Suivant", "Contact", "Plan du site", "Mentions légales"]
 LEGAL_PATH = "/mentions-legales"
 MISSING_DOMAIN = "missing.example.net"
+KEYWORDS_META = '<meta name="keywords" content="siret &amp; siren">'
+MARKED_PARAGRAPH = '<p id="contact" class="mentions">'
 XML_HEAD = '<?xml version="1.0" encoding="UTF-8"?>'
 
 
@@ -108,9 +111,13 @@ def _paragraph() -> F.Column:
     reference, or names stand before it, or a SIREN of its own follows."""
     own = F.lpad(((F.col("s_suppkey") * 13) % 1000).cast("string"), 3, "0")
     k = F.col("page_id") % 3
-    return (F.when(k == 0, F.replace(F.col("text"), F.lit("@"), F.lit("&#64;")))
-            .when(k == 1, F.concat(F.lit("N&deg; t&ecirc;te&rsquo; "), F.col("text")))
-            .otherwise(F.concat(F.col("text"), F.lit(" SIREN "), own, F.lit(" 443 210."))))
+    return (F.when(k == 0, F.concat(F.lit("<p>"), F.replace(F.col("text"), F.lit("@"), F.lit("&#64;")), F.lit("</p>")))
+            .when(k == 1, F.concat(F.lit(KEYWORDS_META + "<p>N&deg; t&ecirc;te&rsquo; "), F.col("text"), F.lit("</p>")))
+            .otherwise(F.concat(F.lit(MARKED_PARAGRAPH), F.col("text"), F.lit(" SIREN "), own, F.lit(" 443 210.</p>"))))
+
+
+def _frame() -> F.Column:
+    return F.when(F.col("page_id") % 7 == 3, F.lit(f'<iframe src="{LEGAL_PATH}"></iframe>')).otherwise(F.lit(""))
 
 
 def _page_bodies(spark: SparkSession, sf_dir: str, ranked: DataFrame, link_df: DataFrame) -> DataFrame:
@@ -135,7 +142,7 @@ def _page_bodies(spark: SparkSession, sf_dir: str, ranked: DataFrame, link_df: D
         .withColumn(
             "body",
             F.concat(
-                F.col("html"), F.lit("<p>"), _paragraph(), F.lit("</p>"),
+                F.col("html"), _frame(), _paragraph(),
                 F.when(even, F.concat(F.lit('<div class="site-footer">'), F.col("anchors"), F.lit("</div>")))
                 .otherwise(F.concat(F.lit("<main>"), F.col("anchors"), F.lit("</main>"))),
             ),
@@ -194,7 +201,9 @@ def site_snapshot(spark: SparkSession, sf_dir: str, materialize: bool = True) ->
     ranked = keep(ranked_pages(spark, sf_dir))
     site_df = keep(sites(ranked))
     link_df = keep(links(ranked))
-    bodies = keep(_page_bodies(spark, sf_dir, ranked, link_df))
+    # the pages are parsed again and again: as many files as tasks can read at once
+    width = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    bodies = keep(_page_bodies(spark, sf_dir, ranked, link_df).repartition(width))
     homepages = bodies.filter(F.col("rank") == 0).join(site_df.select("host", "site"), "host").select(
         F.col("site").alias("url"), "body")
     supplier = read_table(spark, sf_dir, "supplier")
