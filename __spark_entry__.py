@@ -76,7 +76,7 @@ def _links(spark, sf):
 
 def _bases(spark, sf):
     d = _site(spark, sf)
-    return W.base_urls(d["domains"], d["snapshot"]), d
+    return W.base_urls(d["domains"], d["store"]), d
 
 
 # ---------------------------------------------------------------------------
@@ -289,7 +289,7 @@ def q_keyword_links(spark, sf):
 
 def q_internal_keyword_links(spark, sf):
     d = _site(spark, sf)
-    homes = fetched(d["snapshot"]).join(d["sites"].select(F.col("site").alias("url")), "url", "left_semi")
+    homes = d["store"].fetch(d["sites"].select(F.col("site").alias("url")))
     ln = L.page_links(homes).withColumn("base", F.col("url"))
     r = L.internal_keyword_links(ln, "base")
     return r.select("url", F.col("pos").cast("bigint").alias("pos"), "link")
@@ -335,18 +335,18 @@ def _ok_bases(spark, sf):
 
 def q_robots_sitemap(spark, sf):
     b, d = _ok_bases(spark, sf)
-    return SM.robots_sitemap(b, d["snapshot"], "base_url", "a").select("domain", "sitemap_url")
+    return SM.robots_sitemap(b, d["store"], "base_url", "a").select("domain", "sitemap_url")
 
 
 def q_robots_sitemap_b(spark, sf):
     b, d = _ok_bases(spark, sf)
-    return SM.robots_sitemap(b, d["snapshot"], "base_url", "b").select("domain", "sitemap_url")
+    return SM.robots_sitemap(b, d["store"], "base_url", "b").select("domain", "sitemap_url")
 
 
 def _sitemap_mode(spark, sf, mode, robots_mode):
     b, d = _ok_bases(spark, sf)
-    starts = SM.robots_sitemap(b, d["snapshot"], "base_url", robots_mode).select("domain", "sitemap_url")
-    r = SM.expand_sitemaps(starts, d["snapshot"], mode=mode)
+    starts = SM.robots_sitemap(b, d["store"], "base_url", robots_mode).select("domain", "sitemap_url")
+    r = SM.expand_sitemaps(starts, d["store"], mode=mode)
     return rank_within(r, "domain", "ord", "pos", None).select("domain", "url", "pos")
 
 
@@ -369,13 +369,13 @@ def q_sitemap_lenient(spark, sf):
 def q_page_lookup(spark, sf):
     d = _site(spark, sf)
     urls = d["links"].select(F.col("dst").alias("url"))
-    r = W.page_lookup(urls, d["snapshot"])
+    r = W.page_lookup(urls, d["store"])
     return r.select("url", F.length("body").cast("bigint").alias("n_chars"), F.md5(F.col("body")).alias("md5"))
 
 
 def q_topk_urls(spark, sf):
     b, d = _ok_bases(spark, sf)
-    urls = sitemap_urls_b(b, d["snapshot"]).withColumn("score", S.score_sum(F.col("url")))
+    urls = sitemap_urls_b(b, d["store"]).withColumn("score", S.score_sum(F.col("url")))
     return W.top_urls(urls).select("domain", "url", F.col("slot").cast("bigint").alias("slot"))
 
 
@@ -402,7 +402,7 @@ def _sourced(spark, sf):
     """Bases and page URLs of each domain: its sitemap's, else the crawl's."""
     b, d = _bases(spark, sf)
     b = cut_lineage(b)
-    return b, source_urls(b, d["snapshot"])[0]
+    return b, source_urls(b, d["store"])[0]
 
 
 def q_source_fallback(spark, sf):
@@ -418,49 +418,76 @@ def q_homepage_fallback(spark, sf):
 
 def q_pipeline_a_compat(spark, sf):
     d = _site(spark, sf)
-    r = pipeline_a(d["domains"], d["snapshot"], compat=True)
+    r = pipeline_a(d["domains"], d["store"], compat=True)
     return r.report
 
 
 def q_run_stats(spark, sf):
     d = _site(spark, sf)
-    return pipeline_a(d["domains"], d["snapshot"], compat=True).stats
+    return pipeline_a(d["failing"], d["store"]).stats
 
 
 def q_pipeline_a(spark, sf):
     d = _site(spark, sf)
-    return pipeline_a(d["domains"], d["snapshot"]).report
+    return pipeline_a(d["domains"], d["store"]).report
+
+
+def _seeds(d, bases):
+    """Fetched base URLs as ``(site, base)``."""
+    ok = bases.join(d["store"].available().select(F.col("url").alias("base_url")), "base_url", "left_semi")
+    return cut_lineage(ok.select(F.col("domain").alias("site"), F.col("base_url").alias("base")))
 
 
 def q_crawl_bfs(spark, sf):
-    d = _site(spark, sf)
-    b = W.base_urls(d["domains"], d["snapshot"]).filter(F.col("base_url").isNotNull())
-    seeds = b.join(fetched(d["snapshot"]).select(F.col("url").alias("base_url")), "base_url", "left_semi").select(
-        F.col("domain").alias("site"), F.col("base_url").alias("base"))
-    links = C.links_of(fetched(d["snapshot"]), L.page_links)
-    seeds = cut_lineage(seeds)
-    homes = fetched(d["snapshot"]).join(seeds.select(F.col("base").alias("url")), "url", "left_semi")
+    b, d = _ok_bases(spark, sf)
+    seeds = _seeds(d, b)
+    homes = d["store"].fetch(seeds.select(F.col("base").alias("url")))
     scoped = L.scoped_links(homes).join(seeds.select(F.col("base").alias("url"), "site", "base"), "url")
     footer = L.footer_links_a(scoped, "base").select("site", "link", "text", "label", "pos")
-    r = C.crawl_bfs(seeds, links, footer)
+    r = C.crawl_bfs(seeds, C.links_of(d["store"], L.page_links), footer)
     return r.select("site", "url", F.round("score", 6).alias("score"), F.col("depth").cast("bigint").alias("depth"), "rank")
 
 
+def q_crawl_scored(spark, sf):
+    b, d = _ok_bases(spark, sf)
+    r = C.crawl_scored(_seeds(d, b), d["store"], L.page_links)
+    return r.select("site", "url", F.round("score", 6).alias("score"), F.col("depth").cast("bigint").alias("depth"))
+
+
+def _bases_b(spark, sf):
+    d = _site(spark, sf)
+    return W.base_urls(d["domains"], d["store_b"], d["redirects"]), d
+
+
+def q_base_url_b(spark, sf):
+    b, _ = _bases_b(spark, sf)
+    return b.select("domain", F.coalesce("base_url", F.lit("")).alias("base_url"))
+
+
+def q_page_lookup_fallback(spark, sf):
+    d = _site(spark, sf)
+    urls = d["links"].select(F.col("dst").alias("url")).unionByName(d["sites"].select(F.col("site").alias("url")))
+    r = W.page_lookup(urls, d["store_b"]).join(d["store_b"].choose(urls).select("url", "source"), "url")
+    return r.select("url", F.col("source").cast("bigint").alias("source"), F.length("body").cast("bigint").alias("n_chars"), F.md5("body").alias("md5"))
+
+
 def q_crawl_site(spark, sf):
+    b, d = _bases_b(spark, sf)
+    seeds = b.filter(F.col("base_url").isNotNull()).select(F.col("domain").alias("site"), F.col("base_url").alias("base"))
+    return C.crawl_site(cut_lineage(seeds), C.links_of(d["store_b"], L.scoped_links, rendered=True))
+
+
+def _pipeline_b(spark, sf, **how):
     d = _site(spark, sf)
-    b = W.base_urls(d["domains"], d["snapshot"]).filter(F.col("base_url").isNotNull())
-    seeds = b.select(F.col("domain").alias("site"), F.col("base_url").alias("base"))
-    return C.crawl_site(cut_lineage(seeds), C.links_of(fetched(d["snapshot"]), L.scoped_links))
+    return pipeline_b(d["domains"], d["store_b"], redirects=d["redirects"], **how)
 
 
 def q_pipeline_b(spark, sf):
-    d = _site(spark, sf)
-    return pipeline_b(d["domains"], d["snapshot"], keep_partial=True).report
+    return _pipeline_b(spark, sf, keep_partial=True).report
 
 
 def q_domain_report_b(spark, sf):
-    d = _site(spark, sf)
-    return pipeline_b(d["domains"], d["snapshot"]).report
+    return _pipeline_b(spark, sf).report
 
 
 def _raw_domain_values(spark, sf):
@@ -504,8 +531,7 @@ def q_error_rate(spark, sf):
 
 
 def q_cascade(spark, sf):
-    d = _site(spark, sf)
-    sets = pipeline_b(d["domains"], d["snapshot"]).sets
+    sets = _pipeline_b(spark, sf).sets
     return sets.select("domain", _joined(F.col("siren")).alias("siren"), _joined(F.col("siret")).alias("siret"),
                        _joined(F.col("emails")).alias("emails"))
 
@@ -571,7 +597,10 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "run_stats": q_run_stats,
     "pipeline_a": q_pipeline_a,
     "crawl_bfs": q_crawl_bfs,
+    "crawl_scored": q_crawl_scored,
     "crawl_site": q_crawl_site,
+    "base_url_b": q_base_url_b,
+    "page_lookup_fallback": q_page_lookup_fallback,
     "pipeline_b": q_pipeline_b,
     "domain_report_b": q_domain_report_b,
     "src_domains_a": q_src_domains_a,

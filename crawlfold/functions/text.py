@@ -10,6 +10,7 @@ import functools
 import html.entities
 import unicodedata
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -140,14 +141,20 @@ def _named_entities() -> tuple[dict[str, dict[str, str]], str]:
     return by_letter, "^(?:" + "|".join(short) + ")"
 
 
-def _entity_value(name: Column) -> Column:
-    """Value of a name (with its ``;`` if it has one), NULL when unknown. The
-    maps are folded to literals; a look-up scans the names of one letter."""
+@functools.lru_cache(maxsize=1)
+def _entity_tables(gateway: int) -> Column:
+    """First letter -> name -> value, built once for a JVM; Spark folds the maps to literals."""
     by_letter, _ = _named_entities()
     cell = [F.lit(x) for letter, names in sorted(by_letter.items()) for x in (letter, "\1".join(names), "\1".join(names.values()))]
-    tables = F.create_map(*[
+    return F.create_map(*[
         x for i in range(0, len(cell), 3)
         for x in (cell[i], F.map_from_arrays(F.split(cell[i + 1], "\1", -1), F.split(cell[i + 2], "\1", -1)))])
+
+
+def _entity_value(name: Column) -> Column:
+    """Value of a name (with its ``;`` if it has one), NULL when unknown; a
+    look-up scans the names of one letter."""
+    tables = _entity_tables(id(SparkContext._gateway))
     return F.element_at(F.element_at(tables, F.substring(name, 1, 1)), name)
 
 

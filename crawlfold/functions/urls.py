@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from crawlfold.functions import keywords as K
-from crawlfold.functions.text import unaccent
+from crawlfold.functions.text import let, unaccent
 
 SCHEME_RE = r"^([A-Za-z][A-Za-z0-9+.-]*):"
 NETLOC_RE = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)"
@@ -81,12 +81,19 @@ def url_join(base, href) -> Column:
     http(s) bases): a scheme keeps ``href`` as is, ``//`` takes the base
     scheme, ``/`` the base origin, ``?``/``#``/empty the base path, anything
     else the base directory; dot segments are then removed."""
-    b, h = _col(base), _col(href)
+    return let(_col(href), lambda h: _joined(_col(base), h))
+
+
+def _joined(b: Column, h: Column) -> Column:
     b_origin = F.concat(scheme(b), F.lit("://"), netloc(b))
     b_path = url_path(b)
     b_query = url_query(b)
-    h_path = url_path(h)
-    h_tail = F.regexp_extract(h, r"^[^?#]*(.*)$", 1)          # ?query#fragment of href
+    return let(F.struct(url_path(h).alias("path"), F.regexp_extract(h, r"^[^?#]*(.*)$", 1).alias("tail")),
+               lambda x: _resolved(b, h, b_origin, b_path, b_query, x["path"], x["tail"]))
+
+
+def _resolved(b, h, b_origin, b_path, b_query, h_path, h_tail) -> Column:
+    """``h_tail``: query and fragment of the reference."""
     h_has_query = h_tail.rlike(r"^\?[^#]")
     # directory of the base path (up to the last '/'); '' base path acts as '/'
     b_dir = F.regexp_extract(b_path, r"^(.*/)", 1)

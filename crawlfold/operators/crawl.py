@@ -27,16 +27,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlfold.functions import keywords as K
-from crawlfold.functions.scoring import score_max
+from crawlfold.functions.scoring import score_max, score_sum
 from crawlfold.functions.urls import contains_any, http_only, netloc, strip_ws, url_join
 from crawlfold.session import cut_lineage
+from crawlfold.sources.store import PageStore, store_of
 
 Links = DataFrame | Callable[[DataFrame], DataFrame]
 
 
-def links_of(pages: DataFrame, extract: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+def links_of(pages: PageStore | DataFrame, extract: Callable[[DataFrame], DataFrame], rendered: bool = False) -> Callable[[DataFrame], DataFrame]:
     """Links of some urls only: ``extract`` runs on the pages of the urls asked for."""
-    return lambda urls: extract(pages.join(urls.select("url").distinct(), "url", "left_semi"))
+    store = store_of(pages)
+    return lambda urls: extract(store.fetch(urls, rendered=rendered))
 
 
 def _links(links: Links, frontier: DataFrame) -> DataFrame:
@@ -170,3 +172,49 @@ def crawl_site(seeds: DataFrame, scoped: Links, max_depth: int = K.SITE_CRAWL_MA
     for p in found_parts[1:]:
         out = out.unionByName(p)
     return out.distinct()
+
+
+def crawl_scored(seeds: DataFrame, pages: PageStore | DataFrame, extract: Callable[[DataFrame], DataFrame],
+                 max_found: int = K.PAGE_CRAWL_MAX_FOUND, min_score: float = K.PAGE_CRAWL_MIN_SCORE) -> DataFrame:
+    """Crawl of a site's own pages that keeps those whose URL and source text
+    score over ``min_score``, until ``max_found`` are kept. Any order is fine for
+    the set that such a crawl reads from; here pages come by (depth, url), so that
+    results do not depend on chance.
+
+    seeds    ``(site, base)``; links are resolved against ``base`` and stay on its host;
+    extract  anchors ``(url, href)`` of pages ``(url, body)``.
+
+    A level is read at once. Where it holds the last page that a site may keep,
+    the level is cut behind that page: found by a top-k of the kept urls, not by
+    a running count over the site. Pages that cannot be read count as visited.
+    Returns ``(site, url, score, depth)``.
+    """
+    store = store_of(pages)
+    frontier = cut_lineage(seeds.select("site", "base", F.col("base").alias("url")))
+    visited, found, depth = frontier.select("site", "url"), [], 0
+    counts = seeds.select("site", F.lit(0).cast("bigint").alias("n"))
+    while True:
+        bodies = store.fetch(frontier)
+        level = frontier.join(bodies, "url").select("site", "base", "url", score_sum(F.col("url"), F.col("body")).alias("score"))
+        level = cut_lineage(level.join(counts, "site"))
+        kept = level.filter(F.col("score") > min_score)
+        first = kept.withColumn("_k", F.row_number().over(Window.partitionBy("site").orderBy("url"))).filter(F.col("_k") <= max_found)
+        last = first.filter(F.col("_k") + F.col("n") == max_found).select("site", F.col("url").alias("_last"))
+        opened = cut_lineage(level.join(last, "site", "left").filter(F.col("_last").isNull() | (F.col("url") <= F.col("_last"))))
+        new = opened.filter(F.col("score") > min_score)
+        found.append(new.select("site", "url", "score", F.lit(depth).alias("depth")))
+        counts = cut_lineage(counts.join(new.groupBy("site").agg(F.count(F.lit(1)).alias("_new")), "site", "left").select(
+            "site", (F.col("n") + F.coalesce("_new", F.lit(0))).alias("n")))
+        more = opened.join(counts.filter(F.col("n") < max_found).select("site"), "site", "left_semi")
+        edges = more.join(extract(store.fetch(more)).select("url", "href"), "url")
+        links = edges.select("site", "base", url_join(F.col("base"), F.col("href")).alias("url"))
+        links = links.filter(netloc(F.col("url")) == netloc(F.col("base"))).distinct()
+        frontier = cut_lineage(links.join(visited, ["site", "url"], "left_anti"))
+        if frontier.isEmpty():
+            break
+        visited = visited.unionByName(frontier.select("site", "url"))
+        depth += 1
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out

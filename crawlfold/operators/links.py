@@ -27,10 +27,8 @@ def _attr(attrs: F.Column, name: str) -> F.Column:
     """Value of attribute ``name`` in a start-tag attribute string (NULL when
     absent); double-quoted, single-quoted or bare; entities decoded."""
     pat = rf"""(?is)(?:^|\s){name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
-    raw = F.regexp_extract(attrs, pat, 1)
-    quoted = raw.startswith('"') | raw.startswith("'")
-    val = F.when(quoted, F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
-    return F.when(attrs.rlike(pat), decode_entities(val))
+    bare = F.regexp_replace(F.regexp_extract(attrs, pat, 1), r"""(?s)^(["'])(.*)\1$""", "$2")
+    return F.when(attrs.rlike(pat), decode_entities(bare))
 
 
 def page_links(snapshot: DataFrame, url: str = "url", body: str = "body") -> DataFrame:
@@ -132,11 +130,14 @@ def footer_links_a(scoped: DataFrame, base: str = "base") -> DataFrame:
     """Footer links, pipeline A: class contains 'footer'; hrefs not starting
     with http/https/mailto/tel/# are joined to the base; same host only."""
     s = scoped.filter(F.col("in_footer_a") & ~F.col("is_frame"))
-    keep_as_is = F.lit(False)
-    for p in K.KEEP_AS_IS_PREFIXES_L1:
-        keep_as_is = keep_as_is | F.col("href").startswith(p)
-    link = F.when(keep_as_is, F.col("href")).otherwise(url_join(F.col(base), F.col("href")))
-    s = s.withColumn("link", link)
+
+    def link(href):
+        keep_as_is = F.lit(False)
+        for p in K.KEEP_AS_IS_PREFIXES_L1:
+            keep_as_is = keep_as_is | href.startswith(p)
+        return F.when(keep_as_is, href).otherwise(url_join(F.col(base), href))
+
+    s = s.withColumn("link", let(F.col("href"), link))
     return s.filter(netloc(F.col("link")) == netloc(F.col(base)))
 
 

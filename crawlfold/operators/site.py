@@ -10,7 +10,10 @@ from crawlfold.functions import keywords as K
 from crawlfold.functions.extract import joined, sorted_set
 from crawlfold.functions.scoring import score_rules
 from crawlfold.functions.urls import url_variants
-from crawlfold.sources.tables import fetched
+from crawlfold.operators.ranking import rank_within
+from crawlfold.sources.store import PageStore, resolve_redirects, store_of
+
+Pages = PageStore | DataFrame
 
 
 def _empty():
@@ -22,38 +25,34 @@ def variants(domains: DataFrame) -> DataFrame:
     return domains.select("domain", F.posexplode(url_variants(F.col("domain"))).alias("variant_rank", "url"))
 
 
-def base_urls(domains: DataFrame, snapshot: DataFrame, use_final_url: bool = False) -> DataFrame:
+def base_urls(domains: DataFrame, pages: Pages, redirects: DataFrame | None = None) -> DataFrame:
     """``(domain, base_url)`` per distinct domain; ``base_url`` is the first
-    variant that was fetched (its post-redirect ``final_url`` when asked and
-    present), NULL when none was."""
+    variant that was fetched, NULL when none was. With ``redirects(url,
+    location)`` a variant that redirects counts where its chain ends at a fetched
+    page, and that end is the base URL. Reads the store's index, no body."""
     keys = domains.select("domain").distinct()
-    snap_cols = ["url"] + (["final_url"] if use_final_url and "final_url" in snapshot.columns else [])
-    hits = variants(keys).join(fetched(snapshot).select(*snap_cols), "url")
-    pick = F.col("final_url") if "final_url" in snap_cols else F.col("url")
-    chosen = hits.groupBy("domain").agg(F.min_by(F.coalesce(pick, F.col("url")), F.col("variant_rank")).alias("base_url"))
+    ok = store_of(pages).available()
+    ends = ok.select("url", F.col("url").alias("final_url"))
+    if redirects is not None:
+        moved = resolve_redirects(redirects).join(ok.select(F.col("url").alias("final_url")), "final_url", "left_semi")
+        ends = ends.join(redirects.select("url"), "url", "left_anti").unionByName(moved.select("url", "final_url"))
+    hits = variants(keys).join(ends, "url")
+    chosen = hits.groupBy("domain").agg(F.min_by("final_url", "variant_rank").alias("base_url"))
     return keys.join(chosen, "domain", "left")
 
 
-def page_lookup(urls: DataFrame, snapshot: DataFrame, rendered: DataFrame | None = None) -> DataFrame:
-    """``(url, body)`` for the distinct ``urls`` that were fetched; with
-    ``rendered``, a URL missing from (or empty in) the static snapshot takes
-    the rendered body."""
-    u = urls.select("url").distinct()
-    static = fetched(snapshot).select("url", F.col("body").alias("_s"))
-    out = u.join(static, "url", "left")
-    if rendered is not None:
-        out = out.join(fetched(rendered).select("url", F.col("body").alias("_r")), "url", "left")
-        body = F.coalesce("_s", "_r")
-    else:
-        body = F.col("_s")
-    return out.select("url", body.alias("body")).filter(F.col("body").isNotNull())
+def page_lookup(urls: DataFrame, pages: Pages, rendered: DataFrame | None = None) -> DataFrame:
+    """``(url, body)`` for the distinct ``urls`` that were fetched; a URL missing
+    from (or empty in) the static snapshot takes the rendered body, if the store
+    has one (or ``rendered`` is given beside a plain snapshot)."""
+    return store_of(pages, rendered).fetch(urls, rendered=True)
 
 
 def candidates_scored(urls: DataFrame, pos: str = "pos") -> DataFrame:
     """Keep URLs with a positive rule score, best first, ties in input order."""
     s = urls.withColumn("score", score_rules(F.col("url"))).filter(F.col("score") > 0)
-    w = Window.partitionBy("domain").orderBy(F.col("score").desc(), pos)
-    return s.withColumn("rank", (F.row_number().over(w) - 1).cast("bigint"))
+    placed = s.withColumn("_place", F.struct((-F.col("score")).alias("s"), F.col(pos).alias("p"), F.col("url").alias("u")))
+    return rank_within(placed, "domain", "_place", "rank", None).drop("_place")
 
 
 def candidates_gate(urls: DataFrame) -> DataFrame:
@@ -83,6 +82,13 @@ def top_urls(scored: DataFrame, k: int = K.TOP_URLS_PER_STAGE, order: str = "ord
     return top.withColumn("_k", F.row_number().over(w2)).filter("_k = 1").drop("_k")
 
 
+def identifiers(found: DataFrame, key: str = "domain") -> DataFrame:
+    """``(key, kind, value)``: the distinct identifiers of per-page arrays ``siren``,
+    ``siret`` and ``emails``, a row each, however many a domain has."""
+    kinds = [found.select(key, F.lit(kind).alias("kind"), F.explode(kind).alias("value")) for kind in ("siren", "siret", "emails")]
+    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).distinct()
+
+
 def union_per_domain(found: DataFrame, key: str = "domain") -> DataFrame:
     """``(key, siren, siret, emails)`` sorted sets from per-page arrays.
 
@@ -91,11 +97,12 @@ def union_per_domain(found: DataFrame, key: str = "domain") -> DataFrame:
     never gathers its raw page arrays in one task; only its distinct values
     are collected, and that set is the output row itself.
     """
-    kinds = []
-    for kind in ("siren", "siret", "emails"):
-        kinds.append(found.select(key, F.lit(kind).alias("kind"), F.explode(kind).alias("value")))
-    vals = kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).distinct()
-    agg = vals.groupBy(key).agg(
+    return sets_of(identifiers(found, key), key)
+
+
+def sets_of(ids: DataFrame, key: str = "domain") -> DataFrame:
+    """``(key, siren, siret, emails)`` sorted sets of an identifier table."""
+    agg = ids.groupBy(key).agg(
         *[sorted_set(F.collect_list(F.when(F.col("kind") == k, F.col("value")))).alias(k)
           for k in ("siren", "siret", "emails")])
     return agg
@@ -122,40 +129,54 @@ def report_a(domains: DataFrame, bases: DataFrame, sets: DataFrame) -> DataFrame
     )
 
 
-def report_b(domains: DataFrame, sets: DataFrame, keep_partial: bool = False) -> DataFrame:
-    """Long report: siren x siret x (email or ''), one blank row for a domain
-    with nothing. Without ``keep_partial`` a domain with SIRENs but no SIRET
-    (or the reverse) yields no row, as nested loops over an empty list do."""
-    j = domains.join(sets, "domain", "left").select(
-        *([c for c in ["input_pos"] if c in domains.columns]), "domain",
-        F.coalesce("siren", _empty()).alias("sirens"), F.coalesce("siret", _empty()).alias("sirets"),
-        F.coalesce("emails", _empty()).alias("mails"))
-    nothing = (F.size("sirens") == 0) & (F.size("sirets") == 0) & (F.size("mails") == 0)
-    blank = j.filter(nothing).select(*[c for c in j.columns if c in ("input_pos", "domain")],
-                                     F.lit("").alias("siren"), F.lit("").alias("siret"), F.lit("").alias("email"))
-    some = j.filter(~nothing)
-    gen = F.explode_outer if keep_partial else F.explode
-    rows = (some.withColumn("siren", gen("sirens")).withColumn("siret", gen("sirets"))
-            .withColumn("email", F.explode(F.when(F.size("mails") > 0, F.col("mails")).otherwise(F.array(F.lit(""))))))
-    rows = rows.select(*[c for c in ["input_pos", "domain"] if c in j.columns],
-                       F.coalesce("siren", F.lit("")).alias("siren"), F.coalesce("siret", F.lit("")).alias("siret"), "email")
-    return blank.unionByName(rows)
-
-
-def run_stats(report: DataFrame, legal_pages: DataFrame) -> DataFrame:
-    """One-row counters: id counts summed per domain row, legal page count,
-    requests (one per domain, one more per found base URL), error rate (rows
-    that failed otherwise than by having no base URL, in requests)."""
+def report_b(domains: DataFrame, ids: DataFrame, keep_partial: bool = False) -> DataFrame:
+    """Long report of an identifier table ``(domain, kind, value)``: siren x siret x
+    (email or ''), one blank row for a domain with nothing. Without
+    ``keep_partial`` a domain with SIRENs but no SIRET (or the reverse) yields no
+    row, as nested loops over an empty list do.
+
+    The product is two joins on the domain over the long table: no cell holds a
+    domain's identifiers, and a domain with very many is split over tasks."""
+    has = ids.groupBy("domain").agg(*[F.max(F.col("kind") == k).alias(k) for k in ("siren", "siret", "emails")])
+
+    def values(kind: str, name: str, or_blank: bool) -> DataFrame:
+        own = ids.filter(F.col("kind") == kind).select("domain", F.col("value").alias(name))
+        blank = has.filter(~F.col(kind)).select("domain", F.lit("").alias(name))
+        return own.unionByName(blank) if or_blank else own
+
+    rows = values("siren", "siren", keep_partial).join(values("siret", "siret", keep_partial), "domain")
+    rows = rows.join(values("emails", "email", True), "domain")
+    pos = [c for c in ["input_pos"] if c in domains.columns]
+    listed = domains.select(*pos, "domain").join(rows, "domain").select(*pos, "domain", "siren", "siret", "email")
+    blank = domains.select(*pos, "domain").join(has, "domain", "left_anti")
+    return listed.unionByName(blank.select(*pos, "domain", *[F.lit("").alias(c) for c in ("siren", "siret", "email")]))
+
+
+def request_log(domains: DataFrame, bases: DataFrame) -> DataFrame:
+    """``(domain, request, outcome)``, a row per request of the domain rows: one for
+    the base URL (``ok``, or ``none`` when no variant answered), one for the
+    sitemap of a found base (``failed`` when the domain's ``error`` column says
+    what went wrong while it was read, else ``ok``)."""
+    failed = F.col("error").isNotNull() if "error" in domains.columns else F.lit(False)
+    rows = domains.join(bases, "domain", "left").select(
+        "domain", F.col("base_url").isNotNull().alias("found"), failed.alias("failed"))
+    base = F.struct(F.lit("base").alias("request"), F.when(F.col("found"), F.lit("ok")).otherwise(F.lit("none")).alias("outcome"))
+    sitemap = F.struct(F.lit("sitemap").alias("request"), F.when(F.col("failed"), F.lit("failed")).otherwise(F.lit("ok")).alias("outcome"))
+    sent = F.when(F.col("found"), F.array(base, sitemap)).otherwise(F.array(base))
+    return rows.select("domain", F.explode(sent).alias("r")).select("domain", "r.request", "r.outcome")
+
+
+def run_stats(report: DataFrame, legal_pages: DataFrame, log: DataFrame) -> DataFrame:
+    """One-row counters: id counts summed per report row, legal page count, and
+    from the request log the number of requests and the share that failed."""
     def n(c):
         return F.when(F.col(c) == "", 0).otherwise(F.size(F.split(F.col(c), ";")))
-    per = report.select(n("siren").alias("a"), n("siret").alias("b"), n("emails").alias("c"),
-                        F.when(F.col("base_url") != "", 2).otherwise(1).alias("req"),
-                        (~F.col("error_reason").isin("", K.ERROR_NO_BASE_URL)).cast("int").alias("err"))
-    totals = per.agg(F.sum("a").cast("bigint").alias("siren_count"), F.sum("b").cast("bigint").alias("siret_count"),
-                     F.sum("c").cast("bigint").alias("email_count"), F.sum("req").cast("bigint").alias("total_requests"),
-                     F.sum("err").cast("bigint").alias("errors"))
+    ids = report.agg(*[F.coalesce(F.sum(n(c)), F.lit(0)).cast("bigint").alias(name) for c, name in
+                       (("siren", "siren_count"), ("siret", "siret_count"), ("emails", "email_count"))])
+    requests = log.agg(F.count(F.lit(1)).cast("bigint").alias("total_requests"),
+                       F.count(F.when(F.col("outcome") == "failed", 1)).alias("errors"))
     legal = legal_pages.agg(F.count(F.lit(1)).cast("bigint").alias("legal_pages_count"))
     rate = F.when(F.col("total_requests") > 0, F.col("errors") / F.col("total_requests") * 100).otherwise(F.lit(0.0))
-    return totals.crossJoin(legal).select(
+    return ids.crossJoin(legal).crossJoin(requests).select(  # one row each
         "siren_count", "siret_count", "email_count", "legal_pages_count", "total_requests",
         F.format_string("%.2f%%", rate.cast("double")).alias("error_rate"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from crawlfold.functions import keywords as K
 from crawlfold.functions.urls import origin, strip_ws, url_join
 from crawlfold.session import cut_lineage
-from crawlfold.sources.tables import fetched
+from crawlfold.sources.store import PageStore, store_of
 
 SITEMAP_SCHEMA = "url ARRAY<STRUCT<loc: STRING>>, sitemap ARRAY<STRUCT<loc: STRING>>, _corrupt_record STRING"
 PREFIX_RE = r"<(/?)[A-Za-z_][\w.-]*:"
@@ -40,7 +40,7 @@ def sitemap_line(body) -> F.Column:
     return F.when(F.size(hits) > 0, strip_ws(F.regexp_replace(first, "^[^:]*:", "")))
 
 
-def robots_sitemap(bases: DataFrame, snapshot: DataFrame, base: str = "base_url", mode: str = "a") -> DataFrame:
+def robots_sitemap(bases: DataFrame, pages: PageStore | DataFrame, base: str = "base_url", mode: str = "a") -> DataFrame:
     """Add ``sitemap_url``: from robots.txt, else the default location.
 
     mode ``a``: default ``/sitemap.xml`` at the site root; an empty
@@ -48,8 +48,9 @@ def robots_sitemap(bases: DataFrame, snapshot: DataFrame, base: str = "base_url"
     mode ``b``: default ``sitemap.xml`` relative to the base path; an empty
     value also falls back.
     """
-    rb = fetched(snapshot).select(F.col("url").alias("_robots_url"), F.col("body").alias("_robots"))
-    j = bases.withColumn("_robots_url", robots_url(F.col(base))).join(rb, "_robots_url", "left")
+    asked = bases.withColumn("_robots_url", robots_url(F.col(base)))
+    rb = store_of(pages).fetch(asked.select(F.col("_robots_url").alias("url")))
+    j = asked.join(rb.select(F.col("url").alias("_robots_url"), F.col("body").alias("_robots")), "_robots_url", "left")
     found = sitemap_line(F.col("_robots"))
     if mode == "a":
         default = F.concat(origin(F.col(base)), F.lit("/sitemap.xml"))
@@ -95,7 +96,7 @@ def _placed(doc: DataFrame, items: F.Column, name: str, *under) -> DataFrame:
     return rows.select("domain", name, F.concat("ord", place).alias("ord"))
 
 
-def expand_sitemaps(starts: DataFrame, snapshot: DataFrame, mode: str = "a", compat: bool = False) -> DataFrame:
+def expand_sitemaps(starts: DataFrame, pages: PageStore | DataFrame, mode: str = "a", compat: bool = False) -> DataFrame:
     """Page URLs listed by the sitemaps of ``starts(domain, sitemap_url)``.
 
     Returns ``(domain, url, ord)``; ``ord`` is an array of positions that
@@ -108,12 +109,13 @@ def expand_sitemaps(starts: DataFrame, snapshot: DataFrame, mode: str = "a", com
     followed by the children's URLs; a document that is not well-formed XML,
     start or child, gives its ``loose_urls``.
     """
-    body = fetched(snapshot).select(F.col("url").alias("sm_url"), F.col("body").alias("_body"))
+    store = store_of(pages)
     frontier = starts.filter(F.col("sitemap_url").isNotNull() & (F.col("sitemap_url") != "")).select(
         "domain", F.col("sitemap_url").alias("sm_url"), F.array().cast("array<int>").alias("ord")).distinct()
     frontier = cut_lineage(frontier)
     visited, pieces = frontier.select("domain", "sm_url"), []
     while True:
+        body = store.fetch(frontier.select(F.col("sm_url").alias("url"))).select(F.col("url").alias("sm_url"), F.col("body").alias("_body"))
         doc = frontier.join(body, "sm_url").withColumn("p", parse_sitemap_body(F.col("_body")))
         loose = F.when(~F.col("p.xml"), loose_urls(F.col("_body"), compat)) if mode == "lenient" else F.lit(None).cast("array<string>")
         doc = cut_lineage(doc.select("domain", "ord", "p", loose.alias("loose")).filter("p.ok OR loose IS NOT NULL"))

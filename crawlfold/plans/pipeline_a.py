@@ -19,11 +19,11 @@ from crawlfold.functions.text import page_text
 from crawlfold.operators.crawl import crawl_bfs, links_of
 from crawlfold.operators.links import footer_links_a, page_links, scoped_links
 from crawlfold.operators.site import (
-    base_urls, candidates_gate, homepage_fallback, page_lookup, report_a, run_stats, union_per_domain,
+    Pages, base_urls, candidates_gate, homepage_fallback, page_lookup, report_a, request_log, run_stats, union_per_domain,
 )
 from crawlfold.operators.sitemaps import expand_sitemaps, robots_sitemap
 from crawlfold.session import cut_lineage
-from crawlfold.sources.tables import fetched
+from crawlfold.sources.store import store_of
 
 
 @dataclass
@@ -45,12 +45,13 @@ def extract_pages_a(pages: DataFrame, ignored=(), compat: bool = False, body: st
     )
 
 
-def source_urls(bases: DataFrame, snapshot: DataFrame, links: DataFrame | None = None,
+def source_urls(bases: DataFrame, snapshot: Pages, links: DataFrame | None = None,
                 crawl_links: bool = True) -> tuple[DataFrame, DataFrame]:
     """``(domain, url)`` page URLs per domain: sitemap URLs when there are
     any, else crawl results (dropped when ``crawl_links`` is False, which is
     what a type check on the crawl's link objects did). Also returns the
     sitemap URL table."""
+    store = store_of(snapshot)
     ok = bases.filter(F.col("base_url").isNotNull())
     sm = robots_sitemap(ok, snapshot, "base_url", mode="a")
     sm_urls = expand_sitemaps(sm.select("domain", "sitemap_url"), snapshot, mode="a")
@@ -58,21 +59,21 @@ def source_urls(bases: DataFrame, snapshot: DataFrame, links: DataFrame | None =
     if not crawl_links:
         return urls, sm_urls
     need = ok.join(sm_urls.select("domain").distinct(), "domain", "left_anti")
-    seeds = need.join(fetched(snapshot).select(F.col("url").alias("base_url")), "base_url", "left_semi").select(
+    seeds = need.join(store.available().select(F.col("url").alias("base_url")), "base_url", "left_semi").select(
         F.col("domain").alias("site"), F.col("base_url").alias("base"))
     seeds = cut_lineage(seeds)
     if links is None:
-        links = links_of(fetched(snapshot), page_links)
-    homes = fetched(snapshot).join(seeds.select(F.col("base").alias("url")), "url", "left_semi")
+        links = links_of(store, page_links)
+    homes = store.fetch(seeds.select(F.col("base").alias("url")))
     scoped = scoped_links(homes).join(seeds.select(F.col("base").alias("url"), "site", "base"), "url")
     footer = footer_links_a(scoped, "base").select("site", "link", "text", "label", "pos")
     crawled = crawl_bfs(seeds, links, footer)
     return urls.unionByName(crawled.select(F.col("site").alias("domain"), "url")), sm_urls
 
 
-def pipeline_a(domains: DataFrame, snapshot: DataFrame, links: DataFrame | None = None, ignored=(),
+def pipeline_a(domains: DataFrame, snapshot: Pages, links: DataFrame | None = None, ignored=(),
                crawl_links: bool = True, compat: bool = False) -> ResultA:
-    """The whole of pipeline A over ``domains(domain[, input_pos])``."""
+    """The whole of pipeline A over ``domains(domain[, input_pos, error])``."""
     bases = cut_lineage(base_urls(domains, snapshot))
     urls, _ = source_urls(bases, snapshot, links, crawl_links=crawl_links and not compat)
     gated = candidates_gate(urls)
@@ -84,5 +85,5 @@ def pipeline_a(domains: DataFrame, snapshot: DataFrame, links: DataFrame | None
     sets = union_per_domain(found)
     report = report_a(domains, bases, sets)
     legal_rows = gated.filter("legal").join(domains.select("domain"), "domain")
-    stats = run_stats(report, legal_rows)
+    stats = run_stats(report, legal_rows, request_log(domains, bases))
     return ResultA(report=report, stats=stats, candidates=targets, page_ids=per_page)

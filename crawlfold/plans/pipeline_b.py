@@ -23,16 +23,20 @@ from crawlfold.functions.scoring import score_sum
 from crawlfold.functions.text import page_text
 from crawlfold.operators.crawl import crawl_site, links_of
 from crawlfold.operators.links import scoped_links
-from crawlfold.operators.site import base_urls, page_lookup, report_b, top_urls, union_per_domain
+from crawlfold.operators.site import Pages, base_urls, identifiers, report_b, sets_of, top_urls
 from crawlfold.operators.sitemaps import expand_sitemaps, robots_sitemap
 from crawlfold.session import cut_lineage
-from crawlfold.sources.tables import fetched
+from crawlfold.sources.store import PageStore, store_of
 
 
 @dataclass
 class ResultB:
     report: DataFrame
-    sets: DataFrame
+    ids: DataFrame  # (domain, kind, value)
+
+    @property
+    def sets(self) -> DataFrame:
+        return sets_of(self.ids)
 
 
 def extract_pages_b(pages: DataFrame, body: str = "body", strip_spaces: bool = False) -> DataFrame:
@@ -46,44 +50,40 @@ def _served(found: DataFrame) -> DataFrame:
     return found.filter(has).select("domain").distinct()
 
 
-def _read(targets: DataFrame, snapshot: DataFrame, rendered: DataFrame | None) -> DataFrame:
-    pages = page_lookup(targets, snapshot, rendered)
+def _read(targets: DataFrame, store: PageStore) -> DataFrame:
+    pages = store.fetch(targets, rendered=True)
     return targets.join(extract_pages_b(pages), "url")
 
 
-def sitemap_urls_b(bases: DataFrame, snapshot: DataFrame) -> DataFrame:
+def sitemap_urls_b(bases: DataFrame, pages: Pages) -> DataFrame:
     """Lenient sitemap URLs, with the fallback for documents that are no XML."""
-    sm = robots_sitemap(bases, snapshot, "base_url", mode="b").select("domain", "sitemap_url")
-    return expand_sitemaps(sm, snapshot, mode="lenient")
+    sm = robots_sitemap(bases, pages, "base_url", mode="b").select("domain", "sitemap_url")
+    return expand_sitemaps(sm, pages, mode="lenient")
 
 
-def pipeline_b(domains: DataFrame, snapshot: DataFrame, rendered: DataFrame | None = None,
+def pipeline_b(domains: DataFrame, pages: Pages, rendered: DataFrame | None = None, redirects: DataFrame | None = None,
                scoped: DataFrame | None = None, keep_partial: bool = False) -> ResultB:
-    bases = cut_lineage(base_urls(domains, snapshot, use_final_url=True).filter(F.col("base_url").isNotNull()))
+    """The cascade over ``domains(domain[, input_pos])``; ``pages`` is a store, or a
+    snapshot with ``rendered`` beside it."""
+    store = store_of(pages, rendered)
+    bases = cut_lineage(base_urls(domains, store, redirects).filter(F.col("base_url").isNotNull()))
     # stage 1: sitemap
-    sm = sitemap_urls_b(bases, snapshot).withColumn("score", score_sum(F.col("url")))
+    sm = sitemap_urls_b(bases, store).withColumn("score", score_sum(F.col("url")))
     t1 = cut_lineage(top_urls(sm).select("domain", "url"))
-    f1 = cut_lineage(_read(t1, snapshot, rendered))
+    f1 = cut_lineage(_read(t1, store))
     # stage 2: crawl, for domains with nothing yet
     rest = bases.join(_served(f1), "domain", "left_anti")
-    seeds = rest.select(F.col("domain").alias("site"), F.col("base_url").alias("base"))
-    if scoped is None:
-        pages_all = snapshot if rendered is None else snapshot.unionByName(
-            rendered.join(fetched(snapshot).select("url"), "url", "left_anti").select("url", "body"))
-        scoped = links_of(fetched(pages_all), scoped_links)
-    seeds = cut_lineage(seeds)
-    crawled = crawl_site(seeds, scoped).withColumnRenamed("site", "domain")
+    seeds = cut_lineage(rest.select(F.col("domain").alias("site"), F.col("base_url").alias("base")))
+    crawled = crawl_site(seeds, scoped if scoped is not None else links_of(store, scoped_links, rendered=True))
+    crawled = crawled.withColumnRenamed("site", "domain")
     scored = crawled.withColumn("score", score_sum(F.col("url"))).withColumn("ord", F.col("url"))
     t2 = top_urls(scored).select("domain", "url").join(t1, ["domain", "url"], "left_anti")
-    f2 = cut_lineage(_read(t2, snapshot, rendered))
-    # stage 3: rendered homepage
-    rest2 = rest.join(_served(f2), "domain", "left_anti")
-    if rendered is not None:
-        homes = rest2.select("domain", F.col("base_url").alias("url"))
-        hp = fetched(rendered).join(homes, "url")
-        f3 = hp.join(extract_pages_b(hp.select("url", "body")), "url").select("domain", "url", "siren", "siret", "emails")
-    else:
-        f3 = f2.limit(0)
-    found = f1.unionByName(f2).unionByName(f3)
-    sets = union_per_domain(found)
-    return ResultB(report=report_b(domains, sets, keep_partial=keep_partial), sets=sets)
+    f2 = cut_lineage(_read(t2, store))
+    found = f1.unionByName(f2)
+    # stage 3: the rendered homepage
+    if store.rendered is not None:
+        homes = rest.join(_served(f2), "domain", "left_anti").select("domain", F.col("base_url").alias("url"))
+        f3 = homes.join(extract_pages_b(store.fetch_rendered(homes)), "url")
+        found = found.unionByName(f3.select(found.columns))
+    ids = cut_lineage(identifiers(found))
+    return ResultB(report=report_b(domains, ids, keep_partial=keep_partial), ids=ids)

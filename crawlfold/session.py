@@ -53,15 +53,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 _WRITTEN: dict[str, list[str]] = {}
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as Parquet below the shared checkpoint folder and return
+def cut_lineage(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """Write ``df`` once (into folders by ``partition_by``) as Parquet below the shared checkpoint folder and return
     a scan of it. Unlike a checkpointed RDD the written table has a known size,
     so Spark can broadcast a small one and never takes a frontier for huge."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    return out.select(df.columns) if partition_by else out
 
 
 def drop_written(spark: SparkSession) -> int:

@@ -21,7 +21,16 @@ robots or sitemap files, so a site snapshot is derived from them:
   lengths, else at the default ``/sitemap.xml``) over url sets of at most
   ``SITEMAP_CHUNK`` URLs (``&`` written ``&amp;``, locs sorted; the legal
   page is listed in chunk 0);
-* ``domains``   the hosts plus ``missing.example.net`` (no snapshot row).
+* ``domains``   the hosts plus ``missing.example.net`` (no snapshot row);
+* static_b, rendered   the same pages as a fetch without and with a browser
+  sees them: of hosts whose name length is a multiple of 5 (dark ones) the
+  static homepage is an empty shell, all other pages are missing, and the
+  rendered snapshot has the homepage; elsewhere pages of an id that is 5 modulo 11
+  are missing in the static and present in the rendered snapshot;
+* redirects     ``https://www.<host>`` leads to the site in one hop (name length
+  modulo 4 is 1) or two over ``http://www.<host>`` (2); for 3 the two lead to
+  each other;
+* failing       domains whose name length modulo 9 is 1 fail while they are read.
 """
 
 from __future__ import annotations
@@ -33,6 +42,7 @@ from crawlfold.functions.keywords import SITEMAP_NS
 from crawlfold.functions.urls import netloc, scheme
 from crawlfold.operators.ranking import rank_within
 from crawlfold.session import cut_lineage
+from crawlfold.sources.store import PageStore, url_index
 from crawlfold.sources.tables import read_table
 
 _MEMO: dict[tuple[str, str], dict[str, DataFrame]] = {}
@@ -45,6 +55,8 @@ ANCHOR_TEXTS = ["Suivant", "Contact", "Plan du site", "Mentions légales"]
 LEGAL_PATH = "/mentions-legales"
 MISSING_DOMAIN = "missing.example.net"
 KEYWORDS_META = '<meta name="keywords" content="siret &amp; siren">'
+SHELL = '<html><body><div id="app"></div><script src="/app.js"></script></body></html>'
+FAILURE = "Connection reset by peer"
 MARKED_PARAGRAPH = '<p id="contact" class="mentions">'
 XML_HEAD = '<?xml version="1.0" encoding="UTF-8"?>'
 
@@ -186,9 +198,21 @@ def robots(site_df: DataFrame) -> DataFrame:
     return site_df.select(F.concat(F.col("site"), F.lit("/robots.txt")).alias("url"), body.alias("body"))
 
 
+def redirects(site_df: DataFrame) -> DataFrame:
+    """``(url, location)`` of the derived redirects."""
+    n = F.length("host") % 4
+    first, second = F.concat(F.lit("https://www."), "host"), F.concat(F.lit("http://www."), "host")
+    hop = lambda url, to: F.struct(url.alias("url"), to.alias("location"))
+    site = F.col("site")
+    hops = (F.when(n == 1, F.array(hop(first, site))).when(n == 2, F.array(hop(first, second), hop(second, site)))
+            .when(n == 3, F.array(hop(first, second), hop(second, first))))
+    return site_df.select(F.explode(hops).alias("r")).select("r.*")
+
+
 def site_snapshot(spark: SparkSession, sf_dir: str, materialize: bool = True) -> dict[str, DataFrame]:
-    """All derived site tables: ``snapshot`` (url, body), ``links``,
-    ``sites``, ``domains``, ``ranked``, ``bodies``.
+    """All derived site tables: ``snapshot`` (url, body, kind), ``links``,
+    ``sites``, ``domains``, ``failing``, ``redirects``, ``ranked``, ``bodies``, and
+    the page stores ``store`` and ``store_b`` with their url indexes.
 
     With ``materialize`` (default) the tables are written once per session
     and input folder as reliable checkpoints (the shared checkpoint folder)
@@ -205,28 +229,37 @@ def site_snapshot(spark: SparkSession, sf_dir: str, materialize: bool = True) ->
     width = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     bodies = keep(_page_bodies(spark, sf_dir, ranked, link_df).repartition(width))
     homepages = bodies.filter(F.col("rank") == 0).join(site_df.select("host", "site"), "host").select(
-        F.col("site").alias("url"), "body")
+        "host", F.col("site").alias("url"), "body")
     supplier = read_table(spark, sf_dir, "supplier")
     n_sup = supplier.agg(F.count(F.lit(1)).alias("n_sup"))
     legal_pages = (
         site_df.crossJoin(F.broadcast(n_sup))
         .withColumn("s_suppkey", (F.length("host") * 7) % F.col("n_sup"))
         .join(id_text(supplier), "s_suppkey")
-        .select(F.concat("site", F.lit(LEGAL_PATH)).alias("url"),
+        .select("host", F.concat("site", F.lit(LEGAL_PATH)).alias("url"),
                 F.concat(F.lit("<html><body><h1>Mentions légales</h1><p>"), F.col("text"),
                          F.lit("</p></body></html>")).alias("body"))
     )
-    snapshot = (
-        bodies.select("url", "body")
-        .unionByName(homepages)
-        .unionByName(legal_pages)
-        .unionByName(robots(site_df))
-        .unionByName(_sitemap_files(ranked, site_df))
-    )
+    page, no = F.lit("page").alias("kind"), F.lit(False)
+    pages = (bodies.select("host", "url", "body", (F.col("page_id") % 11 == 5).alias("script"), no.alias("home"))
+             .unionByName(homepages.select("host", "url", "body", no.alias("script"), F.lit(True).alias("home")))
+             .unionByName(legal_pages.select("host", "url", "body", no.alias("script"), no.alias("home"))))
+    files = robots(site_df).withColumn("kind", F.lit("robots")).unionByName(
+        _sitemap_files(ranked, site_df).withColumn("kind", F.lit("sitemap")))
+    dark = F.length("host") % 5 == 0
+    seen = F.when(dark & F.col("home"), F.lit(SHELL)).when(dark | F.col("script"), F.lit("")).otherwise(F.col("body"))
+    by_kind = (lambda df: cut_lineage(df, ("kind",))) if materialize else (lambda df: df)
+    snapshot = by_kind(pages.select("url", "body", page).unionByName(files))
+    static_b = by_kind(pages.select("url", seen.alias("body"), page).unionByName(files))
+    rendered = keep(pages.filter((F.col("script") & ~dark) | (dark & F.col("home"))).select("url", "body"))
     domains = site_df.select(F.col("host").alias("domain")).unionByName(
         spark.range(1).select(F.lit(MISSING_DOMAIN).alias("domain")))
-    out = {"snapshot": keep(snapshot), "links": link_df, "sites": site_df, "domains": keep(domains),
-           "ranked": ranked, "bodies": bodies}
+    domains = keep(domains)
+    failing = domains.withColumn("error", F.when(F.length("domain") % 9 == 1, F.lit(FAILURE)))
+    out = {"snapshot": snapshot, "links": link_df, "sites": site_df, "domains": domains, "ranked": ranked, "bodies": bodies,
+           "failing": failing, "redirects": keep(redirects(site_df)),
+           "store": PageStore(snapshot, None, keep(url_index(snapshot))),
+           "store_b": PageStore(static_b, rendered, keep(url_index(static_b, rendered)))}
     if materialize:
         _MEMO[key] = out
     return out
