@@ -153,6 +153,7 @@ def crawl_site(seeds: DataFrame, scoped: Links, max_depth: int = K.SITE_CRAWL_MA
             processed.join(q.groupBy("site").agg(F.count(F.lit(1)).alias("_c")), "site", "left")
             .select("site", (F.col("n_done") + F.coalesce("_c", F.lit(0))).alias("n_done")))
         links = _links(scoped, q).select("url", "pos", "href", "text", "in_footer_b", "is_frame")
+        links = links.filter(~F.col("is_frame") | (F.col("href") != ""))  # a frame without a source leads nowhere
         e = q.join(links, "url").withColumn("link", url_join(F.col("base"), F.col("href")))
         e = cut_lineage(e.filter(http_only(F.col("link"))).drop("href"))  # read twice: results and next frontier
         footer = e.filter(F.col("in_footer_b") & ~F.col("is_frame"))

@@ -14,7 +14,9 @@ from pyspark.sql import types as T
 
 from crawlfold.functions.urls import strip_ws
 
-DOMAIN_SCHEMA = T.StructType([T.StructField("domain", T.StringType(), True)])
+# cells are kept as they stand: quotes doubled, blanks not trimmed
+CSV_CELLS = {"header": True, "encoding": "UTF-8", "quote": '"', "escape": '"',
+             "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 SNAPSHOT_SCHEMA = T.StructType([
     T.StructField("url", T.StringType(), False),
     T.StructField("body", T.StringType(), True),
@@ -30,9 +32,27 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def with_input_order(df: DataFrame, col: str = "input_pos") -> DataFrame:
-    """Attach a monotone position (file order) to rows of a list input."""
-    return df.withColumn(col, F.monotonically_increasing_id())
+def read_ordered_csv(spark: SparkSession, path: str, col: str = "input_pos") -> DataFrame:
+    """Rows of the CSV files at ``path`` (columns by the header's names, cells as
+    they stand, blank lines skipped) with their position from 0: by file name, then
+    by place in the file. A file's blocks may be read by any task: rows are
+    numbered by (file, block, place in the block), which no packing of blocks
+    into tasks changes."""
+    from crawlfold.operators.ranking import global_index
+
+    raw = spark.read.options(**CSV_CELLS).csv(path)
+    placed = raw.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                        F.monotonically_increasing_id().alias("_row"))
+    out = global_index(placed, ["_file", "_block", "_row"])
+    return out.select(*raw.columns, F.col("_gidx").cast("bigint").alias(col))
+
+
+def write_ordered_csv(df: DataFrame, path: str, col: str = "input_pos", files: int | None = None) -> None:
+    """Write rows as CSV files whose names and lines follow ``col`` (which is not
+    written): a range partitioning, so no task holds them all."""
+    n = files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = df.repartitionByRange(n, col).sortWithinPartitions(col).drop(col)
+    ordered.write.options(**CSV_CELLS).csv(path)
 
 
 def domains_a(df: DataFrame, col: str = "domain") -> DataFrame:
@@ -49,17 +69,12 @@ def domains_b(df: DataFrame, col: str = "domain") -> DataFrame:
 
 
 def read_domain_csv(spark: SparkSession, path: str, mode: str = "a") -> DataFrame:
-    """CSV with a ``domain`` header column (explicit schema, no inference)."""
-    raw = spark.read.schema(DOMAIN_SCHEMA).option("header", True).option("encoding", "UTF-8").csv(path)
-    raw = with_input_order(raw)
+    """``(input_pos, domain)`` of CSV files with a ``domain`` column, in input order
+    (``input_pos`` counts all rows, also those that the mode drops)."""
+    raw = read_ordered_csv(spark, path).select("input_pos", "domain")
     return domains_a(raw) if mode == "a" else domains_b(raw)
 
 
-def snapshot_from_pages(pages: DataFrame) -> DataFrame:
-    """The driver ``pages`` table seen as a snapshot."""
-    return pages.select("url", F.col("html").alias("body"))
-
-
 def fetched(snapshot: DataFrame) -> DataFrame:
     """Rows that count as a successful fetch (non-empty body)."""
     return snapshot.filter(F.col("body").isNotNull() & (F.col("body") != ""))
