@@ -72,14 +72,13 @@ def crawl_bfs(seeds: DataFrame, links: Links, footer: DataFrame | None = None,
     seeds = seeds.select("site", "base")
     if footer is None:
         footer = seeds.limit(0).select("site", F.lit("").alias("link"), F.lit("").alias("text"), F.lit(0).alias("pos"))
-    fl = footer.select(
+    fl = cut_lineage(footer.select(
         "site", F.col("link").alias("url"), score_max(F.col("link"), _label(footer)).alias("score"),
-        F.lit(0).alias("depth"), "pos")
+        F.lit(0).alias("depth"), "pos"))
     w_f = Window.partitionBy("site").orderBy(F.col("score").desc(), "pos")
     found = fl.withColumn("ord", F.array(F.lit(0), (F.row_number().over(w_f)).cast("bigint"))).drop("pos")
 
     visited = fl.select("site", "url").unionByName(seeds.select("site", F.col("base").alias("url"))).distinct()
-    visited = cut_lineage(visited)
     counts = visited.groupBy("site").agg(F.count(F.lit(1)).alias("n_visited"))
     frontier = seeds.select("site", "base", F.col("base").alias("url"), F.lit(0).cast("bigint").alias("rank"))
     found_parts = [found]
@@ -95,14 +94,12 @@ def crawl_bfs(seeds: DataFrame, links: Links, footer: DataFrame | None = None,
         e = e.join(visited.withColumnRenamed("url", "abs"), ["site", "abs"], "left_anti")
         w_first = Window.partitionBy("site", "abs").orderBy("parent_rank", "pos")
         e = e.withColumn("_k", F.row_number().over(w_first)).filter("_k = 1").drop("_k")
-        per_parent = e.groupBy("site", "parent_rank").agg(F.count(F.lit(1)).alias("_new"))
-        w_run = Window.partitionBy("site").orderBy("parent_rank").rowsBetween(Window.unboundedPreceding, -1)
-        per_parent = per_parent.withColumn("_before", F.coalesce(F.sum("_new").over(w_run), F.lit(0)))
-        per_parent = per_parent.join(counts, "site", "left").filter(
-            F.coalesce("n_visited", F.lit(0)) + F.col("_before") < cap).select("site", "parent_rank")
-        # one materialisation per level; visited set and counts are unions of
-        # checkpointed levels, so their lineage stays short
-        kept = cut_lineage(e.join(per_parent, ["site", "parent_rank"]))
+        w_run = Window.partitionBy("site").orderBy("parent_rank").rangeBetween(Window.unboundedPreceding, -1)
+        e = e.withColumn("_before", F.count(F.lit(1)).over(w_run)).join(counts, "site", "left").filter(
+            F.coalesce("n_visited", F.lit(0)) + F.col("_before") < cap).drop("_before", "n_visited")
+        # one table per level; visited set, counts and the next frontier are read
+        # from these, so their lineage stays short
+        kept = cut_lineage(e)
         visited = visited.unionByName(kept.select("site", F.col("abs").alias("url")))
         counts = visited.groupBy("site").agg(F.count(F.lit(1)).alias("n_visited"))
         scored = kept.withColumn("score", score_max(F.col("abs"), F.col("label"))).filter(F.col("score") > 0)
@@ -113,7 +110,7 @@ def crawl_bfs(seeds: DataFrame, links: Links, footer: DataFrame | None = None,
                          ["parent_rank", "pos"])
         if depth + 1 == max_depth or kept.isEmpty():
             break
-        frontier = cut_lineage(nxt.select("site", "base", "url", "rank"))
+        frontier = nxt.select("site", "base", "url", "rank")
     allf = found_parts[0]
     for p in found_parts[1:]:
         allf = allf.unionByName(p)

@@ -131,10 +131,10 @@ def expand_sitemaps(starts: DataFrame, pages: PageStore | DataFrame, mode: str =
             own = own.unionByName(_placed(doc.filter("NOT p.xml"), F.col("loose"), "url", 0))
             kids = _placed(good, F.col("p.children"), "sm_url", 1).withColumn("sm_url", F.trim("sm_url"))
         pieces.append(own)
+        if doc.filter("size(p.children) > 0").isEmpty():
+            break
         new = kids.join(visited, ["domain", "sm_url"], "left_anti")
         frontier = cut_lineage(new.groupBy("domain", "sm_url").agg(F.min("ord").alias("ord")))
-        if frontier.isEmpty():
-            break
         visited = visited.unionByName(frontier.select("domain", "sm_url"))
     out = pieces[0]
     for p in pieces[1:]:

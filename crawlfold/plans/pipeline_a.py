@@ -76,7 +76,7 @@ def pipeline_a(domains: DataFrame, snapshot: Pages, links: DataFrame | None = No
     """The whole of pipeline A over ``domains(domain[, input_pos, error])``."""
     bases = cut_lineage(base_urls(domains, snapshot))
     urls, _ = source_urls(bases, snapshot, links, crawl_links=crawl_links and not compat)
-    gated = candidates_gate(urls)
+    gated = cut_lineage(candidates_gate(urls))  # read for the candidates, the domains without any, and the legal pages
     cands = gated.select("domain", "url").distinct()
     targets = cut_lineage(homepage_fallback(bases, cands))
     pages = page_lookup(targets, snapshot)
