@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlfold.llm.staging import stage
+from crawlfold.llm.staging import free, stage
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -38,7 +38,8 @@ def components(links: DataFrame) -> DataFrame:
     now = stage(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     before, after = None, content(now)
     while before != after:
-        now = stage(_star(_star(now, large=True), large=False), "links")
+        past, now = now, stage(_star(_star(now, large=True), large=False), "links")
+        free(past)
         before, after = after, content(now)
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

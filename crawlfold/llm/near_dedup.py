@@ -7,15 +7,21 @@ of the second collection. 2 * KEYS * ROWS minhashes so do the work of
 (1 - (1 - s**ROWS)**KEYS)**2, which is 0.999 at 0.75 and 0.9999 at 0.8.
 
 Texts of equal shingle sets are one node first. A table key that only one node
-has is never formed: a pair key needs both its halves to be shared. In a table
-a node is first verified against one pivot, the node that meets most others (the
-original of a family of copies, as a rule); only nodes that are not yet connected
-are compared further, at last in all pairs of the table that exact bounds leave
-open: sizes, the triangle inequality of the Jaccard distance over a common
-pivot, and shingles that no node of another component has, which can be in no
-intersection that matters. By the last bound members of a large family that are too far
-apart leave their tables one by one, not pair by pair. Every link is confirmed
-on the full shingle sets, nothing is capped, and no bucket is collected.
+has is never formed: a pair key needs both its halves to be shared. Entries of
+the tables are two numbers, the slot and the node. Then
+
+1. every node is verified against one pivot, the node of its slots that meets
+   most others (the original of a family of copies, as a rule), and the links
+   give components;
+2. slots that still hold several components are open. Of two components in a
+   slot one at least is not the slot's largest, so the nodes outside their slot's
+   largest component are compared with all others of the slot. They meet in
+   blocks of bounded size: a block's sets travel once for each block that it
+   shares an open slot with, not once for each pair, and a pair of blocks returns
+   links only, one for each node and component at most.
+
+Every link is confirmed on the full shingle sets, nothing is capped, and no slot
+is collected: a slot of very many nodes is many pairs of blocks.
 """
 
 from __future__ import annotations
@@ -29,7 +35,7 @@ from pyspark.sql import functions as F
 
 from crawlfold.llm import bytetext
 from crawlfold.llm.components import components
-from crawlfold.llm.staging import stage
+from crawlfold.llm.staging import free, stage, unused
 from crawlfold.session import ship_package
 
 WIDTH = 5  # words of a shingle
@@ -78,80 +84,120 @@ def _full_sets(width):
     def run(batches):
         for batch in batches:
             sets = [s.view(np.int64) for s in _sets(batch.column("_text"), width)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column("nid"), pa.array(sets, pa.list_(pa.int64()))], names=["nid", "items"])
     return run
 
 
-def _tables(nodes: DataFrame) -> DataFrame:
-    """``(slot, i, j, node, n, pivot, met)`` of every table entry that two nodes at
-    least share, by halves: a node forms pair keys only of halves that others
-    have too. The pivot is the slot's node that meets most others in all."""
-    halves = nodes.select("node", "n", F.posexplode("keys").alias("i", "k"))
-    shared = stage(halves.groupBy("k").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("k"), "shared-halves")
-    alive = stage(halves.join(shared, "k", "left_semi"), "halves")
-    first, second = alive.filter(F.col("i") < KEYS), alive.filter(F.col("i") >= KEYS).select("node", F.col("i").alias("j"), F.col("k").alias("k2"))
-    slots = first.join(second, "node").select(F.xxhash64("k", "k2").alias("slot"), "i", "j", "node", "n")
-    slots = stage(slots, "slots")
-    common = slots.groupBy("slot").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    shared = stage(slots.join(stage(common, "shared-slots"), "slot"), "shared")
-    # how many others a node meets, table by table
-    met = stage(shared.groupBy("node").agg(F.sum(F.col("c") - 1).alias("met")), "met")
-    best = shared.join(met, "node").groupBy("slot").agg(F.max(F.struct("met", "node")).alias("top"))
-    return stage(shared.join(stage(best.select("slot", "top.met", F.col("top.node").alias("pivot")), "pivots"), "slot"), "tables")
-
-
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``(x, y, inner, outer)`` of distinct pairs: sizes of the intersection
-    and the union of the full sets."""
-    a = sets.select(F.col("node").alias("x"), F.col("items").alias("_a"))
-    b = sets.select(F.col("node").alias("y"), F.col("items").alias("_b"))
-    both = pairs.select("x", "y").distinct().join(a, "x").join(b, "y")
-    inner = F.size(F.array_intersect("_a", "_b")).cast("bigint")
-    return both.select("x", "y", inner.alias("inner"), (F.size("_a") + F.size("_b")).cast("bigint").alias("_sum")).select(
-        "x", "y", "inner", (F.col("_sum") - F.col("inner")).alias("outer"))
-
-
-def _bounded(tables: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """Open tables with ``cap``, the shingles a node shares with open nodes of
-    other components, without the entries that this bound rules out: with a
-    slot's smallest size m, x can reach at most cap / (n + max(m, cap) - cap)."""
-    own = tables.select("node", F.xxhash64("node").alias("nid"), F.xxhash64("root").alias("rid")).distinct()
-    items = sets.join(own, "node").select("nid", "rid", F.explode("items").alias("item"))
-    inside = items.groupBy("item").agg(F.min("rid").alias("a"), F.max("rid").alias("b")).filter("a = b").select("item")
-    inside = stage(inside, "inside")  # of one component only: a table of its own, so hot items can be split
-    alone = stage(items.join(inside, "item", "left_semi").groupBy("nid").agg(F.count(F.lit(1)).alias("alone")), "alone")
-    capped = tables.drop("cap").withColumn("nid", F.xxhash64("node")).join(alone, "nid", "left").drop("nid")
-    capped = stage(capped.withColumn("cap", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone"), "capped")
-    least = stage(capped.groupBy("slot").agg(F.min("n").alias("m")), "least")
-    kept = capped.join(least, "slot").filter(
-        100 * F.col("cap") >= similarity * (F.col("n") + F.greatest("m", "cap") - F.col("cap"))).drop("m")
-    open_slots = kept.groupBy("slot").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a <> _b").select("slot")
-    return stage(kept.join(stage(open_slots, "open"), "slot", "left_semi"), "tables")
-
-
-def _within(n_x, n_y, cap_x, cap_y, similarity: int):
-    """Whether two nodes of these sizes and caps can be similar enough."""
-    inner = F.least(cap_x, cap_y)
-    return 100 * inner >= similarity * (n_x + n_y - inner)
-
-
-def _first_common(a: str, b: str):
-    """Whether a slot is the first that two nodes share, so that a pair of nodes
-    comes from one slot only: by the first common key of each collection (equal
-    keys have equal places)."""
-    return ((F.get(F.array_intersect(f"{a}.firsts", f"{b}.firsts"), 0) == F.col(f"{a}.first"))
-            & (F.get(F.array_intersect(f"{a}.seconds", f"{b}.seconds"), 0) == F.col(f"{a}.second")))
-
-
-def _linked(checked: DataFrame, similarity: int) -> DataFrame:
-    return checked.filter(100 * F.col("inner") >= similarity * F.col("outer")).select(F.col("x").alias("u"), F.col("y").alias("v"))
-
-
-def _with_roots(tables: DataFrame, roots: DataFrame) -> DataFrame:
-    """Tables with each node's root, and only slots that still hold two."""
-    named = tables.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_slots = named.groupBy("slot").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a <> _b").select("slot")
-    return stage(named.join(stage(open_slots, "open"), "slot", "left_semi"), "tables")
+def _entries(nodes: DataFrame) -> DataFrame:
+    """``(slot, nid)`` of every table entry that two nodes at least share, by
+    halves: a node forms pair keys only of halves that others have too."""
+    halves = nodes.select("nid", F.posexplode("keys").alias("i", "k"))
+    common = stage(halves.groupBy("k").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("k"), "shared-halves")
+    alive = halves.join(common, "k", "left_semi").select("nid", (F.col("i") < KEYS).alias("first"), "k").repartition("nid")
+    alive = alive.groupBy("nid").agg(F.collect_list(F.when(F.col("first"), F.col("k"))).alias("a"),
+                                     F.collect_list(F.when(~F.col("first"), F.col("k"))).alias("b"))
+    pairs = alive.select("nid", F.explode("a").alias("k"), "b").select("nid", "k", F.explode("b").alias("k2"))
+    formed = stage(pairs.select(F.xxhash64("k", "k2").alias("slot"), "nid"), "slots")
+    free(common)
+    common = stage(formed.groupBy("slot").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "shared-slots")
+    entries = stage(formed.join(common, "slot"), "entries")
+    free(formed, common)
+    return entries
+
+
+def _pivots(entries: DataFrame) -> DataFrame:
+    """``(x, y)``: each node with the other node of its slots that meets most."""
+    met = stage(entries.groupBy("nid").agg(F.sum(F.col("c") - 1).alias("met")), "met")  # how many others, table by table
+    ranked = entries.join(met, "nid").groupBy("slot").agg(F.max(F.struct("met", "nid")).alias("top"))
+    best = entries.join(ranked, "slot").filter("nid <> top.nid").groupBy("nid").agg(F.max("top").alias("top"))
+    out = stage(best.select(F.col("nid").alias("x"), F.col("top.nid").alias("y")), "pivots")
+    free(met)
+    return out
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """``(u, v)`` of the pairs that are linked, on their full sets."""
+    a = sets.select(F.col("nid").alias("x"), F.col("items").alias("_a"))
+    b = sets.select(F.col("nid").alias("y"), F.col("items").alias("_b"))
+    both = pairs.join(a, "x").join(b, "y")
+    inner = F.size(F.array_intersect("_a", "_b"))
+    both = both.select("x", "y", inner.alias("inner"), (F.size("_a") + F.size("_b")).alias("total"))
+    return both.filter(100 * F.col("inner") >= similarity * (F.col("total") - F.col("inner"))).select(
+        F.col("x").alias("u"), F.col("y").alias("v"))
+
+
+BLOCK, BLOCK_ITEMS = 256, 1 << 20  # nodes and shingles of a block
+
+
+def _blocks(entries: DataFrame, roots: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Open slots by blocks: ``(nid, root, outside, block)`` of their nodes
+    (``outside``: of another component than the slot's largest, somewhere), and
+    ``(left, right)``, the blocks of which the left has outside nodes in a slot
+    that both have nodes in."""
+    named = entries.join(roots, "nid", "left").select("slot", "nid", F.coalesce("root", "nid").alias("root"))
+    sizes = named.groupBy("slot", "root").agg(F.count(F.lit(1)).alias("c"))
+    largest = sizes.groupBy("slot").agg(F.max(F.struct("c", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+    found = stage(named.join(largest.select("slot", F.col("top.root").alias("main")), "slot"), "open")
+    # nodes around the same component share a block, outside ones apart from others
+    per = found.groupBy("nid", "root").agg(F.min("main").alias("main"), F.max(F.col("root") != F.col("main")).alias("outside"))
+    per = per.join(nodes.select("nid", "n"), "nid")
+    around = F.when(F.col("outside"), F.col("main")).otherwise(F.col("root"))
+    count = per.count()
+    per = per.select("nid", "root", "outside", "n", F.pmod(F.xxhash64(around), F.lit(max(1, count // BLOCK))).alias("bucket"))
+    sizes = per.groupBy("bucket", "outside").agg(
+        F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_ITEMS)).alias("cut"))
+    cut = per.join(sizes, ["bucket", "outside"])
+    block = F.xxhash64("bucket", "outside", F.pmod(F.xxhash64("nid"), F.col("cut")))
+    placed = stage(cut.select("nid", "root", "outside", block.alias("block")), "blocks")
+    there = found.select("slot", "nid", "root", "main").join(placed.select("nid", "block"), "nid").groupBy("slot", "block").agg(
+        F.max(F.col("root") != F.col("main")).alias("outside"))
+    there = stage(there, "slot-blocks")
+    left = there.filter("outside").select("slot", F.col("block").alias("left"))
+    pairs = stage(left.join(there.select("slot", F.col("block").alias("right")), "slot").select("left", "right").distinct(), "block-pairs")
+    free(found, there)
+    return placed, pairs
+
+
+def _compare(similarity: int):
+    def keys(table: pa.Table) -> np.ndarray:
+        return np.array(table.column("keys").combine_chunks().flatten()).reshape(table.num_rows, 2 * KEYS)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out_u, out_v = [], []
+        if left.num_rows and right.num_rows:
+            ids, roots, items = right.column("nid").to_numpy(), right.column("root").to_numpy(), right.column("items").combine_chunks()
+            flat, sizes = np.array(items.flatten()), np.array(items.value_lengths()).astype(np.int64)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            right_keys = keys(right)
+            for i, (x, root, own, own_keys) in enumerate(zip(left.column("nid").to_numpy(), left.column("root").to_numpy(),
+                                                             left.column("items").combine_chunks(), keys(left))):
+                own = np.array(own.values)
+                small, large = np.minimum(sizes, len(own)), np.maximum(sizes, len(own))
+                equal = right_keys == own_keys
+                may = (roots != root) & (100 * small >= similarity * large) & equal[:, :KEYS].any(axis=1) & equal[:, KEYS:].any(axis=1)
+                if not may.any():
+                    continue
+                a, b = np.searchsorted(flat, own), np.searchsorted(flat, own, side="right")
+                hits = np.repeat(a - np.concatenate([[0], np.cumsum(b - a)[:-1]]), b - a) + np.arange((b - a).sum())
+                inner = np.bincount(owner[hits], minlength=len(sizes))
+                linked = np.flatnonzero(may & (100 * inner >= similarity * (sizes + len(own) - inner)))
+                for k in np.unique(roots[linked], return_index=True)[1].tolist():  # one link to a component is enough
+                    out_u.append(x)
+                    out_v.append(ids[linked[k]])
+        return pa.table({"u": pa.array(out_u, pa.int64()), "v": pa.array(out_v, pa.int64())})
+    return run
+
+
+def _block_links(placed: DataFrame, pairs: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """``(u, v)``: links between components, of the outside nodes of each left
+    block with the nodes of its right blocks."""
+    full = placed.join(nodes.select("nid", "keys"), "nid").join(sets, "nid")
+    left = pairs.join(full.filter("outside"), pairs["left"] == full["block"]).select("left", "right", "nid", "root", "keys", "items")
+    to = pairs.select(F.col("left").alias("l"), F.col("right").alias("r"))
+    right = to.join(full, to["r"] == full["block"]).select("l", "r", *[F.col(c).alias(c) for c in ("nid", "root", "keys", "items")])
+    return left.groupBy("left", "right").cogroup(right.groupBy("l", "r")).applyInArrow(_compare(similarity), "u bigint, v bigint")
 
 
 def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
@@ -170,64 +216,29 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.xxhash64(text).alias("_key"), text.alias("_text"))
     signed = stage(rows.mapInArrow(_sign(width), "_id bigint, _key bigint, n bigint, node binary, keys array<bigint>"), "signatures")
 
-    with_words = signed.filter("n > 0")
-    nodes = with_words.groupBy("node").agg(F.min("_id").alias("least"), F.min(F.struct("_id", "_key")).alias("at"))
-    nodes = stage(nodes, "nodes")
-    keyed = with_words.select("node", "n", "keys").dropDuplicates(["node"])
-    tables = _tables(keyed)
-
+    nodes = signed.filter("n > 0").groupBy("node").agg(
+        F.min("_id").alias("least"), F.min(F.struct("_id", "_key")).alias("at"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    nodes = stage(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
+    entries = _entries(nodes)
     # full sets of the nodes in any shared slot, each from one of its rows
-    wanted = nodes.join(tables.select("node").distinct(), "node", "left_semi").select("node", "at._id", "at._key")
-    texts = rows.join(wanted.dropDuplicates(["node"]), rows["_id"].eqNullSafe(wanted["_id"]) & (rows["_key"] == wanted["_key"]))
-    sets = stage(texts.select("node", "_text").mapInArrow(_full_sets(width), "node binary, items array<bigint>")
-                 .dropDuplicates(["node"]), "sets")
-
-    # 1. every node against the pivot of its slots that meets most others
-    star = tables.filter("node <> pivot").groupBy("node").agg(F.max(F.struct("met", "pivot")).alias("top"))
-    checked = stage(_verify(star.select(F.col("node").alias("x"), F.col("top.pivot").alias("y")), sets), "checked")
-    links = _linked(checked, similarity)
-    roots = stage(components(links), "roots")
-    # 2. where a slot holds several components: every node against the slot's pivot
-    tables = _bounded(_with_roots(tables, roots), sets, similarity)
-    pivots = tables.filter("node = pivot").select("slot", F.col("n").alias("pn"), F.col("cap").alias("pcap"))
-    more = tables.filter("node <> pivot").join(pivots, "slot").filter(_within(F.col("n"), F.col("pn"), F.col("cap"), F.col("pcap"), similarity))
-    more = more.select(F.col("node").alias("x"), F.col("pivot").alias("y")).distinct()
-    more = stage(_verify(more.join(checked, ["x", "y"], "left_anti"), sets), "checked")
-    checked = checked.unionByName(more)
-    new = _linked(more, similarity)
-    if not new.isEmpty():
-        links = links.unionByName(new)
-        roots = stage(components(links), "roots")
-    # 3. the rest: all pairs of a slot in different components that exact bounds allow
-    tables = _bounded(_with_roots(tables.drop("root"), roots), sets, similarity)
-    to_pivot = checked.select(F.col("x").alias("node"), F.col("y").alias("pivot"), (F.col("inner") / F.col("outer")).alias("sim"))
-    placed = tables.join(to_pivot, ["node", "pivot"], "left").withColumn(
-        "sim", F.when(F.col("node") == F.col("pivot"), F.lit(1.0)).otherwise(F.col("sim")))
-    # of two components in a slot one at least is not the slot's largest, so only
-    # the others' nodes look for partners
-    sizes = tables.groupBy("slot", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("slot").agg(F.max(F.struct("c", "root")).alias("top"))
-    placed = placed.join(stage(sizes.select("slot", F.col("top.root").alias("main")), "largest"), "slot")
-    placed = placed.join(keyed.select("node", "keys"), "node").select(
-        "slot", (F.col("root") == F.col("main")).alias("in_main"), "node", "n", "cap", "root", "sim", F.slice("keys", 1, KEYS).alias("firsts"), F.slice("keys", KEYS + 1, KEYS).alias("seconds"),
-        F.get("keys", F.col("i")).alias("first"), F.get("keys", F.col("j")).alias("second"))
-    placed = stage(placed, "placed")
-    a, b = placed.filter("NOT in_main").alias("a"), placed.alias("b")
-    least = similarity / 100
-    open_pairs = a.join(b, (F.col("a.slot") == F.col("b.slot")) & (F.col("a.root") != F.col("b.root"))
-                        & (F.col("b.in_main") | (F.col("a.node") < F.col("b.node")))
-                        & _within(F.col("a.n"), F.col("b.n"), F.col("a.cap"), F.col("b.cap"), similarity)
-                        & (F.coalesce(F.abs(F.col("a.sim") - F.col("b.sim")), F.lit(0.0)) <= 1 - least + 1e-9)
-                        & _first_common("a", "b"))
-    open_pairs = open_pairs.select(F.least("a.node", "b.node").alias("x"), F.greatest("a.node", "b.node").alias("y")).distinct()
-    known = checked.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    last = stage(_verify(open_pairs.join(known, ["x", "y"], "left_anti"), sets), "checked")
-    new = _linked(last, similarity)
-    if not new.isEmpty():
-        roots = stage(components(links.unionByName(new)), "roots")
-
-    named = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    wanted = nodes.join(entries.select("nid").distinct(), "nid", "left_semi").select("nid", "at._id", "at._key")
+    texts = rows.join(wanted, rows["_id"].eqNullSafe(wanted["_id"]) & (rows["_key"] == wanted["_key"]))
+    sets = texts.select("nid", "_text").mapInArrow(_full_sets(width), "nid bigint, items array<bigint>")
+    sets = stage(sets.dropDuplicates(["nid"]), "sets")  # a row that repeats id and text is there twice
+
+    star = _pivots(entries)
+    links = stage(_verified(star, sets, similarity), "star-links")
+    roots = stage(components(links), "roots").withColumnRenamed("node", "nid")
+    placed, pairs = _blocks(entries, roots, nodes)
+    more = stage(_block_links(placed, pairs, nodes, sets, similarity), "block-links")
+    if not more.isEmpty():
+        roots = stage(components(links.unionByName(more)), "roots").withColumnRenamed("node", "nid")
+    free(entries, sets, star, placed, pairs)
+
+    named = nodes.join(roots, "nid", "left").select("node", "least", F.coalesce("root", "nid").alias("root"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
     final = stage(named.join(smallest, "root").select("node", "component_id"), "components")
+    free(nodes)
     out = signed.select("_id", "_key", "n", "node").join(final, "node", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id"))
     return out.select(F.col("_id").alias(id_col), "_key", F.col("n").alias("n_shingles"), component.alias("component_id"),
@@ -235,11 +246,12 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` that their component keeps, with all columns. Rows that
-    repeat both id and text stand or fall together."""
-    kept = assign(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_kept_id"), F.col("_key").alias("_kept_key")).distinct()
+    """Rows of ``docs`` that their component keeps, with all columns, whatever
+    their names. Rows that repeat both id and text stand or fall together."""
+    own_id, own_key = unused(docs, "kept_id"), unused(docs, "kept_key")
+    kept = assign(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias(own_id), F.col("_key").alias(own_key)).distinct()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.xxhash64(text) == F.col("_kept_key")), "left_semi")
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col(own_id)) & (F.xxhash64(text) == F.col(own_key)), "left_semi")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,6 +36,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def free(*tables: DataFrame) -> None:
     """Delete staged tables that no DataFrame will read again."""
     for table in tables:
