@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from crawlfold.llm.staging import stage
+from crawlfold.llm.staging import free, stage
 
 SAMPLES = 32
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -79,6 +79,7 @@ def successors(rows: DataFrame, order: list[Column], columns: list[str]) -> Data
     after = dealt.withColumn("_next", F.lead(here).over(Window.partitionBy("_part").orderBy(*order)))
     after = after.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     after = stage(after, "followed")
+    free(dealt)
     heads = after.filter("_rank = 1").select("_part", here.alias("_head"))  # a row per partition
     w = Window.orderBy("_part")
     heads = heads.withColumn("_following", F.coalesce(F.lead("_head").over(w), F.first("_head").over(w)))
@@ -101,7 +102,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.lit(1), id_col, text).alias("k1"),
                        F.xxhash64(F.lit(2), text, id_col).alias("k2"), text.alias("_text"))
-    narrow = rows.select("_id", "k1", "k2", F.length("_text").alias("n")).distinct()
+    narrow = rows.groupBy("_id", "k1", "k2", F.length("_text").alias("n")).agg(F.count(F.lit(1)).alias("copies"))
     order = [F.col("_id").desc_nulls_last(), F.col("k1").asc(), F.col("k2").asc()]
     follow = stage(successors(narrow, order, ["k1", "k2"]), "successors")
 
@@ -114,22 +115,18 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     half = F.length("_text") - F.expr("length(_text) div 2")
     edits = texts.join(tails, ["k1", "k2"]).select(
         "k1", "k2", F.concat(F.substr("_text", F.lit(1), half.cast("int")), "_tail").alias("_edited"))
-    signed = (edits.select("k1", "k2", F.sha2("_edited", 256).alias("sha"))
+    signed = (edits.select("k1", "k2", F.unhex(F.sha2("_edited", 256)).alias("sha"))
               .join(sample_rows(texts, ["k1", "k2"], "_text").withColumnRenamed("samples", "own"), ["k1", "k2"], "left")
               .join(sample_rows(edits, ["k1", "k2"], "_edited").withColumnRenamed("samples", "edited"), ["k1", "k2"], "left"))
     signed = stage(signed, "samples")
 
-    own = signed.select("k1", "k2", "own")
-    edited = signed.select("k1", "k2", "sha", "edited")
-    following = own.select(F.col("k1").alias("next_k1"), F.col("k2").alias("next_k2"), F.col("own").alias("following"))
-    joined = follow.join(following, ["next_k1", "next_k2"]).join(own, ["k1", "k2"]).join(edited, ["k1", "k2"])
-    result = joined.select(
-        "k1", "k2", F.col("n").cast("bigint").alias("n_chars"), F.col("sha").alias("edited_sha256"),
+    following = signed.select(F.col("k1").alias("next_k1"), F.col("k2").alias("next_k2"), F.col("own").alias("following"))
+    joined = follow.join(following, ["next_k1", "next_k2"]).join(signed, ["k1", "k2"])
+    # rows that repeat a document get its result: as often as it stands there
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select(
+        F.col("_id").alias(id_col), F.col("n").cast("bigint").alias("n_chars"), F.lower(F.hex("sha")).alias("edited_sha256"),
         to_text(F.col("own")).alias("fingerprint"), to_text(F.col("edited")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("edited")).alias("near_edited"), likeness(F.col("own"), F.col("following")).alias("near_next"))
-    # rows that repeat a document get its result
-    result = stage(result, "fingerprints")
-    return rows.select(F.col("_id").alias(id_col), "k1", "k2").join(result, ["k1", "k2"]).drop("k1", "k2")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

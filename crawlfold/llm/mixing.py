@@ -19,12 +19,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crawlfold.llm import bytetext
-from crawlfold.llm.staging import stage
+from crawlfold.llm.staging import stage, unused
 from crawlfold.session import ship_package
 
 MAX_PER_DOMAIN = 5_000  # labelled documents of each domain that are learned from
@@ -111,11 +112,12 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: list[str], id_co
         sample = own if sample is None else sample.unionByName(own)
     # at most MAX_PER_DOMAIN small rows a domain: bounded, so it may be broadcast
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(sample), "_id")
-    rows = texts.select(number.cast("int").alias("_y"), "_text").mapInArrow(_sampled, "y int, x array<double>").toPandas()
+    rows = texts.select(number.cast("int").alias("_y"), "_text").mapInArrow(_sampled, "y int, x array<double>").toArrow()
     k = len(domains)
-    if not len(rows):
+    if not rows.num_rows:
         return Mix(domains, np.zeros((261, k)), np.zeros(260), np.ones(260))
-    x, y = np.stack(rows["x"].to_numpy()), rows["y"].to_numpy()
+    x = pc.list_flatten(rows.column("x").combine_chunks()).to_numpy().reshape(rows.num_rows, 260)
+    y = rows.column("y").to_numpy()
     centre, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
     counts = np.bincount(y, minlength=k)
     truth = np.array([share.get(d, 0) for d in domains], dtype=float)
@@ -165,7 +167,8 @@ def fit_rates(docs: DataFrame, mix: Mix, targets: Mapping[str, float], text_col:
     gram = np.array(first[1:], dtype=float).reshape(k, k)
     wanted = np.array(list(mix.targets.values()))
     owned = gram.sum(axis=1)  # the posteriors sum to 1
-    scarcest = min((max_rate * o / w for o, w in zip(owned, wanted) if w > 0), default=0.0)
+    bounded = np.isfinite(max_rate)
+    scarcest = min((max_rate * o / w if bounded else np.inf for o, w in zip(owned, wanted) if w > 0), default=0.0)
     aim = wanted * min(tokens, scarcest)
     inverse, best = np.linalg.pinv(gram, rcond=1e-12), np.inf
     for _ in range(STEPS):
@@ -213,8 +216,9 @@ def apply_rates(rated: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     u in [0, 1) is a hash of the id and the text. The three added columns go."""
     u = (F.shiftrightunsigned(F.xxhash64(F.lit("mix"), id_col, text_col), 11).cast("double")) * 2.0 ** -53
     copies = F.floor(F.col(added[2]) + u).cast("int")
-    kept = rated.withColumn("_copies", copies).filter("_copies > 0")
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies", "_copy", *added)
+    times, copy = unused(rated, "copies"), unused(rated, "copy")
+    kept = rated.withColumn(times, copies).filter(F.col(times) > 0)
+    return kept.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(times, copy, *added)
 
 
 def fit(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], id_col: str = "doc_id",

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crawlfold.llm import bytetext
+from crawlfold.llm.staging import free, stage
 from crawlfold.session import ship_package
 
 BUCKETS_LOG2 = 20
@@ -81,17 +82,24 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, right - left) for left, right, a, b in found]
 
 
-def log_odds(toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
-    """Score of each token: the log-odds ratio under the Dirichlet prior, pulled
-    towards 0 by ``SURE`` standard errors, less the drift; not a number where
-    nothing is left of it."""
-    both = toxic + clean
-    prior = 0.5 + PRIOR_TOKENS * both / max(both.sum(), 1.0)
-    y1, y0 = toxic + prior, clean + prior
-    odds = np.log(y1 / (y1.sum() - y1)) - np.log(y0 / (y0.sum() - y0))
-    margin = SURE * np.sqrt(1 / y1 + 1 / y0)
-    score = np.where(odds > margin, odds - margin, np.where(odds < -margin, odds + margin, np.nan)) - DRIFT
-    return np.where(both > 1, score, np.nan)
+def sure_scores(counts: DataFrame) -> DataFrame:
+    """``(bucket, score, clean)`` of a table ``(bucket, clean, toxic)`` of token and
+    stem buckets: the log-odds ratio under the Dirichlet prior, pulled towards 0
+    by ``SURE`` standard errors, less the drift. Buckets that are left with
+    nothing are not returned. Each of the two kinds has its own totals."""
+    kind = (F.col("bucket") >= N).alias("stem")
+    totals = counts.groupBy(kind).agg(F.sum("toxic").alias("all_toxic"), F.sum("clean").alias("all_clean"))  # two rows
+    both = counts.withColumn("stem", kind).join(F.broadcast(totals), "stem")
+    share = (F.col("toxic") + F.col("clean")) / F.greatest(F.col("all_toxic") + F.col("all_clean"), F.lit(1))
+    prior = F.lit(0.5) + F.lit(PRIOR_TOKENS) * share
+    rest = 0.5 * N + PRIOR_TOKENS
+    y = both.select("bucket", "clean", (F.col("toxic") + prior).alias("y1"), (F.col("clean") + prior).alias("y0"),
+                    (F.col("all_toxic") + rest).alias("n1"), (F.col("all_clean") + rest).alias("n0"))
+    odds = F.ln(F.col("y1") / (F.col("n1") - F.col("y1"))) - F.ln(F.col("y0") / (F.col("n0") - F.col("y0")))
+    y = y.select("bucket", "clean", odds.alias("odds"), (SURE * F.sqrt(1 / F.col("y1") + 1 / F.col("y0"))).alias("margin"))
+    score = F.when(F.col("odds") > F.col("margin"), F.col("odds") - F.col("margin")).when(
+        F.col("odds") < -F.col("margin"), F.col("odds") + F.col("margin")) - DRIFT
+    return y.select("bucket", score.alias("score"), "clean").filter(F.col("score").isNotNull())
 
 
 def solve_lambda(scores: np.ndarray, weights: np.ndarray) -> float:
@@ -258,23 +266,27 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     counts = texts.filter(third > 0).select("_text", "_y").mapInArrow(_count, "bucket bigint, clean bigint, toxic bigint")
     counts = counts.groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).filter("clean + toxic > 1")
-    got = counts.toPandas()  # at most 2 * 2**BUCKETS_LOG2 rows
-    toxic, clean = np.zeros(2 * N), np.zeros(2 * N)
-    toxic[got["bucket"]], clean[got["bucket"]] = got["toxic"], got["clean"]
-    if not toxic.any() or not clean.any():
+    counts = stage(counts, "bucket-counts")
+    all_clean, any_toxic = counts.filter(F.col("bucket") < N).agg(F.sum("clean"), F.sum("toxic")).first()
+    if not all_clean or not any_toxic:
         return blank
-    scores, stems = log_odds(toxic[:N], clean[:N]), np.nan_to_num(log_odds(toxic[N:], clean[N:]), nan=-DRIFT)
-    stems = np.append(stems, -DRIFT)
-    model = Model(scores.astype(np.float32), stems.astype(np.float32), prior=prior, trained=True)
-    seen = np.nan_to_num(scores, nan=-DRIFT)
-    model.lam = solve_lambda(seen, clean[:N] / clean[:N].sum())
+    got = sure_scores(counts).toPandas()  # the sure ones of 2 * 2**BUCKETS_LOG2 buckets
+    free(counts)
+    token, scores, clean = got["bucket"].to_numpy(), got["score"].to_numpy(), got["clean"].to_numpy(dtype=float)
+    model = blank
+    model.trained = True
+    model.scores[token[token < N]] = scores[token < N]
+    model.stems[token[token >= N] - N] = scores[token >= N]
+    # tokens that say nothing surely score minus the drift
+    weights = clean[token < N] / float(all_clean)
+    model.lam = solve_lambda(np.append(scores[token < N], -DRIFT), np.append(weights, max(1.0 - weights.sum(), 0.0)))
 
     shared = spark.sparkContext.broadcast(model)
     other = texts.filter(third == 0).select("_text", "_y").mapInArrow(
         _features(shared), "y int, n bigint, best double, total double, top double").toPandas()  # at most 2 * MAX_PER_CLASS rows
     shared.destroy()
     if other["y"].nunique() < 2:
-        return blank
+        return Model(np.full(N, np.nan, dtype=np.float32), np.full(N + 1, -DRIFT, dtype=np.float32), prior=prior)
     null = other[(other["y"] == 0) & (other["n"] > 0)]
     model.log_k = fit_k(null["top"].to_numpy(), null["n"].to_numpy(), model.lam)
     # with K known, each segment's evidence is too

@@ -81,6 +81,38 @@ def test_word_fields_are_generalised_at_any_size(spark):
     assert sum(r.dropped_lines for r in run(spark, rows).values()) == 1_999  # one first copy, not one a value
 
 
+def test_templates_side_by_side_in_one_leaf(spark):
+    names = [f"n{chr(97 + i // 8)}{chr(97 + i % 8)}" for i in range(32)]
+    for families, values in ((1, 32), (5, 32), (12, 32), (20, 32), (12, 4)):
+        rows = []
+        for f in range(families):
+            w = [f"f{chr(97 + f)}{x}" for x in "abcd"]
+            rows += [(1_000 * f + i, f"on this day the {w[0]} of {names[i % values]} from {names[i * 7 // values % values]} was {w[1]} {w[2]} {w[3]}")
+                     for i in range(300)]
+        got = run(spark, rows)
+        assert [sum(got[1_000 * f + i].dropped_lines for i in range(300)) for f in range(families)] == [299] * families, families
+
+
+def test_short_lines_recur_exactly_or_not(spark):
+    rng = random.Random(8)
+    rows = [(i, f"{prose(rng)}\nSign in\nMenu\npage {i}\n\n{chr(97 + i % 26)}{chr(97 + i // 26)} words") for i in range(60)]
+    got = run(spark, rows)
+    assert got[0].text == rows[0][1]
+    for i, t in rows[1:]:
+        first, _, _, page, empty, last = t.split("\n")
+        assert got[i].text == "\n".join([first, page, empty, last]), i
+
+
+def test_long_lines_and_other_column_names(spark):
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(120)]
+    def field(i):
+        return "".join(chr(97 + int(c)) for c in f"{i:03d}")
+    rows = [(i, " ".join(field(i) if k % 10 == 5 else w for k, w in enumerate(words))) for i in range(40)]
+    df = spark.createDataFrame([(d, t, 1, 2, 3, 4) for d, t in rows], "doc_id bigint, text string, k1 int, k2 int, drops int, lines int")
+    out = L.dedup_lines(df).collect()
+    assert sum(r.dropped_lines for r in out) == 39 and {(r.k1, r.k2, r.drops, r.lines) for r in out} == {(1, 2, 3, 4)}
+
+
 def test_leaf_with_many_documents_keeps_prose_and_smaller_templates(spark):
     rng = random.Random(6)
     rows = [(i, f"it was the {prose(rng, 5)}") for i in range(1_500)]

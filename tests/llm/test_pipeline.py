@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -87,6 +88,21 @@ def test_stages_on_planted_cases(spark, tmp_path):
     assert set(seen) == set(rows[4])
 
 
+def test_stages_keep_columns_of_their_own_names(spark, tmp_path):
+    docs, labels, _ = corpus()
+    names = ["_toxicity", "_segments", "toxicity", "k1", "k2", "drops", "lines", "n_lines", "kept_id", "_kept_id", "kept_key", "tokens",
+             "posteriors", "rate", "copies", "copy", "_copies", "_k1", "_lines"]
+    df = spark.createDataFrame([(d, t, *range(len(names))) for d, t in docs], "doc_id bigint, text string, " + ", ".join(f"`{n}` int" for n in names))
+    df = df.withColumn("n_chars", F.length("text"))
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        step(spark, df, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        out = spark.read.parquet(f"{tmp_path}/{name}")
+        assert out.columns == df.columns, name
+        assert {tuple(r[n] for n in names) for r in out.collect()} == {tuple(range(len(names)))}, name
+        df = out
+
+
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")

@@ -86,4 +86,7 @@ def test_without_labels(spark, trained):
     one = X.train(docs.limit(50), labels.filter("toxic = 1"))
     assert one.prior == 1.0
     assert X.score_texts(docs.limit(3), one).collect()[0].toxicity == 1.0
-    assert not math.isnan(X.log_odds(np.array([50.0, 0]), np.array([0.0, 500]))[0])
+    counts = spark.createDataFrame([(0, 0, 50), (1, 500, 0), (2, 3, 3), (X.N + 7, 0, 60)], "bucket bigint, clean bigint, toxic bigint")
+    scores = {r.bucket: r.score for r in X.sure_scores(counts).collect()}
+    assert scores[0] > 0 > scores[1] and X.N + 7 in scores
+    assert X.sure_scores(counts.limit(0)).collect() == []
