@@ -7,24 +7,24 @@ return the columns they were given.
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlfold.llm import line_dedup, mixing, near_dedup, packing, toxicity
-from crawlfold.llm.staging import stage
+from crawlfold.llm.staging import stage, unused
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of being toxic is under one half."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.score_texts(docs, model, score_col="_toxicity", segments_col="_segments")
-    return scored.filter("_toxicity < 0.5").select(docs.columns)
+    score = unused(docs, "toxicity")
+    scored = toxicity.score_texts(docs, model, score_col=score, segments_col=unused(docs, "segments"))
+    return scored.filter(F.col(score) < 0.5).select(docs.columns)
 
 
 def drop_template_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without recurring template lines; n_chars follows the text."""
-    short = line_dedup.dedup_lines(docs, added=("_n_lines", "_dropped_lines"))
+    short = line_dedup.dedup_lines(docs, added=(unused(docs, "n_lines"), unused(docs, "dropped_lines")))
     return short.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
@@ -38,12 +38,14 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     the quality domains to their targets."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     fitted = mixing.fit(docs, labels, mixing.QUALITY_TARGETS, label_col="quality", max_rate=1.0)
-    added = ("_tokens", "_posteriors", "_rate")
+    added = tuple(unused(docs, c) for c in mixing.ADDED)
     return mixing.apply_rates(mixing.rate_documents(docs, fitted, added=added), added=added).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, in sequences of at most 2048 tokens (a row per piece)."""
+    import public_tokenizers
+
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
