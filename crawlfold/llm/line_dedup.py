@@ -11,7 +11,8 @@ and however many templates stand beside it in the leaf; a field's value goes wit
 nothing. Leading tokens are constants of their leaf. The others are variable
 fields, and the line's template is what remains.
 
-A template with at least half its tokens constant that recurs in ``min_docs``
+A template with at least half its tokens constant, and half of those behind the
+leading ones (which say nothing within a leaf), that recurs in ``min_docs``
 documents is dropped everywhere but in the first document that has it. Lines of
 fewer than ``LEADING`` tokens are all leaf: they recur exactly or not at all.
 
@@ -100,10 +101,12 @@ def templates(rows: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIM
 
     toks = F.transform("toks", lambda t, i: F.when((i < LEADING) | F.array_contains(F.coalesce("held", F.array().cast("array<int>")), i), t).otherwise(F.lit(VARIABLE)))
     made = forms.join(held, "form", "left").select("form", toks.alias("toks"), F.size("toks").alias("n_tokens"))
-    made = made.select("form", F.concat_ws(" ", "toks").alias("template"), "n_tokens",
-                       F.size(F.filter("toks", lambda t: t != VARIABLE)).alias("constants"))
+    constant = F.filter("toks", lambda t: t != VARIABLE)
+    behind = F.size(F.filter(F.slice("toks", LEADING + 1, F.col("n_tokens")), lambda t: t != VARIABLE))
+    made = made.select("form", F.concat_ws(" ", "toks").alias("template"), "n_tokens", F.size(constant).alias("constants"), behind.alias("behind"))
     enough = F.when(F.col("n_tokens") < LEADING, F.col("n_tokens")).otherwise(similarity * F.col("n_tokens"))
-    made = stage(made.filter(F.col("constants") >= enough), "templates")
+    made = made.filter((F.col("constants") >= enough) & (F.col("behind") >= similarity * (F.col("n_tokens") - LEADING)))
+    made = stage(made.drop("behind"), "templates")
     free(forms, held)
     return found.select("_id", "k1", "k2", "at", "form"), made
 
@@ -184,10 +187,10 @@ WITH lines AS (
   SELECT a.n, a.head, a.toks, a.docs, a.place, a.token, b.place AS place_b, b.token AS token_b, b.c
   FROM here a JOIN (SELECT *, row_number() OVER (PARTITION BY n, toks ORDER BY place::BIGINT * 7919 % 10007, place) AS k FROM here) b
     ON a.n = b.n AND a.toks = b.toks AND a.place <> b.place AND b.k <= {ANCHORS}
-), both AS (
+), pair_docs AS (
   SELECT n, head, place, token, place_b, token_b, sum(docs) AS together FROM pairs GROUP BY ALL
 ), held AS (
-  SELECT DISTINCT p.toks, p.place FROM pairs p JOIN both t USING (n, head, place, token, place_b, token_b) WHERE t.together >= {TOGETHER} * p.c
+  SELECT DISTINCT p.toks, p.place FROM pairs p JOIN pair_docs t USING (n, head, place, token, place_b, token_b) WHERE t.together >= {TOGETHER} * p.c
 ), marked AS (
   SELECT toks, list(place) AS places FROM held GROUP BY toks
 ), shaped AS (
@@ -196,6 +199,7 @@ WITH lines AS (
 ), made AS (
   SELECT toks, n, array_to_string(shape, ' ') AS template FROM shaped
   WHERE len(list_filter(shape, lambda t: t <> '{VARIABLE}')) >= CASE WHEN n < {LEADING} THEN n ELSE {SIMILARITY} * n END
+    AND len(list_filter(shape[{LEADING + 1}:], lambda t: t <> '{VARIABLE}')) >= {SIMILARITY} * (n - {LEADING})
 ), used AS (
   SELECT m.template, m.n, f.doc_id, f.ln FROM found f JOIN made m ON f.toks = m.toks
 ), recurring AS (
