@@ -13,15 +13,17 @@ the tables are two numbers, the slot and the node. Then
 1. every node is verified against one pivot, the node of its slots that meets
    most others (the original of a family of copies, as a rule), and the links
    give components;
-2. slots that still hold several components are open. Of two components in a
-   slot one at least is not the slot's largest, so the nodes outside their slot's
-   largest component are compared with all others of the slot. They meet in
-   blocks of bounded size: a block's sets travel once for each block that it
-   shares an open slot with, not once for each pair, and a pair of blocks returns
-   links only, one for each node and component at most.
+2. what still lies in different components is compared. Two nodes share a table
+   if they share a key of both collections, so they meet by the first (at most
+   ``KEYS`` rows a node, not ``KEYS``**2) and the second is looked at there. Of
+   two components that share a key one at least is not the largest that has it,
+   so only nodes outside their key's largest component look for partners: each
+   visits the blocks of bounded size that hold the others. A block's sets travel
+   once for ``BLOCK`` visitors, not once for each pair, and only links return,
+   one for each node and component at most.
 
 Every link is confirmed on the full shingle sets, nothing is capped, and no slot
-is collected: a slot of very many nodes is many pairs of blocks.
+is collected: a key of very many nodes is many blocks and groups of visitors.
 """
 
 from __future__ import annotations
@@ -88,26 +90,34 @@ def _full_sets(width):
     return run
 
 
-def _entries(nodes: DataFrame) -> DataFrame:
-    """``(slot, nid)`` of every table entry that two nodes at least share, by
-    halves: a node forms pair keys only of halves that others have too."""
+def _entries(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(nid, k)`` of first keys that other nodes have too, and ``(slot, nid, c, times)`` of every table entry that two nodes at least share,
+    by halves: a node forms pair keys only of halves that others have too. Slots
+    of the very same nodes (a family of copies shares nearly all its tables)
+    say the same, so one stands for them; ``times`` is their number."""
     halves = nodes.select("nid", F.posexplode("keys").alias("i", "k"))
     common = stage(halves.groupBy("k").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("k"), "shared-halves")
     alive = halves.join(common, "k", "left_semi").select("nid", (F.col("i") < KEYS).alias("first"), "k").repartition("nid")
     alive = alive.groupBy("nid").agg(F.collect_list(F.when(F.col("first"), F.col("k"))).alias("a"),
                                      F.collect_list(F.when(~F.col("first"), F.col("k"))).alias("b"))
+    alive = stage(alive, "alive-halves")
     pairs = alive.select("nid", F.explode("a").alias("k"), "b").select("nid", "k", F.explode("b").alias("k2"))
     formed = stage(pairs.select(F.xxhash64("k", "k2").alias("slot"), "nid"), "slots")
     free(common)
-    common = stage(formed.groupBy("slot").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "shared-slots")
+    who = [F.bit_xor(F.xxhash64("nid", F.lit(i))).alias(f"who{i}") for i in (1, 2)]
+    common = formed.groupBy("slot").agg(F.count(F.lit(1)).alias("c"), *who).filter("c > 1")
+    common = common.groupBy("c", "who1", "who2").agg(F.min("slot").alias("slot"), F.count(F.lit(1)).alias("times"))
+    common = stage(common.select("slot", "c", "times"), "shared-slots")
     entries = stage(formed.join(common, "slot"), "entries")
     free(formed, common)
-    return entries
+    firsts = stage(alive.filter(F.size("b") > 0).select("nid", F.explode("a").alias("k")), "first-halves")
+    free(alive)
+    return firsts, entries
 
 
 def _pivots(entries: DataFrame) -> DataFrame:
     """``(x, y)``: each node with the other node of its slots that meets most."""
-    met = stage(entries.groupBy("nid").agg(F.sum(F.col("c") - 1).alias("met")), "met")  # how many others, table by table
+    met = stage(entries.groupBy("nid").agg(F.sum((F.col("c") - 1) * F.col("times")).alias("met")), "met")  # how many others, table by table
     ranked = entries.join(met, "nid").groupBy("slot").agg(F.max(F.struct("met", "nid")).alias("top"))
     best = entries.join(ranked, "slot").filter("nid <> top.nid").groupBy("nid").agg(F.max("top").alias("top"))
     out = stage(best.select(F.col("nid").alias("x"), F.col("top.nid").alias("y")), "pivots")
@@ -129,33 +139,31 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
 BLOCK, BLOCK_ITEMS = 256, 1 << 20  # nodes and shingles of a block
 
 
-def _blocks(entries: DataFrame, roots: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Open slots by blocks: ``(nid, root, outside, block)`` of their nodes
-    (``outside``: of another component than the slot's largest, somewhere), and
-    ``(left, right)``, the blocks of which the left has outside nodes in a slot
-    that both have nodes in."""
-    named = entries.join(roots, "nid", "left").select("slot", "nid", F.coalesce("root", "nid").alias("root"))
-    sizes = named.groupBy("slot", "root").agg(F.count(F.lit(1)).alias("c"))
-    largest = sizes.groupBy("slot").agg(F.max(F.struct("c", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
-    found = stage(named.join(largest.select("slot", F.col("top.root").alias("main")), "slot"), "open")
-    # nodes around the same component share a block, outside ones apart from others
+def _blocks(firsts: DataFrame, roots: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Blocks of the nodes whose first keys lie in several components, ``(nid,
+    root, block, groups)``, and their visitors, ``(nid, root, block, part)``: the
+    nodes outside a key's largest component visit each block that has the key,
+    in ``groups`` parts of bounded size."""
+    named = firsts.join(roots, "nid", "left").select("k", "nid", F.coalesce("root", "nid").alias("root"))
+    sizes = named.groupBy("k", "root").agg(F.count(F.lit(1)).alias("c"))
+    largest = sizes.groupBy("k").agg(F.max(F.struct("c", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+    found = stage(named.join(largest.select("k", F.col("top.root").alias("main")), "k"), "open-keys")
+    # nodes of a component share blocks, and apart from these the outside nodes around it
     per = found.groupBy("nid", "root").agg(F.min("main").alias("main"), F.max(F.col("root") != F.col("main")).alias("outside"))
-    per = per.join(nodes.select("nid", "n"), "nid")
-    around = F.when(F.col("outside"), F.col("main")).otherwise(F.col("root"))
-    count = per.count()
-    per = per.select("nid", "root", "outside", "n", F.pmod(F.xxhash64(around), F.lit(max(1, count // BLOCK))).alias("bucket"))
-    sizes = per.groupBy("bucket", "outside").agg(
+    per = per.join(nodes.select("nid", "n"), "nid").withColumn("around", F.when(F.col("outside"), F.col("main")).otherwise(F.col("root")))
+    sizes = per.groupBy("around", "outside").agg(
         F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_ITEMS)).alias("cut"))
-    cut = per.join(sizes, ["bucket", "outside"])
-    block = F.xxhash64("bucket", "outside", F.pmod(F.xxhash64("nid"), F.col("cut")))
-    placed = stage(cut.select("nid", "root", "outside", block.alias("block")), "blocks")
-    there = found.select("slot", "nid", "root", "main").join(placed.select("nid", "block"), "nid").groupBy("slot", "block").agg(
-        F.max(F.col("root") != F.col("main")).alias("outside"))
-    there = stage(there, "slot-blocks")
-    left = there.filter("outside").select("slot", F.col("block").alias("left"))
-    pairs = stage(left.join(there.select("slot", F.col("block").alias("right")), "slot").select("left", "right").distinct(), "block-pairs")
-    free(found, there)
-    return placed, pairs
+    block = F.xxhash64("around", "outside", F.pmod(F.xxhash64("nid"), F.col("cut")))
+    placed = stage(per.join(sizes, ["around", "outside"]).select("nid", "root", block.alias("block")), "blocks")
+    there = found.select("k", "nid").join(placed.select("nid", "block"), "nid").select("k", "block").distinct()
+    visits = found.filter("root <> main").select("k", "nid", "root").join(there, "k").select("nid", "root", "block").distinct()
+    visits = stage(visits, "visits")
+    sizes = visits.join(nodes.select("nid", "n"), "nid").groupBy("block").agg(
+        F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_ITEMS)).alias("groups"))
+    sizes = stage(sizes, "visited")
+    visitors = visits.join(sizes, "block").select("nid", "root", "block", F.pmod(F.xxhash64("nid"), F.col("groups")).alias("part"))
+    free(found)
+    return placed.join(sizes, "block"), visitors
 
 
 def _compare(similarity: int):
@@ -190,14 +198,13 @@ def _compare(similarity: int):
     return run
 
 
-def _block_links(placed: DataFrame, pairs: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """``(u, v)``: links between components, of the outside nodes of each left
-    block with the nodes of its right blocks."""
-    full = placed.join(nodes.select("nid", "keys"), "nid").join(sets, "nid")
-    left = pairs.join(full.filter("outside"), pairs["left"] == full["block"]).select("left", "right", "nid", "root", "keys", "items")
-    to = pairs.select(F.col("left").alias("l"), F.col("right").alias("r"))
-    right = to.join(full, to["r"] == full["block"]).select("l", "r", *[F.col(c).alias(c) for c in ("nid", "root", "keys", "items")])
-    return left.groupBy("left", "right").cogroup(right.groupBy("l", "r")).applyInArrow(_compare(similarity), "u bigint, v bigint")
+def _block_links(blocks: DataFrame, visitors: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """``(u, v)``: links between components, of each block's visitors with its nodes."""
+    full = nodes.select("nid", "keys").join(sets, "nid")
+    left = visitors.join(full, "nid")
+    right = blocks.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("groups") - 1))).join(full, "nid")
+    right = right.select(F.col("block").alias("b"), F.col("part").alias("p"), *[F.col(c).alias(c) for c in ("nid", "root", "keys", "items")])
+    return left.groupBy("block", "part").cogroup(right.groupBy("b", "p")).applyInArrow(_compare(similarity), "u bigint, v bigint")
 
 
 def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
@@ -219,7 +226,7 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     nodes = signed.filter("n > 0").groupBy("node").agg(
         F.min("_id").alias("least"), F.min(F.struct("_id", "_key")).alias("at"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     nodes = stage(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
-    entries = _entries(nodes)
+    firsts, entries = _entries(nodes)
     # full sets of the nodes in any shared slot, each from one of its rows
     wanted = nodes.join(entries.select("nid").distinct(), "nid", "left_semi").select("nid", "at._id", "at._key")
     texts = rows.join(wanted, rows["_id"].eqNullSafe(wanted["_id"]) & (rows["_key"] == wanted["_key"]))
@@ -229,11 +236,12 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     star = _pivots(entries)
     links = stage(_verified(star, sets, similarity), "star-links")
     roots = stage(components(links), "roots").withColumnRenamed("node", "nid")
-    placed, pairs = _blocks(entries, roots, nodes)
-    more = stage(_block_links(placed, pairs, nodes, sets, similarity), "block-links")
+    free(entries, star)
+    blocks, visitors = _blocks(firsts, roots, nodes)
+    more = stage(_block_links(blocks, visitors, nodes, sets, similarity), "block-links")
     if not more.isEmpty():
         roots = stage(components(links.unionByName(more)), "roots").withColumnRenamed("node", "nid")
-    free(entries, sets, star, placed, pairs)
+    free(firsts, sets)
 
     named = nodes.join(roots, "nid", "left").select("node", "least", F.coalesce("root", "nid").alias("root"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
