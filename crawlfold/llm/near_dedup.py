@@ -10,9 +10,9 @@ Texts of equal shingle sets are one node first. A table key that only one node
 has is never formed: a pair key needs both its halves to be shared. Entries of
 the tables are two numbers, the slot and the node. Then
 
-1. every node is verified against one pivot, the node of its slots that meets
-   most others (the original of a family of copies, as a rule), and the links
-   give components;
+1. every node is verified against one pivot, the node that meets most others in
+   the tables, of those with a common first key (the original of a family of
+   copies, as a rule), and the links give components;
 2. what still lies in different components is compared. Two nodes share a table
    if they share a key of both collections, so they meet by the first (at most
    ``KEYS`` rows a node, not ``KEYS``**2) and the second is looked at there. Of
@@ -115,11 +115,12 @@ def _entries(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return firsts, entries
 
 
-def _pivots(entries: DataFrame) -> DataFrame:
-    """``(x, y)``: each node with the other node of its slots that meets most."""
-    met = stage(entries.groupBy("nid").agg(F.sum((F.col("c") - 1) * F.col("times")).alias("met")), "met")  # how many others, table by table
-    ranked = entries.join(met, "nid").groupBy("slot").agg(F.max(F.struct("met", "nid")).alias("top"))
-    best = entries.join(ranked, "slot").filter("nid <> top.nid").groupBy("nid").agg(F.max("top").alias("top"))
+def _pivots(firsts: DataFrame, entries: DataFrame) -> DataFrame:
+    """``(x, y)``: each node with the node that meets most others in the tables, of
+    those that it shares a first key with."""
+    met = stage(entries.groupBy("nid").agg(F.sum((F.col("c") - 1) * F.col("times")).alias("met")), "met")
+    ranked = firsts.join(met, "nid").groupBy("k").agg(F.max(F.struct("met", "nid")).alias("top"))
+    best = firsts.join(ranked, "k").filter("nid <> top.nid").groupBy("nid").agg(F.max("top").alias("top"))
     out = stage(best.select(F.col("nid").alias("x"), F.col("top.nid").alias("y")), "pivots")
     free(met)
     return out
@@ -233,7 +234,7 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     sets = texts.select("nid", "_text").mapInArrow(_full_sets(width), "nid bigint, items array<bigint>")
     sets = stage(sets.dropDuplicates(["nid"]), "sets")  # a row that repeats id and text is there twice
 
-    star = _pivots(entries)
+    star = _pivots(firsts, entries)
     links = stage(_verified(star, sets, similarity), "star-links")
     roots = stage(components(links), "roots").withColumnRenamed("node", "nid")
     free(entries, star)
