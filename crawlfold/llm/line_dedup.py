@@ -84,20 +84,26 @@ def templates(rows: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIM
         "leaf", "form", "docs", "place", F.xxhash64("token").alias("token"))
     often = places.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("n")).filter(F.col("n") >= min_docs)
     often = stage(often, "recurring-tokens")
-    here = stage(places.join(often, ["leaf", "place", "token"]).groupBy("leaf", "form", "docs").agg(
+    recurring = stage(places.join(often, ["leaf", "place", "token"]).groupBy("leaf", "form", "docs").agg(
         F.collect_list(F.struct("place", "token", "n")).alias("own")), "recurring-places")
     # pairs of them in a form, the second at one of the places that the leaf is compared at
     anchor = F.slice(F.array_sort(F.transform("own", lambda o: F.struct(
         (o["place"].cast("bigint") * 7919 % 10007).alias("h"), o["place"].alias("place"), o["token"].alias("token"), o["n"].alias("n")))), 1, ANCHORS)
-    pairs = here.select("leaf", "form", "docs", F.explode("own").alias("a"), anchor.alias("anchors")).select(
+    sizes = forms.groupBy("leaf").agg(F.sum("docs").alias("size"))
+    here = recurring.join(sizes, "leaf").withColumn("anchors", anchor)
+    # tokens that both stand in so much of their leaf that they must go together need no count
+    sure = lambda o: F.exists("anchors", lambda b: (b["place"] != o["place"]) & (o["n"] + (1 - TOGETHER) * b["n"] >= F.col("size")))
+    here = stage(here.select("leaf", "form", "docs", "anchors", F.filter("own", lambda o: ~sure(o)).alias("own"),
+                             F.transform(F.filter("own", sure), lambda o: o["place"]).alias("sure")), "compared-places")
+    pairs = here.select("leaf", "form", "docs", F.explode("own").alias("a"), "anchors").select(
         "leaf", "form", "docs", "a.place", "a.token", F.explode("anchors").alias("b")).filter(F.col("place") != F.col("b.place"))
     pairs = pairs.select("form", "docs", "place", F.col("b.n").alias("n"),
                          F.xxhash64("leaf", "place", "token", "b.place", "b.token").alias("pair"))
     both = pairs.groupBy("pair").agg(F.sum("docs").alias("both"))
     held = pairs.join(stage(both, "pairs"), "pair").filter(F.col("both") >= TOGETHER * F.col("n"))
-    held = held.groupBy("form").agg(F.collect_set("place").alias("held"))
-    held = stage(held, "constants")
-    free(often, here)
+    held = here.filter(F.size("sure") > 0).select("form", F.explode("sure").alias("place")).unionByName(held.select("form", "place"))
+    held = stage(held.groupBy("form").agg(F.collect_set("place").alias("held")), "constants")
+    free(often, recurring, here)
 
     toks = F.transform("toks", lambda t, i: F.when((i < LEADING) | F.array_contains(F.coalesce("held", F.array().cast("array<int>")), i), t).otherwise(F.lit(VARIABLE)))
     made = forms.join(held, "form", "left").select("form", toks.alias("toks"), F.size("toks").alias("n_tokens"))
