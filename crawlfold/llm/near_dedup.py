@@ -10,9 +10,9 @@ Texts of equal shingle sets are one node first. A table key that only one node
 has is never formed: a pair key needs both its halves to be shared. Entries of
 the tables are two numbers, the slot and the node. Then
 
-1. every node is verified against one pivot, the node that meets most others in
-   the tables, of those with a common first key (the original of a family of
-   copies, as a rule), and the links give components;
+1. every node is verified against one pivot, the node of its tables' slots that
+   meets most others (the original of a family of copies, as a rule), and the links
+   give components;
 2. what still lies in different components is compared. Two nodes share a table
    if they share a key of both collections, so they meet by the first (at most
    ``KEYS`` rows a node, not ``KEYS``**2) and the second is looked at there. Of
@@ -90,42 +90,32 @@ def _full_sets(width):
     return run
 
 
-def _entries(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(nid, k)`` of first keys that other nodes have too, and ``(slot, nid, c, times)`` of every table entry that two nodes at least share,
-    by halves: a node forms pair keys only of halves that others have too. Slots
-    of the very same nodes (a family of copies shares nearly all its tables)
-    say the same, so one stands for them; ``times`` is their number."""
+def _alive(nodes: DataFrame) -> DataFrame:
+    """``(nid, a, b, met)``: the keys of the first and of the second collection that
+    other nodes have too, of nodes with some of both (others share no table),
+    and how many nodes they meet by them in all."""
     halves = nodes.select("nid", F.posexplode("keys").alias("i", "k"))
-    common = stage(halves.groupBy("k").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("k"), "shared-halves")
-    alive = halves.join(common, "k", "left_semi").select("nid", (F.col("i") < KEYS).alias("first"), "k").repartition("nid")
+    common = stage(halves.groupBy("k").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "shared-halves")
+    alive = halves.join(common, "k").select("nid", (F.col("i") < KEYS).alias("first"), "k", "c").repartition("nid")
     alive = alive.groupBy("nid").agg(F.collect_list(F.when(F.col("first"), F.col("k"))).alias("a"),
-                                     F.collect_list(F.when(~F.col("first"), F.col("k"))).alias("b"))
-    alive = stage(alive, "alive-halves")
-    pairs = alive.select("nid", F.explode("a").alias("k"), "b").select("nid", "k", F.explode("b").alias("k2"))
-    formed = stage(pairs.select(F.xxhash64("k", "k2").alias("slot"), "nid"), "slots")
+                                     F.collect_list(F.when(~F.col("first"), F.col("k"))).alias("b"), F.sum(F.col("c") - 1).alias("met"))
+    out = stage(alive.filter((F.size("a") > 0) & (F.size("b") > 0)), "alive-halves")
     free(common)
-    who = [F.bit_xor(F.xxhash64("nid", F.lit(i))).alias(f"who{i}") for i in (1, 2)]
-    common = formed.groupBy("slot").agg(F.count(F.lit(1)).alias("c"), *who).filter("c > 1")
-    common = common.groupBy("c", "who1", "who2").agg(F.min("slot").alias("slot"), F.count(F.lit(1)).alias("times"))
-    common = stage(common.select("slot", "c", "times"), "shared-slots")
-    entries = stage(formed.join(common, "slot"), "entries")
-    free(formed, common)
-    firsts = stage(alive.filter(F.size("b") > 0).select("nid", F.explode("a").alias("k")), "first-halves")
-    free(alive)
-    return firsts, entries
-
-
-def _pivots(firsts: DataFrame, entries: DataFrame) -> DataFrame:
-    """``(x, y)``: each node with the node that meets most others in the tables, of
-    those that it shares a first key with."""
-    met = stage(entries.groupBy("nid").agg(F.sum((F.col("c") - 1) * F.col("times")).alias("met")), "met")
-    ranked = firsts.join(met, "nid").groupBy("k").agg(F.max(F.struct("met", "nid")).alias("top"))
-    best = firsts.join(ranked, "k").filter("nid <> top.nid").groupBy("nid").agg(F.max("top").alias("top"))
-    out = stage(best.select(F.col("nid").alias("x"), F.col("top.nid").alias("y")), "pivots")
-    free(met)
     return out
 
 
+def _pivots(alive: DataFrame) -> DataFrame:
+    """``(x, y)``: each node with the other node of its tables that meets most. A
+    table's slot is keyed by a first and a second key together; keys that no
+    other node has form none."""
+    pairs = alive.select("nid", "met", F.explode("a").alias("k"), "b").select("nid", "met", "k", F.explode("b").alias("k2"))
+    entries = pairs.select(F.xxhash64("k", "k2").alias("slot"), "nid", "met")
+    tops = entries.groupBy("slot").agg(F.max(F.struct("met", "nid")).alias("top"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    best = entries.select("slot", "nid").join(stage(tops.select("slot", "top"), "tops"), "slot").filter("nid <> top.nid")
+    best = best.groupBy("nid").agg(F.max("top").alias("top"))
+    return stage(best.select(F.col("nid").alias("x"), F.col("top.nid").alias("y")), "pivots")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """``(u, v)`` of the pairs that are linked, on their full sets."""
     a = sets.select(F.col("nid").alias("x"), F.col("items").alias("_a"))
@@ -227,22 +217,22 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     nodes = signed.filter("n > 0").groupBy("node").agg(
         F.min("_id").alias("least"), F.min(F.struct("_id", "_key")).alias("at"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     nodes = stage(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
-    firsts, entries = _entries(nodes)
-    # full sets of the nodes in any shared slot, each from one of its rows
-    wanted = nodes.join(entries.select("nid").distinct(), "nid", "left_semi").select("nid", "at._id", "at._key")
+    alive = _alive(nodes)
+    # full sets of the nodes that may share a table, each from one of its rows
+    wanted = nodes.join(alive.select("nid"), "nid", "left_semi").select("nid", "at._id", "at._key")
     texts = rows.join(wanted, rows["_id"].eqNullSafe(wanted["_id"]) & (rows["_key"] == wanted["_key"]))
     sets = texts.select("nid", "_text").mapInArrow(_full_sets(width), "nid bigint, items array<bigint>")
     sets = stage(sets.dropDuplicates(["nid"]), "sets")  # a row that repeats id and text is there twice
 
-    star = _pivots(firsts, entries)
+    star = _pivots(alive)
     links = stage(_verified(star, sets, similarity), "star-links")
     roots = stage(components(links), "roots").withColumnRenamed("node", "nid")
-    free(entries, star)
-    blocks, visitors = _blocks(firsts, roots, nodes)
+    free(star)
+    blocks, visitors = _blocks(alive.select("nid", F.explode("a").alias("k")), roots, nodes)
     more = stage(_block_links(blocks, visitors, nodes, sets, similarity), "block-links")
     if not more.isEmpty():
         roots = stage(components(links.unionByName(more)), "roots").withColumnRenamed("node", "nid")
-    free(firsts, sets)
+    free(alive, sets)
 
     named = nodes.join(roots, "nid", "left").select("node", "least", F.coalesce("root", "nid").alias("root"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
