@@ -2,10 +2,12 @@
 
 ``parse_arc`` reads ARC files of version 1 and 2 by their own header lines and
 declared lengths; ``warc_record`` synthesises the equivalent WARC record
-(identifier, date, type, digests). ``convert_pages`` runs both in Spark tasks,
-``write_archives`` stores WARC files in the shared folder through Spark's text
-writer (records end in CRLF CRLF, so the files are plain gzipped WARC), and
-``read_archives`` parses those files again by declared lengths.
+(identifier, date, type, digests). ``convert_archives`` does both for a folder
+of ARC files, plain or gzipped, a file a row of Spark; ``write_pages`` makes such
+files of a table of pages. Archives are rows of bytes of a bounded size, and
+``write_archives`` stores each as a gzipped file in the shared folder through
+Spark's text writer, which writes the bytes as they are. ``read_archives`` parses
+WARC files by declared lengths and takes sizes and digests from the payloads.
 """
 
 from __future__ import annotations
@@ -19,10 +21,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlfold.llm.staging import shared_path, stage
+from crawlfold.llm.staging import drop_path, shared_path, stage
 from crawlfold.session import ship_package
 
 # FIXED VALUES: field lists of the two ARC versions' header lines
@@ -30,7 +33,8 @@ ARC_V1 = "URL IP-address Archive-date Content-type Archive-length"
 ARC_V2 = "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"
 CRLF = b"\r\n"
 IDENTIFIERS = uuid.uuid5(uuid.NAMESPACE_URL, "urn:crawlfold:archives")
-RECORDS_PER_FILE = 2000
+ARCHIVE_BYTES = 32 << 20  # bytes of records in an archive, before compression; a larger record has its own
+SOURCE_HEADER = b"X-Archive-Source-ID: "
 
 
 class ArcError(ValueError):
@@ -42,6 +46,7 @@ class ArcRecord:
     version: int
     fields: dict[str, str]
     block: bytes = field(repr=False)
+    offset: int = 0
 
 
 def sha1_base32(payload: bytes) -> str:
@@ -69,8 +74,9 @@ def arc_file(records: list[tuple[str, str, str, str, bytes]], version: int = 1,
 def parse_arc(stream) -> Iterator[ArcRecord]:
     """Records of an ARC file after its version block. Blank lines between
     records are skipped; anything else that breaks the format is an ArcError."""
-    names, version = None, 0
+    names, version, end = None, 0, 0
     while line := stream.readline():
+        start, end = end, end + len(line)
         if line in (b"\n", CRLF):
             continue
         columns = names or ARC_V1.split()
@@ -86,17 +92,37 @@ def parse_arc(stream) -> Iterator[ArcRecord]:
         block = stream.read(length)
         if len(block) != length:
             raise ArcError(f"declared length {length}, found {len(block)}")
+        end += length
         if names is None:
             first, _, rest = block.decode("utf-8", "replace").partition("\n")
             version, names = int(first.split(" ")[0]), rest.split("\n")[0].split(" ")
             if version not in (1, 2):
                 raise ArcError(f"version {version}")
             continue
-        yield ArcRecord(version, dict(zip(names, parts)), block)
+        yield ArcRecord(version, dict(zip(names, parts)), block, start)
 
 
-def http_response(payload: bytes, mime: str = "text/html") -> bytes:
-    return f"HTTP/1.1 200 OK\r\nContent-Type: {mime}\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
+def http_response(payload: bytes, mime: str = "text/html", source: int | None = None) -> bytes:
+    """A response with ``payload``; ``source`` is the id of the row it was made of."""
+    own = b"" if source is None else SOURCE_HEADER + str(source).encode() + CRLF
+    return f"HTTP/1.1 200 OK\r\nContent-Type: {mime}\r\nContent-Length: {len(payload)}\r\n".encode() + own + CRLF + payload
+
+
+def http_parts(block: bytes) -> tuple[bytes, bytes, bool]:
+    """Head with its empty line, payload, and whether the block is an HTTP response."""
+    head, gap, payload = block.partition(b"\r\n\r\n")
+    if block.startswith(b"HTTP/") and gap:
+        return head + gap, payload, True
+    return b"", block, False
+
+
+def source_number(head: bytes) -> int | None:
+    """The id that ``http_response`` put into the head, if any."""
+    for line in head.split(CRLF):
+        value = line.removeprefix(SOURCE_HEADER)
+        if value is not line and value.removeprefix(b"-").isdigit() and -2 ** 63 <= int(value) < 2 ** 63:
+            return int(value)
+    return None
 
 
 def record_id(source: str) -> str:
@@ -115,19 +141,16 @@ def warc_record(arc: ArcRecord, source_id, refers_to=None) -> bytes:
     the entity), or a revisit of ``refers_to`` with the HTTP head alone; any other
     block is a resource, its own payload.
     """
-    head, gap, payload = arc.block.partition(b"\r\n\r\n")
-    http = arc.block.startswith(b"HTTP/") and bool(gap)
-    if not http:
-        head, gap, payload = b"", b"", arc.block
+    head, payload, http = http_parts(arc.block)
     kind = "revisit" if refers_to is not None else "response" if http else "resource"
-    block = head + gap if kind == "revisit" else arc.block
+    block = head if kind == "revisit" else arc.block
     lines = [
         "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(f'{source_id}')}",
         f"WARC-Date: {warc_date(arc.fields['Archive-date'])}", f"WARC-Target-URI: {arc.fields['URL']}",
         f"WARC-IP-Address: {arc.fields['IP-address']}",
         f"Content-Type: {'application/http; msgtype=response' if http else arc.fields['Content-type']}",
         f"WARC-Payload-Digest: sha1:{sha1_base32(payload)}", f"WARC-Block-Digest: sha1:{sha1_base32(block)}",
-        f"X-Payload-Length: {len(payload)}", f"X-Source-ID: {'' if source_id is None else source_id}",
+        f"X-Source-ID: {'' if source_id is None else source_id}",
     ]
     if kind == "revisit":
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
@@ -154,81 +177,193 @@ def parse_warc(stream) -> Iterator[tuple[dict[str, str], bytes]]:
         yield headers, block
 
 
-def _convert(date14: str):
+def _archives(batches, record, join, archive_bytes):
+    """Rows of bytes, each ``join(records, number)`` of as many consecutive
+    records as ``archive_bytes`` hold. ``record(row)`` gives a record and its size."""
+    number, held, size = TaskContext.get().partitionId(), [], 0
+
+    def row():
+        return pa.RecordBatch.from_arrays([pa.array([join(held, number)], pa.binary())], names=["value"])
+
+    for batch in batches:
+        columns = batch.columns
+        for i in range(batch.num_rows):
+            one, n = record([c[i].as_py() for c in columns])
+            if held and size + n > archive_bytes:
+                yield row()
+                number, held, size = number + 1, [], 0
+            held.append(one)
+            size += n
+    if held:
+        yield row()
+
+
+def _pages(date14: str, archive_bytes: int):
+    def record(row):
+        source, url, html = row
+        block = http_response((html or "").encode(), source=source)
+        return (url or "", "0.0.0.0", date14, "text/html", block), len(block)
+
+    def run(batches):  # both versions occur
+        yield from _archives(batches, record, lambda records, number: arc_file(records, 1 + number % 2, f"pages-{number}.arc"), archive_bytes)
+    return run
+
+
+def write_pages(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
+                date14: str = "20200101000000", archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """ARC files of a record per row of ``pages``. The id stands in the HTTP head,
+    which a null id leaves out; null html and null url are empty; other columns are not read."""
+    ship_package(pages.sparkSession)
+    rows = pages.select(F.col(id_col).cast("bigint"), F.col(url_col).cast("string"), F.col(html_col).cast("string"))
+    write_archives(rows.mapInArrow(_pages(date14, archive_bytes), "value binary"), path, "\n")
+
+
+RECORD = ("source string, number bigint, digest string, payload_bytes bigint, version int, fields map<string,string>, block binary")
+
+
+def _opened(content: bytes):
+    return gzip.open(io.BytesIO(content)) if content[:2] == b"\x1f\x8b" else io.BytesIO(content)
+
+
+def _records(blocks: bool):
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.binary()]
+    kinds = kinds if blocks else kinds[:4]
+
+    def table(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[
+            "source", "number", "digest", "payload_bytes", "version", "fields", "block"][:len(kinds)])
+
     def run(batches):
         for batch in batches:
-            out = []
-            for source, url, html, first, digest in zip(*(c.to_pylist() for c in batch.columns)):
-                # both ARC versions occur, dealt by content
-                arc = arc_file([(url or "", "0.0.0.0", date14, "text/html", http_response((html or "").encode()))],
-                               1 + int(digest[-1], 16) % 2)
-                out += [warc_record(r, source, first).decode() for r in parse_arc(io.BytesIO(arc))]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+            for path, content in zip(batch.column("path"), batch.column("content")):
+                name, rows, size = path.as_py().rsplit("/", 1)[-1], [], 0
+                with _opened(content.as_py()) as stream:
+                    for r in parse_arc(stream):
+                        head, payload, _ = http_parts(r.block)
+                        number = source_number(head)
+                        source = f"{name}@{r.offset}" if number is None else str(number)
+                        rows.append((source, number, sha1_base32(payload), len(payload), r.version, list(r.fields.items()), r.block)[:len(kinds)])
+                        size += len(r.block) if blocks else 256
+                        if size > ARCHIVE_BYTES // 4:
+                            yield table(rows)
+                            rows, size = [], 0
+                if rows:
+                    yield table(rows)
     return run
 
 
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def read_arcs(spark: SparkSession, path: str, blocks: bool = True) -> DataFrame:
+    """A row per record of the ARC files (plain or gzipped) below ``path``:
+    ``source`` (the id in its HTTP head, or else file and offset), ``number`` (that
+    id or null), digest and size of its payload, and with ``blocks`` its version,
+    header fields and block."""
+    ship_package(spark)
+    return _files(spark, path).mapInArrow(_records(blocks), RECORD if blocks else RECORD.split(", version")[0])
+
+
+def _warcs(archive_bytes: int):
+    def record(row):
+        source, refers, version, fields, block = row
+        one = warc_record(ArcRecord(version, dict(fields), block), source, refers)
+        return one, len(one)
+
+    def run(batches):
+        yield from _archives(batches, record, lambda records, number: CRLF.join(records), archive_bytes)
+    return run
+
+
+def convert_archives(spark: SparkSession, path: str, min_revisit_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """The WARC archives (a row of bytes each) of the ARC files below ``path``.
+
+    Of records with equal payloads of at least ``min_revisit_bytes``, that with the
+    smallest id is the response (or resource) and the others revisit it; records
+    that repeat that id are responses too. Records without an id come after all
+    others, by file and offset. The digests that occur twice are a table of their
+    own, so the join can be broadcast by its measured size, or else splits hot digests.
+    """
+    order = F.struct(F.col("number").isNull().alias("anonymous"), "number", "source")
+    seen = read_arcs(spark, path, blocks=False).filter(F.col("payload_bytes") >= min_revisit_bytes)
+    firsts = seen.groupBy("digest").agg(F.min(order)["source"].alias("first"), F.count(F.lit(1)).alias("n"))
+    firsts = stage(firsts.filter("n > 1").select("digest", "first"), "payload-firsts")
+    again = (F.col("payload_bytes") >= min_revisit_bytes) & (F.col("first") != F.col("source"))
+    joined = read_arcs(spark, path).join(firsts, "digest", "left")
+    rows = joined.select("source", F.when(again, F.col("first")).alias("refers"), "version", "fields", "block")
+    return rows.mapInArrow(_warcs(archive_bytes), "value binary")
+
+
 def convert_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
                   min_revisit_bytes: int = 0, date14: str = "20200101000000") -> DataFrame:
-    """WARC records (one text a row) of the ARC records of ``pages``.
-
-    Of rows with equal payloads of at least ``min_revisit_bytes``, that with the
-    smallest id is the response and the others revisit it; rows that repeat that
-    id are responses too. A null id is greater than all others (and its own
-    group's first if all are null); null html and null url are empty. The
-    digests that occur twice are a table of their own, so the join can be
-    broadcast by its measured size, or else splits hot digests.
-    """
-    ship_package(pages.sparkSession)
-    html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("bigint").alias("_id"), F.col(url_col).cast("string").alias("_url"),
-                        html.alias("_html"), F.sha1(html).alias("_sha1"))
-    long_enough = F.octet_length("_html") >= min_revisit_bytes
-    firsts = rows.filter(long_enough).groupBy("_sha1").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    firsts = stage(firsts.filter("_n > 1 AND _first IS NOT NULL").select("_sha1", "_first"), "payload-firsts")
-    joined = rows.join(firsts, "_sha1", "left")
-    revisited = F.when(long_enough & ~F.col("_id").eqNullSafe(F.col("_first")), F.col("_first"))
-    return joined.select("_id", "_url", "_html", revisited.alias("_refers"), "_sha1").mapInArrow(_convert(date14), "value string")
+    """``convert_archives`` of ARC files of ``pages``, which stay in the shared
+    folder until ``staging.release``."""
+    spark = pages.sparkSession
+    path = shared_path(spark, "arc")
+    write_pages(pages, path, id_col, url_col, html_col, date14)
+    return convert_archives(spark, path, min_revisit_bytes)
 
 
-def write_archives(records: DataFrame, path: str) -> None:
-    """Gzipped WARC files of at most ``RECORDS_PER_FILE`` records each."""
-    records.write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+def write_archives(archives: DataFrame, path: str, end: str = "\r\n") -> None:
+    """A gzipped file for each row of bytes, which ``end`` closes."""
+    files = archives.select(F.col("value").cast("string"))  # a cast keeps the bytes, UTF-8 or not
+    files.write.option("lineSep", end).option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
 
 
-READ = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, target_uri string, warc_date string"
+READ = ("page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, target_uri string, "
+        "warc_date string, record_id string, refers_id string")
 
 
 def _read(batches):
     def number(x):
-        return int(x) if x else None
+        return int(x) if x and x.removeprefix("-").isdigit() else None
 
+    names = [c.split(" ")[0] for c in READ.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), *[pa.string()] * 4]
     for batch in batches:
         for content in batch.column("content"):
             rows = []
-            with gzip.open(io.BytesIO(content.as_py())) as stream:
+            with _opened(content.as_py()) as stream:
                 for h, block in parse_warc(stream):
                     if h["WARC-Block-Digest"] != "sha1:" + sha1_base32(block):
                         raise ValueError(f"block digest of {h['WARC-Record-ID']}")
-                    rows.append((number(h["X-Source-ID"]), int(h["X-Payload-Length"]), h["WARC-Payload-Digest"].removeprefix("sha1:"),
-                                 h["WARC-Type"], number(h.get("X-Refers-To-Source-ID")), h["WARC-Target-URI"], h["WARC-Date"]))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
+                    stated, size = h["WARC-Payload-Digest"].removeprefix("sha1:"), None
+                    if h["WARC-Type"] != "revisit":
+                        payload = http_parts(block)[1] if h["Content-Type"].startswith("application/http") else block
+                        size = len(payload)
+                        if stated != sha1_base32(payload):
+                            raise ValueError(f"payload digest of {h['WARC-Record-ID']}")
+                    rows.append((number(h["X-Source-ID"]), size, stated, h["WARC-Type"], number(h.get("X-Refers-To-Source-ID")),
+                                 h["WARC-Target-URI"], h["WARC-Date"], h["WARC-Record-ID"], h.get("WARC-Refers-To")))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 7, kinds)],
-                names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri", "warc_date"])
+                [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names=names)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Records of all archives below ``path``; block digests are checked."""
+    """Records of all archives below ``path``. Sizes are counted and digests made
+    from the payloads in the blocks; a revisit has its response's, found by
+    record id and digest. A record whose digests do not hold, or a revisit whose
+    response is not there, is an error."""
     ship_package(spark)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInArrow(_read, READ)
+    rows = stage(_files(spark, path).mapInArrow(_read, READ), "warc-records")
+    # responses that others revisit: a row each, so the join is broadcast by its size or splits hot ones
+    visited = rows.filter(F.col("refers_id").isNotNull()).select(F.col("refers_id").alias("record_id")).distinct()
+    own = rows.filter(F.col("refers_id").isNull()).join(visited, "record_id", "left_semi")
+    own = own.groupBy(F.col("record_id").alias("refers_id"), "payload_digest").agg(F.max("payload_bytes").alias("response_bytes"))
+    out = rows.join(stage(own, "warc-visited"), ["refers_id", "payload_digest"], "left")
+    lost = F.raise_error(F.concat(F.lit("no response for "), F.col("record_id"))).cast("bigint")
+    size = F.coalesce("payload_bytes", "response_bytes", lost)
+    return out.select("page_id", size.alias("payload_bytes"), "payload_digest", "record_type", "refers_to", "target_uri", "warc_date")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All ``pages`` as ARC records, converted, written and read back."""
-    path = shared_path(spark, "warc")
-    write_archives(convert_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")), path)
-    return read_archives(spark, path)
+    """All ``pages`` as ARC files, converted, written and read back."""
+    arcs, warcs = shared_path(spark, "arc"), shared_path(spark, "warc")
+    write_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), arcs)
+    write_archives(convert_archives(spark, arcs), warcs)
+    drop_path(spark, arcs)
+    return read_archives(spark, warcs)
 
 
 # base32 of a SHA-1 (160 bits): 32 groups of 5 bits

@@ -52,6 +52,12 @@ def free(*tables: DataFrame) -> None:
         _STAGED.get(spark.sparkContext.applicationId, []).remove(table._staged_at)
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete what was written at ``path``, a ``shared_path`` that nothing will read again."""
+    _delete(spark, [path])
+    _STAGED.get(spark.sparkContext.applicationId, []).remove(path)
+
+
 def _delete(spark: SparkSession, paths: list[str]) -> int:
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()

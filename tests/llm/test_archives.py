@@ -67,3 +67,50 @@ def test_query_matches_its_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
     assert got == sorted(con.execute(f"SELECT {', '.join(sorted(df.columns))} FROM ({A.SQL})").fetchall(), key=str)
+
+
+def stored(spark, name, files, end="\n"):
+    path = shared_path(spark, name)
+    A.write_archives(spark.createDataFrame([(f,) for f in files], "value binary"), path, end)
+    return path
+
+
+def test_arc_files_of_many_records(spark):
+    """Both versions, bytes that are no UTF-8, a record without an id, equal payloads in two files."""
+    gif, latin = bytes(range(256)), A.http_response("é".encode("latin-1"))
+    one = A.arc_file([("http://a/", "1.1.1.1", "20010101000000", "image/gif", gif), ("http://b/", "1.1.1.1", "20010101000000", "text/html", latin)])
+    two = A.arc_file([("http://c/", "1.1.1.1", "20020101000000", "text/html", A.http_response(gif, source=7)),
+                      ("http://d/", "1.1.1.1", "20020101000000", "text/html", A.http_response(gif, source=9)),
+                      ("http://e/", "1.1.1.1", "20020101000000", "text/html", latin)], 2)
+    path = shared_path(spark, "test-arcs")
+    A.write_archives(A.convert_archives(spark, stored(spark, "arcs", [one, two])), path)
+    rows = {r["target_uri"][7]: r for r in A.read_archives(spark, path).collect()}
+    assert {k: (r["page_id"], r["payload_bytes"], r["refers_to"]) for k, r in rows.items()} == {
+        "a": (None, 256, 7), "b": (None, 1, None), "c": (7, 256, None), "d": (9, 256, 7), "e": (None, 1, None)}
+    assert {k: r["record_type"] for k, r in rows.items() if k in "acd"} == {"a": "revisit", "c": "response", "d": "revisit"}
+    assert sorted(rows[k]["record_type"] for k in "be") == ["response", "revisit"]
+    assert {rows[k]["payload_digest"] for k in "acd"} == {A.sha1_base32(gif)} and rows["c"]["warc_date"] == "2002-01-01T00:00:00Z"
+
+
+def test_archives_are_bounded_by_bytes(spark):
+    rows = [(i, "u", f"{i}" + "x" * n) for i, n in enumerate([10, 10, 2500, 9000, 10, 1000, 1000, 1000])]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1)
+    path = shared_path(spark, "test-bound")
+    A.write_pages(pages, path, archive_bytes=3000)
+    sizes = [len(list(A.parse_arc(A._opened(r["content"])))) for r in A._files(spark, path).orderBy("path").collect()]
+    assert sum(sizes) == 8 and len(sizes) > 3
+    warcs = [r["value"] for r in A.convert_archives(spark, path, archive_bytes=3000).collect()]
+    assert all(len(w) <= 3000 or len(list(A.parse_warc(io.BytesIO(w + A.CRLF)))) == 1 for w in warcs)
+    back = A.read_arcs(spark, path, blocks=False).collect()
+    assert sorted((r["number"], r["payload_bytes"]) for r in back) == [(i, len(t)) for i, _, t in rows]
+
+
+@pytest.mark.parametrize("change", ["payload", "response"])
+def test_wrong_payloads_are_found(spark, change):
+    arcs = list(A.parse_arc(io.BytesIO(A.arc_file([("u", "i", "2001", "text/html", A.http_response(b"same", source=i)) for i in (1, 2)]))))
+    first, second = A.warc_record(arcs[0], 1), A.warc_record(arcs[1], 2, 1)
+    wrong = A.sha1_base32(b"other").encode()
+    own = A.sha1_base32(b"same").encode()
+    files = first.replace(own, wrong) + b"\r\n" + second if change == "payload" else second
+    with pytest.raises(Exception, match="payload digest|no response for"):
+        A.read_archives(spark, stored(spark, "wrong", [files], "\r\n")).collect()
