@@ -112,11 +112,22 @@ def format_conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: s
             t["skip"].alias("skip"), F.when(t["role"] == loss_role, t["take"]).otherwise(F.lit(0).cast("bigint")).alias("take"))).alias("loss_mask"))
 
 
+def loss_text() -> Column:
+    """Text of ``formatted`` under ``loss_mask``, unescaped. The content's closing
+    marks end in the one line feed that the mask does not count, so the text is cut
+    at them: of each turn's piece, ``take`` characters behind ``skip``."""
+    body = F.when(F.col("escape_level") == 0, F.substr("formatted", F.lit(len(header(0)) + 1))).otherwise(
+        F.substr("formatted", F.lit(len(header(1)) + 1)))
+    pieces = F.split(body, TURN_END + "\\n", -1)
+    cuts = F.zip_with(pieces, "loss_mask", lambda p, m: F.substr(p, (m["skip"] + 1).cast("int"), m["take"].cast("int")))
+    raw = F.array_join(cuts, "")  # the piece behind the last turn has no mask: null, left out
+    return F.when(F.col("escape_level") == 0, raw).otherwise(unescape(raw))
+
+
 def digests(formatted: DataFrame, conv_col: str = "conv_id") -> DataFrame:
     """Digest columns of the contract, all read back from ``formatted``."""
     lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    masked = F.filter(F.zip_with("turns", "loss_mask", lambda t, m: F.when(m["take"] > 0, t["text"])), lambda x: x.isNotNull())
-    loss = F.array_join(masked, "")
+    loss = loss_text()
     return formatted.select(
         conv_col, F.size("turns").cast("bigint").alias("n_turns"),
         F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"), F.length(loss).cast("bigint").alias("loss_chars"),
