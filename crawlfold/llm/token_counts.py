@@ -65,11 +65,13 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
     misses = distinct.join(known, "content", "left_anti")
     misses.mapInArrow(_encoder(tokenizer_path, version), CACHE_SCHEMA).write.mode("append").parquet(cache_path)
 
+    rows = docs.select(F.col(id_col), digest.alias("content"), F.octet_length(text).cast("bigint").alias("n_bytes"))
     counts = read_cache(spark, cache_path).filter(F.col("tokenizer") == version)
+    # only this table's digests, combined on the map side: past runs' counts are left before they are grouped
+    counts = counts.join(rows.select("content").distinct(), "content", "left_semi")
     # one row a digest, as a table of its own: the join below then reads two plain
     # exchanges, whose hot digests Spark can split
     counts = stage(counts.groupBy("content").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
-    rows = docs.select(F.col(id_col), digest.alias("content"), F.octet_length(text).cast("bigint").alias("n_bytes"))
     return rows.join(counts, "content").select(
         id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
