@@ -26,6 +26,9 @@ from crawlfold.session import ship_package
 POOL = 4096  # examples a task holds at once
 KEEP = 512  # examples that wait for later ones
 MIN_CUT = 32  # shortest piece that a cut makes
+# limits of the query and the pipeline beside 2048 tokens: segments for the attention mask
+# of a sequence, loss tokens so that no sequence is one document's middle alone
+MAX_SEGMENTS, MAX_LOSS = 64, 2040
 
 PIECES = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, "
           "`offset` bigint, loss_tokens bigint")
@@ -63,7 +66,9 @@ def pack_vectors(needs: np.ndarray, limits) -> np.ndarray:
 
 class _Pool:
     """Pending examples of one task. ``emit(items, bin_number)`` gets each
-    finished bin; ``cut(item, tokens)`` splits an item, or is None."""
+    finished bin; ``cut(item, left)`` gives a head of an item that fits what is
+    left of a bin, the tail and the tail's need (or None where it may not be cut so),
+    or is None itself."""
 
     def __init__(self, limits, emit, cut=None):
         self.limits, self.emit, self.cut = np.asarray(limits, dtype=np.float64), emit, cut
@@ -89,8 +94,8 @@ class _Pool:
             if self.cut and left[0] >= MIN_CUT and left[1] >= 1 and free.any():
                 # nothing fits whole: the longest example that still leaves a fair rest gives its head
                 k = int(np.where(free, needs[:, 0], -1).argmax())
-                if needs[k, 0] >= left[0] + MIN_CUT and needs[k, 2] <= left[2] + needs[k, 0] - left[0]:
-                    head, items[k], needs[k] = self.cut(items[k], int(left[0]))
+                if parts := self.cut(items[k], left):
+                    head, items[k], needs[k] = parts
                     out.append(head)
             self.close(out)
         self.items = [items[i] for i in np.flatnonzero(free)]
@@ -114,6 +119,14 @@ class _Piece:
         # no id predicts a document's first one, so that bears no loss
         return len(self.ids), 1, len(self.ids) - (self.start == 0)
 
+    def room(self, tokens: int, loss: int) -> int:
+        """Ids of this piece, from its start, that ``tokens`` and ``loss`` have room for."""
+        return min(tokens, loss + (self.start == 0))
+
+    def cut(self, left):
+        n = self.room(int(left[0]), int(left[2]))
+        return self.split(n) if n >= MIN_CUT and len(self.ids) >= n + MIN_CUT else None
+
     def split(self, n: int):
         head = _Piece(self.doc_id, self.ids[:n], self.start, self.total)
         tail = _Piece(self.doc_id, self.ids[n:], self.start + n, self.total)
@@ -121,7 +134,7 @@ class _Piece:
 
 
 def _pack_texts(tokenizer_path: str, end_id: int, limits):
-    length = limits[0]
+    length, _, max_loss = limits
 
     def run(batches):
         encode, base, rows = encoders.load(tokenizer_path), _sequence_base(), []
@@ -140,18 +153,18 @@ def _pack_texts(tokenizer_path: str, end_id: int, limits):
             rows.clear()
             return table
 
-        pool = _Pool(limits, emit, cut=lambda piece, n: piece.split(n))
+        pool = _Pool(limits, emit, cut=lambda piece, left: piece.cut(left))
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for i in range(0, len(texts), 64):
                 for doc_id, own in zip(ids.slice(i, 64).to_pylist(), encode([t or "" for t in texts.slice(i, 64).to_pylist()])):
                     own = np.array([*own, end_id], dtype="<u4")
-                    n, start = len(own), 0
-                    while n - start >= length:  # whole sequences of one long document
-                        pool.close([_Piece(doc_id, own[start:start + length], start, n)])
-                        start += length
-                    if start < n:
-                        rest = _Piece(doc_id, own[start:].copy(), start, n)
+                    rest = _Piece(doc_id, own, 0, len(own))
+                    while len(rest.ids) >= (room := rest.room(length, max_loss)):  # whole sequences of one long document
+                        head, rest, _ = rest.split(room)
+                        pool.close([head])
+                    if len(rest.ids):
+                        rest.ids = rest.ids.copy()
                         pool.add(rest, rest.need())
                 if len(rows) >= 8192:
                     yield flush()
@@ -164,7 +177,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, length: int = 2048, max
                    max_loss: int | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Cut all documents into pieces and pack these into sequences of at most
     ``length`` tokens, ``max_segments`` pieces and ``max_loss`` loss-bearing
-    tokens (default: ``length``): a row per piece.
+    tokens (default: ``length``): a row per piece. All ids of a document but its
+    first bear loss, so a lower ``max_loss`` cuts long documents earlier and the
+    first ids of others, if any, fill the rest.
 
     A document's ids are its text's (null: none) and ``end_id``, so every row
     of ``docs`` has at least one id; repeated rows and ids are packed each on
@@ -172,8 +187,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, length: int = 2048, max
     ``sequence_id`` holds the task's partition in its upper 32 bits.
     """
     max_loss = length if max_loss is None else max_loss
-    if max_loss < length:
-        raise ValueError("a piece of `length` tokens must fit the loss limit")
+    if max_loss < min(length, MIN_CUT):
+        raise ValueError(f"a loss limit under {MIN_CUT} leaves no piece worth a cut")
     ship_package(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return narrow.mapInArrow(_pack_texts(tokenizer_path, end_id, (length, max_segments, max_loss)), PIECES)
@@ -218,8 +233,9 @@ def pack_examples(examples: DataFrame, max_tokens: int, max_segments: int, max_l
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All ``documents`` in sequences of at most 2048 tokens."""
+    """All ``documents`` in sequences of at most 2048 tokens, 64 segments and 2040
+    loss-bearing tokens."""
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), max_segments=MAX_SEGMENTS, max_loss=MAX_LOSS)

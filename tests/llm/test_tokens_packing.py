@@ -121,3 +121,26 @@ def test_vector_packing_holds_all_limits(spark):
     assert len(bins) <= lower * 1.06 + 2
     assert len(set(packing.pack_vectors(needs, (2048, 16, 900)))) <= lower * 1.06 + 2
 
+
+def test_each_limit_binds_on_documents(spark):
+    """Tokens and loss on the given table, segments on its shortest kind of text; little padding."""
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()]
+    texts = [*texts, *["ok"] * 2000]
+    rows = packing.pack_documents(docs_of(spark, texts).coalesce(1), PATH, max_segments=64, max_loss=2040).collect()
+    seqs = check_pieces(rows, texts)
+    for pieces in seqs.values():
+        assert len(pieces) <= 64 and sum(r["loss_tokens"] for r in pieces) <= 2040
+    tokens = [sum(r["length"] for r in v) for v in seqs.values()]
+    loss = [sum(r["loss_tokens"] for r in v) for v in seqs.values()]
+    assert max(tokens) == 2048 and max(loss) == 2040 and max(map(len, seqs.values())) == 64
+    assert all(r["loss_tokens"] == r["length"] - (r["start"] == 0) for r in rows)
+    only = {s: v for s, v in seqs.items() if not any(texts[r["doc_id"]] == "ok" for r in v)}
+    assert len(only) <= sum(r["length"] for v in only.values() for r in v) / 2048 * 1.02 + 2
+
+
+@pytest.mark.parametrize("max_loss", [32, 40, 63, 64])
+def test_pieces_are_cut_to_the_loss_limit(spark, max_loss):
+    texts = [*ODD, *["word %d " % i * (i % 60) for i in range(40)]]
+    rows = packing.pack_documents(docs_of(spark, texts), PATH, length=64, max_segments=3, max_loss=max_loss).collect()
+    for pieces in check_pieces(rows, texts, 64).values():
+        assert len(pieces) <= 3 and sum(r["loss_tokens"] for r in pieces) <= max_loss
