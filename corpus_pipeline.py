@@ -43,10 +43,12 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, in sequences of at most 2048 tokens (a row per piece)."""
+    """What is left, in sequences of at most 2048 tokens, 64 segments and 2040
+    loss-bearing tokens (a row per piece)."""
     import public_tokenizers
 
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack_documents(docs, path, max_segments=packing.MAX_SEGMENTS, max_loss=packing.MAX_LOSS)
 
 
 STAGES = [
