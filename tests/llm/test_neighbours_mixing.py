@@ -52,6 +52,46 @@ def test_recall_over_several_parts(spark, monkeypatch):
     assert hits >= 0.9 * 20 * len(want)
 
 
+@pytest.mark.parametrize("spread", [0.4, 3.0])
+def test_parts_are_cut_again(spark, monkeypatch, spread):
+    """A table with more rows than the parts of one router are meant for: its
+    parts get routers of their own, and leaves stay near the size aimed at."""
+    for name, value in (("ROWS_PER_PART", 100), ("MAX_PARTS", 6), ("SPLIT", 2), ("BLOCK", 80), ("SAMPLE", 1500)):
+        monkeypatch.setattr(N, name, value)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 12))[rng.integers(0, 60, 4000)] + spread * rng.normal(size=(4000, 12))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    trees, broadcast = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, v: trees.append(v) or broadcast(self, v))
+    rows = N.search(df, df.filter("vec_id % 20 = 0")).collect()
+    tree = [t for t in trees if isinstance(t, N.Tree)][-1]
+    leaf, n_leaves = tree.leaves(x), len(np.unique(tree.leaves(x)))
+    assert len(tree.below) >= 4 and n_leaves > 2 * tree.top.parts
+    assert np.bincount(leaf).max() < 0.5 * np.bincount(leaf >> 16).max()
+    want, hits = exact(x, list(range(4000)), range(0, 4000, 20)), 0
+    for q, best in want.items():
+        own = {r.vec_id for r in rows if r.query_id == q}
+        assert len(own) == 20 and q not in own
+        hits += len(own & {d for _, d in best})
+    assert hits >= 0.9 * 20 * len(want)
+
+
+def test_a_repeated_id_is_spread(spark, monkeypatch):
+    """A third of all rows share an id but not a vector: one candidate, its best score."""
+    monkeypatch.setattr(N, "BLOCK", 50)
+    rng = np.random.default_rng(5)
+    x, ids = rng.normal(size=(600, 6)), [0 if i % 3 == 0 else i for i in range(600)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)] * 2, "vec_id bigint, embedding array<double>")
+    got = N.search(df, df.filter("vec_id in (20, 40)"), k=500).collect()
+    for q in (20, 40):
+        score = {}
+        for i, v in zip(ids, x):
+            if i != q:
+                score[i] = max(score.get(i, -np.inf), float((v * x[q]).sum()))
+        want = sorted(score, key=lambda i: (-score[i], i))
+        assert [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == want
+
+
 def test_balanced_parts():
     x = np.random.default_rng(1).normal(size=(900, 8))
     label = N.balanced_parts(x, N.nearest(x, 8), 7)
