@@ -72,24 +72,30 @@ def features(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _softmax_fit(x: np.ndarray, y: np.ndarray, w: np.ndarray, k: int, steps: int = 300) -> np.ndarray:
-    """Weighted ridge multinomial regression by accelerated gradient steps."""
-    a = np.column_stack([np.ones(len(x)), x])
+    """Weighted ridge multinomial regression by accelerated gradient steps, over
+    ``x`` in single precision (one copy, as it is the largest thing on the driver)."""
+    a = np.empty((len(x), x.shape[1] + 1), dtype=np.float32)
+    a[:, 0], a[:, 1:] = 1.0, x
     beta = previous = np.zeros((a.shape[1], k))
     one_hot = np.eye(k)[y]
-    rate = 1.0 / (0.5 * np.linalg.eigvalsh((a * w[:, None]).T @ a / w.sum())[-1] + 1e-3)
+    gram = np.zeros((a.shape[1], a.shape[1]))
+    for i in range(0, len(a), 1024):
+        own = a[i:i + 1024].astype(np.float64)
+        gram += (own * w[i:i + 1024, None]).T @ own
+    rate = 1.0 / (0.5 * np.linalg.eigvalsh(gram / w.sum())[-1] + 1e-3)
     for t in range(steps):
         ahead = beta + (t / (t + 3)) * (beta - previous)
-        z = a @ ahead
+        z = (a @ ahead.astype(np.float32)).astype(np.float64)
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        previous, beta = beta, ahead - rate * (a.T @ ((p - one_hot) * w[:, None]) / w.sum() + 1e-3 * ahead)
+        previous, beta = beta, ahead - rate * (a.T @ ((p - one_hot) * w[:, None]).astype(np.float32) / w.sum() + 1e-3 * ahead)
     return beta
 
 
 def _sampled(batches):
     for batch in batches:
         x, _ = features(batch.column("_text"))
-        yield pa.RecordBatch.from_arrays([batch.column("_y"), pa.array(list(x), pa.list_(pa.float64()))], names=["y", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column("_y"), pa.array(list(x.astype(np.float32)), pa.list_(pa.float32()))], names=["y", "x"])
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, domains: list[str], id_col: str = "doc_id",
@@ -112,17 +118,18 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: list[str], id_co
         sample = own if sample is None else sample.unionByName(own)
     # at most MAX_PER_DOMAIN small rows a domain: bounded, so it may be broadcast
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(sample), "_id")
-    rows = texts.select(number.cast("int").alias("_y"), "_text").mapInArrow(_sampled, "y int, x array<double>").toArrow()
+    rows = texts.select(number.cast("int").alias("_y"), "_text").mapInArrow(_sampled, "y int, x array<float>").toArrow()
     k = len(domains)
     if not rows.num_rows:
         return Mix(domains, np.zeros((261, k)), np.zeros(260), np.ones(260))
     x = pc.list_flatten(rows.column("x").combine_chunks()).to_numpy().reshape(rows.num_rows, 260)
     y = rows.column("y").to_numpy()
-    centre, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
+    centre = x.mean(axis=0, dtype=np.float64)
+    scale = np.maximum(np.sqrt(sum(((x[i:i + 1024] - centre) ** 2).sum(axis=0) for i in range(0, len(x), 1024)) / len(x)), 1e-3)
     counts = np.bincount(y, minlength=k)
     truth = np.array([share.get(d, 0) for d in domains], dtype=float)
     weight = (truth / np.maximum(counts, 1))[y]
-    beta = _softmax_fit((x - centre) / scale, y, weight, k)
+    beta = _softmax_fit((x - centre.astype(np.float32)) / scale.astype(np.float32), y, weight, k)
     beta[0, counts == 0] = -1e3
     return Mix(domains, beta, centre, scale)
 
@@ -153,6 +160,7 @@ def fit_rates(docs: DataFrame, mix: Mix, targets: Mapping[str, float], text_col:
     shared = spark.sparkContext.broadcast(mix)
     members = docs.select(F.col(text_col).cast("string").alias("_text")).mapInArrow(_members(shared), "n bigint, p array<double>")
     members = stage(members.filter("n > 0"), "members")
+    shared.destroy()
     k = len(mix.domains)
     p = [F.get("p", i) for i in range(k)]
     n = F.col("n").cast("double")
