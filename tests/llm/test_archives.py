@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 import io
 
@@ -114,3 +115,21 @@ def test_wrong_payloads_are_found(spark, change):
     files = first.replace(own, wrong) + b"\r\n" + second if change == "payload" else second
     with pytest.raises(Exception, match="payload digest|no response for"):
         A.read_archives(spark, stored(spark, "wrong", [files], "\r\n")).collect()
+
+
+def test_archives_are_compressed_at_the_fast_level(spark):
+    """The default level made compression the largest part of the query; the level changes sizes, never bytes."""
+    words = [hashlib.sha1(b"%d" % i).hexdigest()[:3 + i % 5] for i in range(2000)]
+    text = " ".join(words[(i * i * 7919 + i * 31) % 1999] for i in range(60_000)).encode()
+    rows = spark.createDataFrame([(text,)], "value binary")
+
+    def content(write):
+        path = shared_path(spark, "test-level")
+        write(path)
+        return bytes(A._files(spark, path).collect()[0]["content"])
+
+    plain = content(lambda p: rows.selectExpr("cast(value as string)").write.option("compression", "gzip").text(p))
+    fast = content(lambda p: A.write_archives(rows, p))
+    same = content(lambda p: A.write_archives(rows, p, "\n", "DEFAULT_COMPRESSION"))
+    assert len(same) == len(plain) and 1.02 * len(plain) < len(fast) < 0.8 * len(text)
+    assert gzip.decompress(fast) == text + b"\r\n" and gzip.decompress(same) == text + b"\n"
